@@ -172,11 +172,20 @@ def dedupe_rows(df: DataFrame, doc: str = "doc_id", order: str = "method_ord") -
 
 def explode_detections(df: DataFrame, *keys: str, column: str = "detections") -> DataFrame:
     """One row per detection with the given key columns; the text is not carried along."""
-    return df.select(*keys, F.explode(column).alias("_d")).select(
+    return rows_of(df.select(*keys, column), *keys, column=column).select(
         *keys, *[F.col(f"_d.{name}").alias(name) for name in FIELDS]
     )
 
 
+def rows_of(df: DataFrame, *keys: str, column: str) -> DataFrame:
+    """One row ``_d`` per array element.
+
+    The outer form keeps the optimizer from testing the array in a filter below, which would run the
+    whole detection a second time.
+    """
+    return df.select(*keys, F.explode_outer(column).alias("_d")).filter("_d IS NOT NULL")
+
+
 def summarize(df: DataFrame, *keys: str, column: str = "detections", backend: str = "regex") -> DataFrame:
     """Per-document parallel arrays, distinct categories and the backend; empty arrays without hits."""
     return df.selectExpr(
@@ -224,6 +233,5 @@ def presence(text: str) -> Column:
 def raw_counts(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Matches per type over the whole table, before any noise rule: one narrow aggregate."""
     found = detect(df.select(text), text, rules, heuristics=False)
-    return found.select(F.explode("detections.pii_type").alias("pii_type")).groupBy("pii_type").agg(
-        F.count("*").alias("hits")
-    )
+    types = rows_of(found.select(F.col("detections.pii_type").alias("t")), column="t")
+    return types.groupBy(F.col("_d").alias("pii_type")).agg(F.count("*").alias("hits"))

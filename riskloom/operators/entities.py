@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog import CATEGORY_BY_TYPE, CHUNK_CHARS, ENTITY_OF_LABEL, EXCERPT_RADIUS, LABELS
 from riskloom.functions.matching import pieces, quoted
-from riskloom.operators.detect import DETECTIONS, FIELDS
+from riskloom.operators.detect import DETECTIONS, explode_detections
 
 TOKENS = "array<struct<start:int,stop:int,logits:array<float>>>"
 ENTITY = "struct<pii_type:string,start:int,stop:int,total:double,n:int>"
@@ -27,7 +27,7 @@ def chunks(df: DataFrame, *keys: str, text: str = "text", width: int = CHUNK_CHA
         'chunk_start', int(i * {width}), 'chunk', p,
         'before', if(i > 0, right(_p[i - 1], {EXCERPT_RADIUS}), ''),
         'after', coalesce(left(get(_p, i + 1), {EXCERPT_RADIUS}), '')))"""
-    return cut.select(*keys, F.explode(F.expr(rows)).alias("_c")).select(*keys, "_c.*")
+    return cut.select(*keys, F.explode_outer(F.expr(rows)).alias("_c")).filter("_c IS NOT NULL").select(*keys, "_c.*")
 
 
 def predict(chunked: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> DataFrame:
@@ -102,6 +102,4 @@ def decode(df: DataFrame, *keys: str) -> DataFrame:
 def detect_entities(df: DataFrame, *keys: str, factory: Callable, text: str = "text") -> DataFrame:
     """One row per entity found by the model, in the shape of the other detections."""
     decoded = decode(label_tokens(predict(chunks(df, *keys, text=text), factory)), *keys)
-    return decoded.select(*keys, F.explode("detections").alias("_d")).select(
-        *keys, *[F.col(f"_d.{name}").alias(name) for name in FIELDS]
-    )
+    return explode_detections(decoded, *keys)

@@ -87,11 +87,11 @@ def pii_natural_sources(spark, sf_dir):
     turns = spread(C.table(spark, sf_dir, "conversations")).select(F.lit("conversations").alias("origin"), "text")
     texts = docs.unionByName(pages).unionByName(turns)
     both = D.detect(D.detect(texts, heuristics=False, output="raw"), output="kept").select("origin", "raw", "kept")
-    counted = both.select("origin", F.explode(F.expr("""concat(
+    merged = both.select("origin", F.expr("""concat(
         transform(raw, d -> named_struct('pii_type', d.pii_type, 'kept', 0L)),
-        transform(kept, d -> named_struct('pii_type', d.pii_type, 'kept', 1L)))""")).alias("d"))
-    return counted.groupBy("origin", "d.pii_type").agg(
-        F.count_if(F.col("d.kept") == 0).alias("hits"), F.sum("d.kept").alias("kept")
+        transform(kept, d -> named_struct('pii_type', d.pii_type, 'kept', 1L)))""").alias("all"))
+    return D.rows_of(merged, "origin", column="all").groupBy("origin", "_d.pii_type").agg(
+        F.count_if(F.col("_d.kept") == 0).alias("hits"), F.sum("_d.kept").alias("kept")
     )
 
 

@@ -105,12 +105,15 @@ def parse_text_chats(
     header = quoted("(?U)" + CHAT_HEADER)
     lined = raw.withColumn("_l", F.expr(f"transform(split(_raw, {quoted(LINE_BREAK)}, -1), l -> {stripped('l')})"))
     heads = lined.withColumn("_h", F.expr(f"filter(transform(_l, (l, i) -> if(l RLIKE {header}, i, -1)), i -> i >= 0)"))
-    group = "regexp_extract(_l[p], " + header + ", {})"
+
+    def group(number: int) -> str:
+        return stripped(f"regexp_extract(_l[p], {header}, {number})")
+
     tail = """array_join(transform(filter(
         slice(_l, p + 2, coalesce(get(_h, k + 1), size(_l)) - p - 1), l -> l <> ''), l -> concat(' ', l)), '')"""
     message = f"""transform(_h, (p, k) -> named_struct(
-        'sender', {stripped(group.format(1))},
-        'line', concat({stripped(group.format(1))}, ': ', {stripped(group.format(2))}, {tail})))"""
+        'sender', {group(1)},
+        'line', concat({group(1)}, ': ', {group(2)}, {tail})))"""
     done = heads.withColumn("_m", F.expr(message)).drop("_l", "_h")
     return _finish(done, "whatsapp", "_raw", chars).drop("_raw")
 
