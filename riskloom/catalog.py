@@ -13,29 +13,29 @@ class Rule:
     category: str
     weight: int
     pattern: str
-    # Literals (case-folded), one of which must occur before the pattern can match at all.
+    # Case-folded literals, one of which occurs in every text with a match.
     needs: tuple[str, ...] = ()
-    # True when the pattern can only match next to a run of three digits.
-    digits: bool = False
+    # A cheap pattern that occurs in every text with a match.
+    gate: str = ""
 
 
 # Detector name, category, weight and pattern (matched without regard to case).
 RULES = (
-    Rule("Aadhaar", "identity", 20, r"\b\d{4}\s\d{4}\s\d{4}\b", digits=True),
-    Rule("SSN", "identity", 20, r"\b\d{3}-\d{2}-\d{4}\b", digits=True),
-    Rule("CreditCard", "financial", 18, r"\b\d{4}[\s-]\d{4}[\s-]\d{4}[\s-]\d{4}\b", digits=True),
+    Rule("Aadhaar", "identity", 20, r"\b\d{4}\s\d{4}\s\d{4}\b", gate=r"\p{Nd}{4}\P{Nd}\p{Nd}{4}"),
+    Rule("SSN", "identity", 20, r"\b\d{3}-\d{2}-\d{4}\b", gate=r"\p{Nd}-\p{Nd}{2}-\p{Nd}"),
+    Rule("CreditCard", "financial", 18, r"\b\d{4}[\s-]\d{4}[\s-]\d{4}[\s-]\d{4}\b", gate=r"\p{Nd}{4}\P{Nd}\p{Nd}{4}\P{Nd}\p{Nd}{4}"),
     Rule("Email", "contact", 8, r"\b[\w.-]+@[\w.-]+\.\w+\b", needs=("@",)),
-    Rule("Phone", "contact", 10, r"\b(?:\+?91[\s-]?)?[6-9]\d{9}\b", digits=True),
-    Rule("PAN", "identity", 15, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", digits=True),
+    Rule("Phone", "contact", 10, r"\b(?:\+?91[\s-]?)?[6-9]\d{9}\b", gate=r"\p{Nd}{9}"),
+    Rule("PAN", "identity", 15, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", gate=r"[0-9]{4}[^0-9]"),
     Rule(
         "BankAccount",
         "financial",
         12,
         r"\b(?:account|acct|bank_account_num)[^\d\n]{0,80}\d{8,18}\b|(?<=,)\d{8,18}(?=,[A-Z]{4}0[A-Z0-9]{6}\b)",
-        digits=True,
+        gate=r"\p{Nd}{8}",
     ),
-    Rule("RoutingCode", "financial", 10, r"\b(?:(?:routing(?:_code)?|ifsc)\D{0,40})?[A-Z]{4}0[A-Z0-9]{6}\b", needs=("0",)),
-    Rule("Secret", "credentials", 16, r"\b[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY)[A-Z0-9_]*\s*[:=]\s*\S+", needs=("secret", "token", "password", "api_key")),
+    Rule("RoutingCode", "financial", 10, r"\b(?:(?:routing(?:_code)?|ifsc)\D{0,40})?[A-Z]{4}0[A-Z0-9]{6}\b", gate=r"\p{L}0[\p{L}\p{Nd}]{6}"),
+    Rule("Secret", "credentials", 16, r"\b[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY)[A-Z0-9_]*\s*[:=]\s*\S+", needs=("secret", "token", "password", "api_key"), gate="[:=]"),
     Rule("APIKey", "credentials", 16, r"\b(?:sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})\b", needs=("sk-", "akia")),
     Rule(
         "Medical",
@@ -120,6 +120,9 @@ VIEW_PATTERNS = (
     ("password", r"(?i)password|secret|token|api[_-]?key|access[_-]?key|jwt|stripe"),
 )
 
+# Literals one of which occurs in every text the last pattern matches.
+VIEW_SECRET_WORDS = ("password", "secret", "token", "key", "jwt", "stripe")
+
 # Audit-view category keywords, in the order they are tried.
 VIEW_CATEGORIES = (
     ("identity", ("name", "aadhaar", "pan", "ssn", "passport", "license", "person", "per")),

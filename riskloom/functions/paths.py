@@ -16,7 +16,6 @@ from riskloom.catalog import (
     SKIPPED_EXTENSIONS,
     TEXT_EXTENSIONS,
 )
-from riskloom.functions.matching import any_of
 
 
 def basename(path: Column) -> Column:
@@ -43,36 +42,39 @@ def view_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^\\/]*)$", 1)
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """Value of a literal map, NULL when absent; refers to ``key`` once."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def is_chat_name(path: Column) -> Column:
-    return extension(path).isin(*CHAT_EXTENSIONS) & any_of(F.lower(basename(path)), CHAT_NAME_MARKERS)
+    """A text or JSON file whose name holds a chat marker; one pattern over the last path part."""
+    markers = "|".join(m.replace(".", r"\.") for m in CHAT_NAME_MARKERS)
+    endings = "|".join(e.replace(".", r"\.") for e in CHAT_EXTENSIONS)
+    return F.lower(path).rlike(rf"(?s)(?:^|/)(?=[^/]*(?:{markers}))[^/]*(?:{endings})$")
 
 
 def is_config_name(path: Column) -> Column:
-    return any_of(F.lower(basename(path)), CONFIG_NAME_MARKERS)
+    return F.lower(path).rlike(rf"(?:{'|'.join(CONFIG_NAME_MARKERS)})[^/]*$")
 
 
 def file_type(path: Column) -> Column:
-    ext = extension(path)
-    return (
-        F.when(is_chat_name(path), "chat_log")
-        .when(ext == ".pdf", "pdf")
-        .when(ext.isin(".csv", ".xlsx"), "spreadsheet")
-        .when(ext == ".json", "json")
-        .when(any_of(F.lower(path), BROWSER_MARKERS), "browser_db")
-        .otherwise("text")
+    by_suffix = {".pdf": "pdf", ".csv": "spreadsheet", ".xlsx": "spreadsheet", ".json": "json"}
+    browser = F.when(F.lower(path).rlike("|".join(BROWSER_MARKERS)), "browser_db")
+    return F.coalesce(
+        F.when(is_chat_name(path), "chat_log"), _lookup(by_suffix, extension(path)), browser, F.lit("text")
     )
 
 
 def extract_kind(path: Column) -> Column:
     """Which extractor reads the file; NULL for files that none of them supports."""
-    ext = extension(path)
-    return (
-        F.when(is_chat_name(path), "chat")
-        .when(ext == ".pdf", "pdf")
-        .when(ext.isin(".csv", ".xlsx"), "csv")
-        .when(ext == ".json", "json")
-        .when((ext == ".db") | F.contains(F.lower(path), F.lit("sqlite")), "db")
-        .when(ext.isin(*TEXT_EXTENSIONS) | is_config_name(path), "text")
+    by_suffix = {".pdf": "pdf", ".csv": "csv", ".xlsx": "csv", ".json": "json", ".db": "db"}
+    return F.coalesce(
+        F.when(is_chat_name(path), "chat"),
+        _lookup(by_suffix, extension(path)),
+        F.when(F.contains(F.lower(path), F.lit("sqlite")), "db"),
+        _lookup(dict.fromkeys(TEXT_EXTENSIONS, "text"), extension(path)),
+        F.when(is_config_name(path), "text"),
     )
 
 
@@ -82,7 +84,10 @@ def is_skipped(path: Column) -> Column:
 
 def location_risk(path: Column) -> Column:
     low = F.lower(path)
-    return F.when(any_of(low, HIGH_RISK_LOCATIONS), "high").when(any_of(low, MEDIUM_RISK_LOCATIONS), "medium").otherwise("low")
+    high, medium = (
+        "|".join(m.replace(".", r"\.") for m in markers) for markers in (HIGH_RISK_LOCATIONS, MEDIUM_RISK_LOCATIONS)
+    )
+    return F.when(low.rlike(high), "high").when(low.rlike(medium), "medium").otherwise("low")
 
 
 def age_days(modified: Column, as_of: Column) -> Column:

@@ -23,6 +23,7 @@ from riskloom.catalog import (
     ROUTING_SHAPE,
     RULES,
     VIEW_PATTERNS,
+    VIEW_SECRET_WORDS,
     Rule,
 )
 from riskloom.functions.matching import count_of, cut, hits, pieces, quoted, spans, steps, unicode_regex
@@ -60,11 +61,12 @@ def _line_flags(line: str) -> str:
 
 def _gate(rule: Rule) -> str:
     """A cheap condition that every text with a match satisfies; it never changes the result."""
-    if rule.digits:
-        return "_digits"
+    tests = []
     if rule.needs:
-        return " OR ".join(["_dotted"] + [f"contains(_folded, {quoted(word)})" for word in rule.needs])
-    return "true"
+        tests.append(" OR ".join(["_dotted"] + [f"contains(_folded, {quoted(word)})" for word in rule.needs]))
+    if rule.gate:
+        tests.append(f"_text RLIKE {quoted(rule.gate)}")
+    return " AND ".join(f"({t})" for t in tests) or "true"
 
 
 def _values(rule: Rule) -> str:
@@ -105,7 +107,6 @@ def detect(
         "_text",
         "lower(upper(_text)) AS _folded",
         "contains(_text, 'İ') AS _dotted",
-        f"_text RLIKE {quoted(chr(92) + 'p{Nd}{3}')} AS _digits",
     )
     matched = gated.selectExpr(
         *passed, "_text", *[f"{_values(r)} AS {names[i]}" for i, r in enumerate(rules)]
@@ -204,7 +205,7 @@ def category_of(pii_type: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), pii_type), F.lit(DEFAULT_CATEGORY))
 
 
-def _ascii_view(name: str, pattern: str) -> str:
+def _ascii_view(name: str, pattern: str, bordered: bool = True) -> str:
     """The audit view's patterns use ASCII word borders; spell them out for the JVM engine.
 
     For a presence test one-sided borders are enough where the neighbouring character class is made
@@ -215,18 +216,30 @@ def _ascii_view(name: str, pattern: str) -> str:
     if name == "email":
         opening = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
     space = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-    bordered = pattern.replace(r"\b", opening, 1).replace(r"\b", f"(?!{word})")
-    return bordered.replace(r"[\s-]", f"[{space}-]").replace(r"\s?", f"[{space}]?")
+    closing = f"(?!{word})"
+    shown = pattern.replace(r"\b", opening if bordered else "", 1).replace(r"\b", closing if bordered else "")
+    return shown.replace(r"[\s-]", f"[{space}-]").replace(r"\s?", f"[{space}]?")
 
 
 def presence(text: str) -> Column:
-    """Audit-view types present in a text, in the catalogue's order."""
-    needs = {"email": f"contains({text}, '@')", "password": "true"}
+    """Audit-view types present in a text, in the catalogue's order.
+
+    Each pattern is preceded by a cheaper necessary test: the same pattern without word borders, or a
+    literal search.
+    """
+
+    def gate(name: str, pattern: str) -> str:
+        if name == "email":
+            return f"contains({text}, '@')"
+        if name == "password":
+            return " OR ".join(f"contains(l, {quoted(w)})" for w in VIEW_SECRET_WORDS)
+        return f"{text} RLIKE {quoted(_ascii_view(name, pattern, bordered=False))}"
+
     flags = ", ".join(
-        f"if({needs.get(name, 'd')} AND {text} RLIKE {quoted(_ascii_view(name, p))}, {quoted(name)}, NULL)"
+        f"if(({gate(name, p)}) AND {text} RLIKE {quoted(_ascii_view(name, p))}, {quoted(name)}, NULL)"
         for name, p in VIEW_PATTERNS
     )
-    found = f"transform(array({text} RLIKE '[0-9]{{2}}'), d -> array({flags}))[0]"
+    found = f"transform(array(lower({text})), l -> array({flags}))[0]"
     return F.expr(f"filter({found}, t -> t IS NOT NULL)")
 
 

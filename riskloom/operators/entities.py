@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from riskloom.functions.matching import pieces, quoted
 from riskloom.operators.detect import DETECTIONS, explode_detections
 
 TOKENS = "array<struct<start:int,stop:int,logits:array<float>>>"
-ENTITY = "struct<pii_type:string,start:int,stop:int,total:double,n:int>"
 
 
 def chunks(df: DataFrame, *keys: str, text: str = "text", width: int = CHUNK_CHARS) -> DataFrame:
@@ -30,73 +30,95 @@ def chunks(df: DataFrame, *keys: str, text: str = "text", width: int = CHUNK_CHA
     return cut.select(*keys, F.explode_outer(F.expr(rows)).alias("_c")).filter("_c IS NOT NULL").select(*keys, "_c.*")
 
 
-def predict(chunked: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> DataFrame:
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def predict(chunked: DataFrame, factory: Callable[[], Callable[[list[str]], list[Tokens]]]) -> DataFrame:
     """Add ``tokens`` from a user model.
 
-    ``factory`` builds ``texts -> per text, a list of (start, stop, logits)`` once per Python worker.
+    ``factory`` builds ``texts -> per text (starts, stops, logits)`` once per Python worker; starts
+    and stops are integer arrays, logits a float array with one row per token. Batches cross as
+    Arrow and the token columns are assembled from whole arrays.
     """
-    names = chunked.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
         model = factory()
         for batch in batches:
-            found = model(list(batch["chunk"]))
-            tokens = [[{"start": s, "stop": e, "logits": list(v)} for s, e, v in row] for row in found]
-            yield batch[names].assign(tokens=pd.Series(tokens, index=batch.index, dtype="object"))
+            found = model(batch.column(batch.schema.get_field_index("chunk")).to_pylist())
+            counts = np.array([len(starts) for starts, _, _ in found], dtype=np.int32)
+            logits = np.concatenate([np.asarray(v, dtype=np.float32).reshape(len(s), -1) for s, _, v in found if len(s)] or
+                                    [np.zeros((0, 1), dtype=np.float32)])
+            width = logits.shape[1]
+            inner = pa.ListArray.from_arrays(
+                np.arange(len(logits) + 1, dtype=np.int32) * width, pa.array(logits.reshape(-1), type=pa.float32())
+            )
+            flat = [
+                pa.array(np.concatenate([np.asarray(t[i], dtype=np.int32) for t in found] or [np.zeros(0, np.int32)]), type=pa.int32())
+                for i in (0, 1)
+            ]
+            tokens = pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum(counts)]).astype(np.int32),
+                pa.StructArray.from_arrays([*flat, inner], ["start", "stop", "logits"]),
+            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
 
     run.__module__ = "__main__"
-    return chunked.mapInPandas(run, f"{schema}, tokens {TOKENS}")
+    return chunked.mapInArrow(run, f"{schema}, tokens {TOKENS}")
 
 
 def label_tokens(df: DataFrame) -> DataFrame:
-    """Replace logits by the most likely label (first on ties) and its softmax probability."""
+    """Replace logits by the most likely label (first on ties) and its softmax probability.
+
+    Zero-width tokens are dropped; the probability is only worked out for labels of an entity.
+    """
     peak = "array_max(t.logits)"
     power = f"aggregate(t.logits, 0D, (a, x) -> a + exp(double(x) - double({peak})))"
-    labels = "array(" + ", ".join(quoted(x) for x in LABELS) + ")"
-    best = f"int(array_position(t.logits, {peak}) - 1)"
-    entity = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in ENTITY_OF_LABEL.items()) + ")"
-    labelled = f"""transform(tokens, t -> named_struct(
-        'start', t.start, 'stop', t.stop, 'label', {labels}[{best}], 'p', 1D / {power}))"""
-    typed = f"""transform(filter(_labels, t -> t.start <> t.stop), t -> named_struct(
-        'start', t.start, 'stop', t.stop, 'p', t.p, 'opens', startswith(t.label, 'B-'),
-        'pii_type', try_element_at({entity}, substring(t.label, 3))))"""
-    return df.withColumn("_labels", F.expr(labelled)).withColumn("labels", F.expr(typed)).drop("_labels", "tokens")
+    entity = [quoted(ENTITY_OF_LABEL.get(x[2:], "")) for x in LABELS]
+    opens = [str(x.startswith("B-")).lower() for x in LABELS]
+    chosen = f"""transform(filter(tokens, t -> t.start <> t.stop), t -> named_struct(
+        't', t, 'label', int(array_position(t.logits, {peak}) - 1)))"""
+    named = f"""transform(_chosen, c -> named_struct(
+        'start', c.t.start, 'stop', c.t.stop, 'opens', array({', '.join(opens)})[c.label],
+        'pii_type', nullif(array({', '.join(entity)})[c.label], ''), 't', c.t))"""
+    typed = f"""transform(_named, n -> named_struct('start', n.start, 'stop', n.stop, 'opens', n.opens,
+        'pii_type', n.pii_type, 'p', if(n.pii_type IS NULL, NULL, 1D / {power.replace('t.logits', 'n.t.logits')})))"""
+    steps = (("_chosen", chosen), ("_named", named), ("labels", typed))
+    for name, step in steps:
+        df = df.withColumn(name, F.expr(step))
+    return df.drop("_chosen", "_named", "tokens")
 
 
 def decode(df: DataFrame, *keys: str) -> DataFrame:
     """Entities of each chunk as an array of detections with absolute offsets.
 
-    The fold carries the open entity: a label without an entity closes it, a begin label or another
-    type starts a new one, and any other label extends it.
+    A label without an entity ends a span; a begin label, another type, or the first label after an
+    end starts one. The marks cut the token array, so each span is one slice and the work is linear.
     """
-    fresh = "named_struct('pii_type', t.pii_type, 'start', t.start, 'stop', t.stop, 'total', t.p, 'n', 1)"
-    close = "if(a.open IS NULL, a.done, concat(a.done, array(a.open)))"
-    grown = (
-        "named_struct('pii_type', a.open.pii_type, 'start', a.open.start, 'stop', t.stop, "
-        "'total', a.open.total + t.p, 'n', a.open.n + 1)"
-    )
-    state = f"struct<done:array<{ENTITY}>,open:{ENTITY}>"
-    fold = f"""aggregate(labels, cast(named_struct('done', array(), 'open', NULL) AS {state}),
-        (a, t) -> cast(CASE
-            WHEN t.pii_type IS NULL THEN named_struct('done', {close}, 'open', cast(NULL AS {ENTITY}))
-            WHEN t.opens OR a.open IS NULL OR a.open.pii_type <> t.pii_type
-                THEN named_struct('done', {close}, 'open', {fresh})
-            ELSE named_struct('done', a.done, 'open', {grown}) END AS {state}),
-        a -> {close})"""
+    begins = """t.pii_type IS NOT NULL AND (t.opens OR i = 0 OR NOT (labels[i - 1].pii_type <=> t.pii_type))"""
+    marks = f"""filter(transform(labels, (t, i) -> named_struct('at', i, 'first', {begins}, 'other', t.pii_type IS NULL)),
+        m -> m.first OR m.other)"""
+    spans = """filter(transform(_marks, (m, k) -> named_struct('first', m.first, 'tokens', if(m.first,
+        slice(labels, m.at + 1, coalesce(get(_marks, k + 1).at, size(labels)) - m.at), NULL))), s -> s.first)"""
     category = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in CATEGORY_BY_TYPE.items()) + ")"
     around = "concat(before, chunk, after)"
     lead = "char_length(before)"
     space = quoted(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    flat = """transform(_spans, s -> named_struct('pii_type', s.tokens[0].pii_type, 'start', s.tokens[0].start,
+        'stop', s.tokens[size(s.tokens) - 1].stop, 'p', aggregate(s.tokens, 0D, (a, t) -> a + t.p) / size(s.tokens)))"""
     built = f"""filter(transform(_found, e -> named_struct(
         'start', chunk_start + e.start, 'pii_type', e.pii_type, 'stop', chunk_start + e.stop,
         'value', regexp_replace(substring(chunk, e.start + 1, e.stop - e.start), {space}, ''),
-        'category', {category}[e.pii_type], 'method', 'ner', 'confidence', round(e.total / e.n, 4),
-        'excerpt', substring({around}, greatest({lead} + e.start - {EXCERPT_RADIUS}, 0) + 1,
+        'category', {category}[e.pii_type], 'method', 'ner', 'confidence', round(e.p, 4),
+        'excerpt', substring(_around, greatest({lead} + e.start - {EXCERPT_RADIUS}, 0) + 1,
             {lead} + e.stop + {EXCERPT_RADIUS} - greatest({lead} + e.start - {EXCERPT_RADIUS}, 0)))),
         d -> d.value <> '')"""
-    found = df.withColumn("_found", F.expr(fold))
-    return found.select(*keys, "chunk_start", F.expr(f"cast({built} AS {DETECTIONS})").alias("detections"))
+    for name, step in (("_marks", marks), ("_spans", spans), ("_found", flat), ("_around", around)):
+        df = df.withColumn(name, F.expr(step))
+    return df.select(*keys, "chunk_start", F.expr(f"cast({built} AS {DETECTIONS})").alias("detections"))
 
 
 def detect_entities(df: DataFrame, *keys: str, factory: Callable, text: str = "text") -> DataFrame:

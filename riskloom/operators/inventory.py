@@ -49,15 +49,15 @@ def unique_paths(files: DataFrame, keep_first: str = "root_ord") -> DataFrame:
 def dispatch(files: DataFrame, max_file_size_mb: float = MAX_FILE_SIZE_MB) -> DataFrame:
     """Add ``outcome`` (skipped, large, unsupported or read) and ``kind`` (the extractor)."""
     path = F.col("path")
-    kind = P.extract_kind(path)
+    named = files.withColumns({"_skip": P.is_skipped(path), "kind": P.extract_kind(path)})
     outcome = (
-        F.when(P.is_skipped(path), "skipped")
+        F.when(F.col("_skip"), "skipped")
         .when(F.col("size") > int(max_file_size_mb * 1024 * 1024), "large")
-        .when(kind.isNull(), "unsupported")
+        .when(F.col("kind").isNull(), "unsupported")
         .otherwise("read")
     )
-    read = files.withColumn("outcome", outcome)
-    return read.withColumn("kind", F.when(F.col("outcome") == "read", kind))
+    judged = named.withColumn("outcome", outcome)
+    return judged.withColumn("kind", F.when(F.col("outcome") == "read", F.col("kind"))).drop("_skip")
 
 
 def with_metadata(files: DataFrame, as_of: Column) -> DataFrame:

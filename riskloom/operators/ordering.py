@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import use_checkpoints
+from riskloom.sources.sinks import materialize
 
 BUCKETS = 64
 
@@ -34,15 +34,13 @@ def cutoff(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column], ke
 def running_totals(df: DataFrame, order: Sequence[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Add inclusive running sums of ``flags`` in global ``order`` without a single-task window.
 
-    Rows are range-partitioned and checkpointed (so a partition number means the same rows in both
+    Rows are range-partitioned and written once (so a partition number means the same rows in both
     uses below), each partition keeps its own running sums, and the offsets of earlier partitions
     come from one row per partition.
     """
-    spark = df.sparkSession
-    use_checkpoints(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flagged = df.select("*", *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_f_{n}") for n, c in flags.items()])
-    placed = flagged.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = materialize(flagged.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = placed.groupBy("_part").agg(*[F.sum(f"_f_{n}").alias(f"_t_{n}") for n in flags])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: at most ``parts`` rows, so the window and the broadcast are bounded.

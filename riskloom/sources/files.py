@@ -80,7 +80,7 @@ def extract(files: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
     ``files`` comes from ``dispatch`` and carries ``content`` (text or binary). Chat files take their
     own parser and gain its metadata; other rows have NULL there.
     """
-    readable = files.filter("kind IS NOT NULL AND kind <> 'db'").withColumn("content", decode_text(F.col("content")))
+    readable = files.filter("coalesce(kind, 'db') <> 'db'").withColumn("content", decode_text(F.col("content")))
     kind, text = F.col("kind"), F.col("content")
     plain = readable.filter("kind <> 'chat'").withColumn(
         "content",
