@@ -15,7 +15,7 @@ class Rule:
     pattern: str
     # Case-folded literals, one of which occurs in every text with a match.
     needs: tuple[str, ...] = ()
-    # A cheap pattern that occurs in every text with a match.
+    # A short pattern around digits that occurs in every text with a match.
     gate: str = ""
 
 
@@ -35,7 +35,7 @@ RULES = (
         gate=r"\p{Nd}{8}",
     ),
     Rule("RoutingCode", "financial", 10, r"\b(?:(?:routing(?:_code)?|ifsc)\D{0,40})?[A-Z]{4}0[A-Z0-9]{6}\b", gate=r"\p{L}0[\p{L}\p{Nd}]{6}"),
-    Rule("Secret", "credentials", 16, r"\b[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY)[A-Z0-9_]*\s*[:=]\s*\S+", needs=("secret", "token", "password", "api_key"), gate="[:=]"),
+    Rule("Secret", "credentials", 16, r"\b[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY)[A-Z0-9_]*\s*[:=]\s*\S+", needs=("secret", "token", "password", "api_key")),
     Rule("APIKey", "credentials", 16, r"\b(?:sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})\b", needs=("sk-", "akia")),
     Rule(
         "Medical",

@@ -25,8 +25,20 @@ def quoted(value: str) -> str:
 
 
 def unicode_regex(pattern: str) -> str:
-    """Case-blind matching with Unicode word, digit and space classes."""
-    return "(?iU)" + pattern
+    """Case-blind matching with Unicode word, digit and space classes.
+
+    The dotted capital I and the Kelvin sign fold to letters of the range ``A-Z`` and count as such.
+    """
+    return "(?iU)" + pattern.replace("A-Z", "A-Z\u0130\u212a")
+
+
+def squeezed(text: str) -> str:
+    """Digits with the eight characters on either side; longer stretches without digits are cut out.
+
+    Whatever a short pattern around digits finds in the text it also finds here, in far fewer characters.
+    """
+    stretch = r"(?s)(\P{Nd}{8})\P{Nd}+(\P{Nd}{8})"
+    return f"regexp_replace({text}, {quoted(stretch)}, '$1~$2')"
 
 
 def count_of(text: str, literal: str) -> str:

@@ -26,7 +26,7 @@ from riskloom.catalog import (
     VIEW_SECRET_WORDS,
     Rule,
 )
-from riskloom.functions.matching import count_of, cut, hits, pieces, quoted, spans, steps, unicode_regex
+from riskloom.functions.matching import count_of, cut, hits, pieces, quoted, spans, squeezed, steps, unicode_regex
 
 # Sorting by this struct sorts by position, then type.
 DETECTION = (
@@ -65,7 +65,7 @@ def _gate(rule: Rule) -> str:
     if rule.needs:
         tests.append(" OR ".join(["_dotted"] + [f"contains(_folded, {quoted(word)})" for word in rule.needs]))
     if rule.gate:
-        tests.append(f"_text RLIKE {quoted(rule.gate)}")
+        tests.append(f"_squeezed RLIKE {quoted(rule.gate)}")
     return " AND ".join(f"({t})" for t in tests) or "true"
 
 
@@ -105,8 +105,10 @@ def detect(
     gated = df.selectExpr(*passed, f"coalesce(`{text}`, '') AS _text").selectExpr(
         *passed,
         "_text",
-        "lower(upper(_text)) AS _folded",
+        # Two letters that case-blind matching takes for s and i but that have no such lower case.
+        "translate(lower(_text), '\u017f\u0131', 'si') AS _folded",
         "contains(_text, 'İ') AS _dotted",
+        f"{squeezed('_text')} AS _squeezed",
     )
     matched = gated.selectExpr(
         *passed, "_text", *[f"{_values(r)} AS {names[i]}" for i, r in enumerate(rules)]
@@ -232,14 +234,15 @@ def presence(text: str) -> Column:
         if name == "email":
             return f"contains({text}, '@')"
         if name == "password":
-            return " OR ".join(f"contains(l, {quoted(w)})" for w in VIEW_SECRET_WORDS)
-        return f"{text} RLIKE {quoted(_ascii_view(name, pattern, bordered=False))}"
+            return " OR ".join(f"contains(g.low, {quoted(w)})" for w in VIEW_SECRET_WORDS)
+        return f"g.digits RLIKE {quoted(_ascii_view(name, pattern, bordered=False).replace('{11,30}', ''))}"
 
     flags = ", ".join(
         f"if(({gate(name, p)}) AND {text} RLIKE {quoted(_ascii_view(name, p))}, {quoted(name)}, NULL)"
         for name, p in VIEW_PATTERNS
     )
-    found = f"transform(array(lower({text})), l -> array({flags}))[0]"
+    cheap = f"named_struct('low', lower({text}), 'digits', {squeezed(text)})"
+    found = f"transform(array({cheap}), g -> array({flags}))[0]"
     return F.expr(f"filter({found}, t -> t IS NOT NULL)")
 
 

@@ -20,18 +20,13 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.parse_json(F.coalesce(text, F.lit("{}"))))
 
 
-def prepare(entries: DataFrame, at: Column) -> DataFrame:
-    """Validate and normalise entries: type and source are required."""
+def stamped(entries: DataFrame, at: Column) -> DataFrame:
+    """Entries with their time; type and source are required."""
     missing = (F.coalesce("type", F.lit("")) == "") | (F.coalesce("source", F.lit("")) == "")
     kind = F.when(missing, F.raise_error(F.lit("type and source are required")).cast("string")).otherwise(F.col("type"))
-    payload = F.col("payload") if "payload" in entries.columns else F.lit(None).cast("string")
-    metadata = F.col("metadata") if "metadata" in entries.columns else F.lit(None).cast("string")
+    optional = {c: F.col(c) if c in entries.columns else F.lit(None).cast("string") for c in ("payload", "metadata")}
     return entries.select(
-        at.alias("timestamp"),
-        kind.alias("type"),
-        "source",
-        canonical_json(payload).alias("payload"),
-        canonical_json(metadata).alias("metadata"),
+        at.alias("timestamp"), kind.alias("type"), "source", *[c.alias(name) for name, c in optional.items()]
     )
 
 
@@ -39,7 +34,12 @@ def with_ids(entries: DataFrame, after: int = 0) -> DataFrame:
     """Dense ids in (timestamp, type, source, payload) order, numbered without a single-task sort."""
     order = ["timestamp", "type", "source", "payload", "metadata"]
     numbered = running_totals(entries, order, {"_n": F.lit(1)})
-    return numbered.select((F.col("_n") + after).alias("id"), "timestamp", "type", "source", "payload", "metadata")
+    return numbered.select((F.col("_n") + after).alias("id"), *order)
+
+
+def canonical(entries: DataFrame) -> DataFrame:
+    """Payload and metadata as JSON with sorted keys."""
+    return entries.withColumns({c: canonical_json(F.col(c)) for c in ("payload", "metadata")})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +53,9 @@ def append(entries: DataFrame, path: str, at: Column) -> DataFrame:
         last = read(spark, path).agg(F.max("id")).first()[0] or 0
     except AnalysisException:
         last = 0
-    numbered = with_ids(prepare(entries, at), last)
-    numbered.write.mode("append").partitionBy("type").parquet(path)
+    # Numbering comes first: it reads its input twice, the JSON work should run once.
+    numbered = with_ids(stamped(entries, at), last)
+    canonical(numbered).write.mode("append").partitionBy("type").parquet(path)
     return read(spark, path).filter(F.col("id") > last)
 
 

@@ -525,12 +525,13 @@ ORACLE["ledger_where"] = _with(ENTRIES) + "SELECT * FROM entries WHERE type = 'e
 ORACLE["ledger_stats"] = _with(ENTRIES) + """SELECT type, count(*) AS n, count(DISTINCT source) AS sources, min(timestamp) AS first_at,
     max(json_extract_string(payload, '$.k')::INT) AS top FROM entries GROUP BY type HAVING count(*) > 1"""
 ORACLE["ledger_append"] = """WITH made AS (SELECT event_type AS type, 'user-' || user_id AS source,
-        '{"a":' || json(props)::VARCHAR || ',"z":' || event_id || '}' AS payload FROM events),
-    first AS (SELECT row_number() OVER (ORDER BY type, source, payload) AS id, TIMESTAMP '2024-06-01 12:00:00' AS timestamp, *
+        '{"a":' || json(props)::VARCHAR || ',"z":' || event_id || '}' AS payload,
+        '{"z": ' || event_id || ', "a": ' || props || '}' AS given FROM events),
+    first AS (SELECT row_number() OVER (ORDER BY type, source, given) AS id, TIMESTAMP '2024-06-01 12:00:00' AS timestamp, *
         FROM made WHERE type <> 'error'),
-    second AS (SELECT (SELECT count(*) FROM first) + row_number() OVER (ORDER BY type, source, payload) AS id,
+    second AS (SELECT (SELECT count(*) FROM first) + row_number() OVER (ORDER BY type, source, given) AS id,
         TIMESTAMP '2024-06-01 13:00:00' AS timestamp, * FROM made WHERE type = 'error')
-    SELECT *, '{}' AS metadata FROM (SELECT * FROM first UNION ALL SELECT * FROM second)"""
+    SELECT * EXCLUDE (given), '{}' AS metadata FROM (SELECT * FROM first UNION ALL SELECT * FROM second)"""
 
 # ---- named entities
 

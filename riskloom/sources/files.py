@@ -36,8 +36,8 @@ def top_roots(roots: Sequence[str]) -> list[str]:
 def read_tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """``path, size, modified, content`` of every file below the roots.
 
-    ``content`` is only read where a later step uses it. Spark does not list names that start with
-    a dot or an underscore.
+    ``content`` is only read where a later step uses it. Spark lists neither empty files nor names
+    that start with a dot or an underscore; an inventory table can hold those too.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top_roots(roots))
     return listed.select(
