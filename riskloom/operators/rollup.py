@@ -93,7 +93,10 @@ def group_children(files: DataFrame, by: str = "category", visible: int = GROUP_
         F.max(F.when(F.col("rn") == visible - 1, edge)).alias("edge"), F.max("rn").alias("seen")
     )
     cuts = cuts.filter(F.col("seen") > visible).select("group_name", "edge")
-    joined = keyed.join(cuts, "group_name", "left")
+    if by == "file":
+        joined = keyed.withColumn("edge", cuts.select("edge").scalar())
+    else:
+        joined = keyed.join(cuts, "group_name", "left")
     mine = F.struct((-F.col("value")).alias("a"), F.col("path").alias("b"))
     marked = joined.withColumn("_kept", F.col("edge").isNull() | (mine <= F.col("edge")))
     rest = marked.filter("NOT _kept")
@@ -204,6 +207,12 @@ def directory_nodes(files: DataFrame) -> DataFrame:
     )
 
 
+def node_paths(files: str = "files", path: str = "path") -> Column:
+    """Paths behind a node: those of its files, else its own."""
+    own = f"filter(array({path}), p -> p <> '')"
+    return F.expr(f"if(size({files}) > 0, filter({files}.path, p -> p <> ''), {own})")
+
+
 def portfolio_score(files: DataFrame) -> DataFrame:
     """One row: 0 to 100 share of the highest possible risk, and its tone."""
     total = files.agg(F.coalesce(F.sum("severity"), F.lit(0)).alias("risk"), F.count("*").alias("files"))

@@ -99,14 +99,10 @@ def pii_natural_sources(spark, sf_dir):
 def pii_dedupe(spark, sf_dir):
     """The regex detections together with a second method's copies of them, as long rows."""
     found = D.explode_detections(D.detect(C.planted(spark, sf_dir), heuristics=False), "doc_id")
-    rows = found.select("doc_id", "pii_type", "start", "stop", "value", "method", "confidence", F.lit(0).alias("method_ord"))
-    second = rows.withColumns({
-        "value": F.upper("value"),
-        "method": F.lit("ner"),
-        "confidence": F.expr("array(0.9D, 0.95D, 0.99D)[start % 3]"),
-        "method_ord": F.lit(1),
-    })
-    return D.dedupe_rows(rows.unionByName(second)).select("doc_id", "pii_type", "start", "stop", "method", "value")
+    copies = """array(named_struct('value', value, 'method', method, 'confidence', confidence, 'method_ord', 0),
+        named_struct('value', upper(value), 'method', 'ner', 'confidence', array(0.9D, 0.95D, 0.99D)[start % 3], 'method_ord', 1))"""
+    rows = found.select("doc_id", "pii_type", "start", "stop", F.expr(f"inline({copies})"))
+    return D.dedupe_rows(rows).select("doc_id", "pii_type", "start", "stop", "method", "value")
 
 
 @query
@@ -453,7 +449,8 @@ def search_groups(spark, sf_dir):
 @query
 def search_directories(spark, sf_dir):
     rows = audit_table(spark, sf_dir)
-    return G.search_directories(rows, G.directory_nodes(rows), "doc_1").select("path", "value", "severity", "file_count")
+    nodes = sinks.materialize(G.directory_nodes(rows))
+    return G.search_directories(rows, nodes, "doc_1").select("path", "value", "severity", "file_count")
 
 
 @query

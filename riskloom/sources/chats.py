@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.catalog import CHAT_HEADER, CHAT_MESSAGES, CHAT_SAMPLE
@@ -31,14 +31,16 @@ def chat_metadata(lines: DataFrame, sample: int = CHAT_SAMPLE) -> DataFrame:
     """Message and participant counts and the first participants by name, over whole chats.
 
     Messages are counted per sender first, so a chat with very many messages is combined before the
-    shuffle and only its distinct senders meet.
+    shuffle. The sample is a ranked top list: only ``sample`` names of a chat are ever collected.
     """
     per_sender = lines.groupBy("conv_id", "sender").agg(F.count("*").alias("n"))
-    return per_sender.groupBy("conv_id").agg(
-        F.sum("n").alias("message_count"),
-        F.count("*").alias("participant_count"),
-        F.slice(F.array_sort(F.collect_list("sender")), 1, sample).alias("participants_sample"),
+    counts = per_sender.groupBy("conv_id").agg(
+        F.sum("n").alias("message_count"), F.count("*").alias("participant_count")
     )
+    by_name = Window.partitionBy("conv_id").orderBy("sender")
+    first = per_sender.select("conv_id", "sender", F.row_number().over(by_name).alias("rn")).filter(F.col("rn") <= sample)
+    names = first.groupBy("conv_id").agg(F.array_sort(F.collect_list("sender")).alias("participants_sample"))
+    return counts.join(names, "conv_id")
 
 
 def chat_documents(lines: DataFrame, part_size: int = CHAT_MESSAGES) -> DataFrame:
@@ -58,27 +60,13 @@ def _limit(array: str, n: int | None) -> str:
     return array if n is None else f"slice({array}, 1, {n})"
 
 
-def _finish(df: DataFrame, platform: str, raw: str, chars: int | None) -> DataFrame:
-    """Content and metadata columns from ``_m``: array<struct<sender,line>>."""
-    content = f"if(size(_m) > 0, array_join(_m.line, '\n'), {raw})"
-    senders = "array_sort(array_distinct(_m.sender))"
-    kept = [c for c in df.columns if c not in ("_m", "content")]
-    return df.select(
-        *kept,
-        F.expr(f"left({content}, {chars})" if chars is not None else content).alias("content"),
-        F.lit(platform).alias("chat_platform"),
-        F.expr("size(_m)").alias("chat_message_count"),
-        F.expr(f"size({senders})").alias("chat_participant_count"),
-        F.expr(f"slice({senders}, 1, {CHAT_SAMPLE})").alias("chat_participants_sample"),
-    )
+def _json_messages(parsed: str, limit: int | None) -> str:
+    """SQL: ``array<struct<sender,line>>`` of a JSON export, an object with ``messages`` or a bare list.
 
-
-def parse_json_chats(files: DataFrame, messages: int | None = None, chars: int | None = None) -> DataFrame:
-    """JSON exports: an object with ``messages`` or a bare list; text may be a list of parts."""
-    parsed = files.withColumn("_v", F.try_parse_json("content"))
-    # A bare list is the message list itself.
-    listed = """coalesce(try_variant_get(_v, '$.messages', 'array<variant>'),
-        try_variant_get(_v, '$', 'array<variant>'), cast(array() AS array<variant>))"""
+    Text may be a list of parts; messages without text and entries that are no objects are skipped.
+    """
+    listed = f"""coalesce(try_variant_get({parsed}, '$.messages', 'array<variant>'),
+        try_variant_get({parsed}, '$', 'array<variant>'), cast(array() AS array<variant>))"""
     part = """coalesce(if(startswith(schema_of_variant(p), 'OBJECT'),
         coalesce(try_variant_get(p, '$.text', 'string'), ''), try_variant_get(p, '$', 'string')), '')"""
     text = f"""if(startswith(schema_of_variant(m), 'OBJECT'),
@@ -87,46 +75,75 @@ def parse_json_chats(files: DataFrame, messages: int | None = None, chars: int |
             try_variant_get(m, '$.text', 'string')), ''), '')"""
     sender = """coalesce(nullif(try_variant_get(m, '$.from', 'string'), ''),
         nullif(try_variant_get(m, '$.from_id', 'string'), ''), 'unknown')"""
-    rows = f"""transform({_limit(listed, messages)}, m -> named_struct(
+    rows = f"""transform({_limit(listed, limit)}, m -> named_struct(
         'sender', {sender}, 'text', {text}, 'date', coalesce(try_variant_get(m, '$.date', 'string'), '')))"""
-    lines = f"""transform(filter({rows}, m -> {stripped('m.text')} <> ''),
+    return f"""transform(filter({rows}, m -> {stripped('m.text')} <> ''),
         m -> named_struct('sender', m.sender, 'line', concat(m.date, ' ', m.sender, ': ', m.text)))"""
-    return _finish(parsed.withColumn("_m", F.expr(lines)).drop("_v"), "telegram", "''", chars)
 
 
-def parse_text_chats(
-    files: DataFrame, raw_chars: int | None = None, chars: int | None = None
-) -> DataFrame:
-    """Plain-text exports: header lines start messages, other lines continue the one before.
+def _text_messages() -> str:
+    """SQL: the same of a plain-text export, from its lines ``_l`` and the positions ``_h`` of header lines.
 
-    Works inside each file's row: the positions of the header lines cut the line array into messages.
+    Header lines start messages, other lines continue the one before; each message is one slice.
     """
-    raw = files.withColumn("_raw", F.col("content") if raw_chars is None else F.left("content", F.lit(raw_chars)))
     header = quoted("(?U)" + CHAT_HEADER)
-    lined = raw.withColumn("_l", F.expr(f"transform(split(_raw, {quoted(LINE_BREAK)}, -1), l -> {stripped('l')})"))
-    heads = lined.withColumn("_h", F.expr(f"filter(transform(_l, (l, i) -> if(l RLIKE {header}, i, -1)), i -> i >= 0)"))
 
     def group(number: int) -> str:
         return stripped(f"regexp_extract(_l[p], {header}, {number})")
 
     tail = """array_join(transform(filter(
         slice(_l, p + 2, coalesce(get(_h, k + 1), size(_l)) - p - 1), l -> l <> ''), l -> concat(' ', l)), '')"""
-    message = f"""transform(_h, (p, k) -> named_struct(
-        'sender', {group(1)},
-        'line', concat({group(1)}, ': ', {group(2)}, {tail})))"""
-    done = heads.withColumn("_m", F.expr(message)).drop("_l", "_h")
-    return _finish(done, "whatsapp", "_raw", chars).drop("_raw")
+    return f"""transform(_h, (p, k) -> named_struct(
+        'sender', {group(1)}, 'line', concat({group(1)}, ': ', {group(2)}, {tail})))"""
 
 
-def parse_chat_files(
-    files: DataFrame,
-    messages: int | None = None,
-    raw_chars: int | None = None,
-    chars: int | None = None,
-    is_json: Column | None = None,
+def with_messages(
+    files: DataFrame, is_chat: Column, messages: int | None = None, raw_chars: int | None = None
 ) -> DataFrame:
-    """JSON exports and plain-text exports, told apart by extension."""
-    chosen = extension(F.col("path")) == ".json" if is_json is None else is_json
-    return parse_json_chats(files.filter(chosen), messages, chars).unionByName(
-        parse_text_chats(files.filter(~chosen), raw_chars, chars)
+    """Add ``_m``, the messages of each chat file (NULL for other files), in one pass over the files.
+
+    JSON and plain-text exports are told apart by extension. Everything happens inside the file's
+    row, so chats need neither a scan of their own nor a shuffle. Also adds ``_chat`` (the platform)
+    and ``_raw`` (what stands for the content of a chat without any message).
+    """
+    platform = F.when(is_chat & (extension(F.col("path")) == ".json"), "telegram").when(is_chat, "whatsapp")
+    raw = "content" if raw_chars is None else f"left(content, {raw_chars})"
+    header = quoted("(?U)" + CHAT_HEADER)
+    steps = (
+        ("_v", "if(_chat = 'telegram', try_parse_json(content), NULL)"),
+        ("_raw", f"CASE _chat WHEN 'whatsapp' THEN {raw} WHEN 'telegram' THEN '' END"),
+        ("_l", f"if(_chat = 'whatsapp', transform(split(_raw, {quoted(LINE_BREAK)}, -1), l -> {stripped('l')}), NULL)"),
+        ("_h", f"filter(transform(_l, (l, i) -> if(l RLIKE {header}, i, -1)), i -> i >= 0)"),
+        ("_m", f"CASE _chat WHEN 'telegram' THEN {_json_messages('_v', messages)} WHEN 'whatsapp' THEN {_text_messages()} END"),
     )
+    df = files.withColumn("_chat", platform)
+    for name, step in steps:
+        df = df.withColumn(name, F.expr(step))
+    return df.drop("_v", "_l", "_h")
+
+
+CHAT_COLUMNS = ("chat_platform", "chat_message_count", "chat_participant_count", "chat_participants_sample")
+
+
+def chat_columns() -> list[Column]:
+    """Metadata columns from the result of ``with_messages``; NULL for other files."""
+    senders = "array_sort(array_distinct(_m.sender))"
+    return [
+        F.col("_chat").alias("chat_platform"),
+        F.expr("if(_chat IS NULL, NULL, size(_m))").alias("chat_message_count"),
+        F.expr(f"if(_chat IS NULL, NULL, size({senders}))").alias("chat_participant_count"),
+        F.expr(f"slice({senders}, 1, {CHAT_SAMPLE})").alias("chat_participants_sample"),
+    ]
+
+
+CHAT_CONTENT = "if(size(_m) > 0, array_join(_m.line, '\n'), _raw)"
+
+
+def parse_chat_files(
+    files: DataFrame, messages: int | None = None, raw_chars: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """Content and metadata of files that are all chat exports."""
+    parsed = with_messages(files, F.lit(True), messages, raw_chars)
+    content = CHAT_CONTENT if chars is None else f"left({CHAT_CONTENT}, {chars})"
+    rest = [c for c in files.columns if c != "content"]
+    return parsed.select(*rest, F.expr(content).alias("content"), *chat_columns())

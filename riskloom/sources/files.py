@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.catalog import CHAT_MESSAGES, CHAT_RAW_CHARS, CSV_ROWS, EXTRACT_CHARS
-from riskloom.sources.chats import parse_chat_files
+from riskloom.sources.chats import CHAT_CONTENT, chat_columns, with_messages
 
 
 @dataclass(frozen=True)
@@ -75,19 +75,21 @@ def csv_text(text: Column, rows: int | None) -> Column:
 
 
 def extract(files: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
-    """Text of every dispatched file, empty results dropped.
+    """Text of every dispatched file, empty results dropped, in one pass over the contents.
 
-    ``files`` comes from ``dispatch`` and carries ``content`` (text or binary). Chat files take their
-    own parser and gain its metadata; other rows have NULL there.
+    ``files`` comes from ``dispatch`` and carries ``content`` (text or binary). Chat files gain their
+    metadata; other rows have NULL there.
     """
     readable = files.filter("coalesce(kind, 'db') <> 'db'").withColumn("content", decode_text(F.col("content")))
     kind, text = F.col("kind"), F.col("content")
-    plain = readable.filter("kind <> 'chat'").withColumn(
-        "content",
-        limited(
-            F.when(kind == "json", json_text(text)).when(kind == "csv", csv_text(text, bounds.csv_rows)).otherwise(text),
-            bounds.chars,
-        ),
+    parsed = with_messages(readable, kind == "chat", bounds.messages, bounds.raw_chat_chars)
+    content = (
+        F.when(kind == "chat", F.expr(CHAT_CONTENT))
+        .when(kind == "json", json_text(text))
+        .when(kind == "csv", csv_text(text, bounds.csv_rows))
+        .otherwise(text)
     )
-    chats = parse_chat_files(readable.filter("kind = 'chat'"), bounds.messages, bounds.raw_chat_chars, bounds.chars)
-    return plain.unionByName(chats, allowMissingColumns=True).filter(F.char_length("content") > 0)
+    rest = [c for c in files.columns if c != "content"]
+    shown = parsed.select(*rest, limited(content, bounds.chars).alias("content"), *chat_columns())
+    # The content is worked out once; a filter on it would run below the projection a second time.
+    return shown.select("*", F.explode_outer(F.array("content")).alias("_c")).filter("_c <> ''").drop("_c")

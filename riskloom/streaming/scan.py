@@ -128,21 +128,27 @@ def scan_log(
     shown = events.select(
         F.lit(1).alias("seq"), "event", "path", "kind", "outcome", "root_ord"
     )
-    reached = []
+    reached, written = [], {}
+
+    def earlier(batch_id: int) -> int:
+        """Rows of earlier batches: counted from the log after a restart, then kept up to date."""
+        if not written:
+            logged = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+            own = F.contains(F.input_file_name(), F.lit(f"/batch_id={batch_id}/"))
+            written[-1] = logged.filter((F.col("seq") == 1) & ~own).count()
+        return sum(n for b, n in written.items() if b != batch_id)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch_id={batch_id}"
         rows = batch
         if max_files is not None:
-            done = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).filter(
-                (F.col("seq") == 1) & ~F.contains(F.input_file_name(), F.lit(f"/batch_id={batch_id}/"))
-            ).count()
-            left = max(max_files - done, 0)
-            if batch.count() > left:
+            left = max(max_files - earlier(batch_id), 0)
+            size = batch.count()
+            if size > left:
                 reached.append(batch_id)
                 rows = batch.orderBy("root_ord", "path").limit(left)
+            written[batch_id] = min(size, left)
         # A replayed batch overwrites its own folder, so a restart neither loses nor repeats rows.
-        rows.write.mode("overwrite").json(target)
+        rows.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
 
     run_available(shown, write)
     if reached:

@@ -131,6 +131,12 @@ def test_portfolio_of_nothing_and_everything(spark):
     assert G.root_totals(G.group_totals(audit_rows(spark))).first().group_count == 2
 
 
+def test_node_paths(spark):
+    df = spark.sql("""SELECT array(named_struct('path', '/a'), named_struct('path', '')) AS files, '/n' AS path
+        UNION ALL SELECT cast(array() AS array<struct<path:string>>), '/n' UNION ALL SELECT NULL, ''""")
+    assert [r.p for r in df.select(G.node_paths().alias("p")).collect()] == [["/a"], ["/n"], []]
+
+
 def test_top_keys_and_cutoff(spark):
     df = spark.range(1000).selectExpr("id % 97 AS a", "concat('k', id) AS b")
     got = [tuple(r) for r in top_keys(df, [F.desc("a"), F.asc("b")], ["a", "b"], 25).collect()]
