@@ -106,7 +106,7 @@ def detect(
         *passed,
         "_text",
         # Two letters that case-blind matching takes for s and i but that have no such lower case.
-        "translate(lower(_text), '\u017f\u0131', 'si') AS _folded",
+        "replace(replace(lower(_text), '\u017f', 's'), '\u0131', 'i') AS _folded",
         "contains(_text, 'İ') AS _dotted",
         f"{squeezed('_text')} AS _squeezed",
     )
