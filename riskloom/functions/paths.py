@@ -26,6 +26,15 @@ def dirname(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+def normalized(path: str) -> Column:
+    """Absolute path without empty, ``.`` and ``..`` parts; ``path`` is a SQL expression."""
+    folded = f"""aggregate(split({path}, '/', -1), cast(array() AS array<string>), (done, p) -> CASE
+        WHEN p IN ('', '.') THEN done
+        WHEN p = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
+        ELSE concat(done, array(p)) END)"""
+    return F.expr(f"concat('/', array_join({folded}, '/'))")
+
+
 def extension(path: Column) -> Column:
     """Suffix with its dot, lower case; leading dots of a name do not start a suffix."""
     return F.lower(F.regexp_extract(basename(path), r"^\.*[^.].*(\.[^.]*)$", 1))

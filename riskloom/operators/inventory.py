@@ -37,9 +37,8 @@ def visit(files: DataFrame, roots: Sequence[str], max_depth: int = MAX_DEPTH) ->
 def unique_paths(files: DataFrame, keep_first: str = "root_ord") -> DataFrame:
     """One row per normalised path for inventories that list a file twice; narrow columns only."""
     rest = [c for c in files.columns if c not in ("path", "content")]
-    normal = F.regexp_replace(F.regexp_replace("path", "/(\\./)+", "/"), "/{2,}", "/")
     return (
-        files.select(normal.alias("path"), *rest)
+        files.select(P.normalized("path").alias("path"), *rest)
         .groupBy("path")
         .agg(F.min_by(F.struct(*rest), F.col(keep_first)).alias("_row"))
         .select("path", "_row.*")

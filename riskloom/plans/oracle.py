@@ -276,6 +276,8 @@ ORACLE["extract_text"] = _with(*BASE, *_visited([ROOT])) + rf"""SELECT path, kin
     SELECT path, kind, CASE WHEN kind = 'json' THEN CASE WHEN json_valid(content) THEN json(content)::VARCHAR END
         WHEN kind = 'csv' THEN regexp_replace(content, '\n+$', '') ELSE content END AS c
     FROM visited WHERE kind IS NOT NULL AND kind <> 'db') WHERE len(c) > 0"""
+ORACLE["scan_tree"] = _with(*RAW) + """SELECT source, lang, pii_type, count(*) AS hits
+    FROM hits JOIN documents USING (doc_id) GROUP BY source, lang, pii_type"""
 ORACLE["json_extract"] = """SELECT event_id, '{"attrs":' || json(props)::VARCHAR || ',"type":"' || event_type || '","user":' || user_id || '}' AS content
     FROM events WHERE event_id % 10 <> 0"""
 ORACLE["csv_extract"] = _with(PLANT) + rf"""SELECT doc_id, md5(t) AS digest, len(string_split(t, {NL}))::INT AS lines

@@ -17,6 +17,7 @@ from riskloom.operators import ledger as L
 from riskloom.operators import remediate as R
 from riskloom.operators import rollup as G
 from riskloom.operators import score as S
+from riskloom.plans import audit as A
 from riskloom.plans import corpus as C
 from riskloom.plans.tagger import word_length_model
 from riskloom.session import scratch_dir, spread
@@ -201,7 +202,7 @@ def unique_paths(spark, sf_dir):
     """An inventory that lists some files twice under different spellings."""
     first = C.inventory(spark, sf_dir).withColumn("root_ord", F.lit(0))
     again = first.filter("size > 1000").select(
-        "doc_id", F.expr("replace(path, '/home/', '/home/.//./')").alias("path"), F.expr("size + 1").alias("size"),
+        "doc_id", F.expr("replace(path, '/home/', '/home/.//x/../')").alias("path"), F.expr("size + 1").alias("size"),
         "modified", F.lit(1).alias("root_ord"),
     )
     return I.unique_paths(first.unionByName(again)).select("path", "size", "root_ord")
@@ -231,6 +232,18 @@ def extract_text(spark, sf_dir):
     return out.select("path", "kind", F.char_length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
+@query
+def scan_tree(spark, sf_dir):
+    """Documents written as text files, one folder per source and language, then scanned from there."""
+    root = scratch_dir(spark, "tree")
+    docs = C.planted(spark, sf_dir).select("source", "lang", "text")
+    docs.write.partitionBy("source", "lang").option("maxRecordsPerFile", 500).text(root)
+    found = D.detect(A.scan(spark, [root]).files, text="content", heuristics=False)
+    rows = D.explode_detections(found, "directory")
+    place = [F.regexp_extract("directory", f"/{k}=([^/]*)", 1).alias(k) for k in ("source", "lang")]
+    return rows.groupBy(*place, "pii_type").agg(F.count("*").alias("hits"))
+
+
 @query
 def json_extract(spark, sf_dir):
     """JSON built from events, one in ten cut short: canonical text, broken rows dropped."""

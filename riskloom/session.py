@@ -44,12 +44,6 @@ def _shared_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="riskloom-")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder unless the session already has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_root(spark))
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for stream state, sinks and table versions."""
     return f"{_shared_root(spark)}/{label}-{uuid.uuid4().hex}"

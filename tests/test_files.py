@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import paths as P
 from riskloom.operators import inventory as I
 from riskloom.plans import audit as A
+from riskloom.session import scratch_dir
 from riskloom.sources import chats, files, sinks, tables
 
 FOLDER = {
@@ -193,6 +194,18 @@ def test_table_dump_keeps_all_rows(spark):
     assert short == "\n--- t ---\n[(0, v0), "
 
 
+def test_scratch_lives_under_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(named + "/x-")
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_normalized_paths(spark):
+    cases = {"/a/./b//c": "/a/b/c", "/a/x/../b": "/a/b", "/../a": "/a", "/": "/", "/a/b/": "/a/b"}
+    df = spark.createDataFrame(list(cases.items()), "p string, e string")
+    assert all(r.n == r.e for r in df.select(P.normalized("p").alias("n"), "e").collect())
+
+
 def test_running_stats_match_sorted_count(spark):
     files_df = spark.range(500).selectExpr("concat('/r/', id % 7, '/f', id, if(id % 3 = 0, '.txt', '.png')) AS path", "id AS size")
     seen = I.dispatch(I.visit(files_df, ["/r"]))
