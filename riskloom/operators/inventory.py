@@ -69,7 +69,7 @@ def with_metadata(files: DataFrame, as_of: Column) -> DataFrame:
         P.extension(path).alias("extension"),
         P.dirname(path).alias("directory"),
         F.unix_seconds(modified).alias("modified_unix"),
-        F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_iso"),
+        F.date_format(F.to_utc_timestamp(modified, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_iso"),
         P.age_days(modified, as_of).alias("age_days"),
         P.location_risk(path).alias("location_risk"),
     )
