@@ -126,11 +126,14 @@ def detect(
         flagged = spanned.selectExpr(
             *passed, "_spans", "_len", "_pieces", "_lines", f"transform(_lines, l -> {_line_flags('l')}) AS _flags"
         )
-        joined = "array_join(slice(_lines, s.line_from + 1, s.line_to - s.line_from + 1), '\n')"
+        joined = "array_join(slice(z.l, s.line_from + 1, s.line_to - s.line_from + 1), '\n')"
         several = f"transform(array({joined}), l -> {_line_flags('l')})[0]"
+        # Arrays used inside a lambda are bound to ``z`` first: named directly, the optimizer may move
+        # the expression behind them into the lambda and evaluate it once per match.
         judged = (
+            "transform(array(named_struct('f', _flags, 'l', _lines)), z -> "
             "transform(_spans, s -> named_struct('s', s, 'f', "
-            f"if(s.line_from = s.line_to, _flags[s.line_from], {several})))"
+            f"if(s.line_from = s.line_to, z.f[s.line_from], {several}))))[0]"
         )
         spanned = flagged.selectExpr(
             *passed,
@@ -138,11 +141,11 @@ def detect(
             "_pieces",
             f"transform(filter({judged}, x -> NOT ({_skip(rules)})), x -> x.s) AS _spans",
         )
-    start, stop = f"greatest(s.start - {EXCERPT_RADIUS}, 0)", f"least(s.stop + {EXCERPT_RADIUS}, _len)"
-    built = f"""transform(_spans, s -> named_struct(
+    start, stop = f"greatest(s.start - {EXCERPT_RADIUS}, 0)", f"least(s.stop + {EXCERPT_RADIUS}, z.n)"
+    built = f"""transform(array(named_struct('p', _pieces, 'n', _len)), z -> transform(_spans, s -> named_struct(
         'start', s.start, 'pii_type', {_choice(rules, 'pii_type')}, 'stop', s.stop, 'value', s.value,
         'category', {_choice(rules, 'category')}, 'method', 'regex',
-        'confidence', double({REGEX_CONFIDENCE}), 'excerpt', {cut('_pieces', start, stop)}))"""
+        'confidence', double({REGEX_CONFIDENCE}), 'excerpt', {cut('z.p', start, stop)})))[0]"""
     return spanned.selectExpr(*passed, f"cast(array_sort({built}) AS {DETECTIONS}) AS `{output}`")
 
 

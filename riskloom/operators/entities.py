@@ -109,12 +109,12 @@ def decode(df: DataFrame, *keys: str) -> DataFrame:
     space = quoted(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
     flat = """transform(_spans, s -> named_struct('pii_type', s.tokens[0].pii_type, 'start', s.tokens[0].start,
         'stop', s.tokens[size(s.tokens) - 1].stop, 'p', aggregate(s.tokens, 0D, (a, t) -> a + t.p) / size(s.tokens)))"""
-    built = f"""filter(transform(_found, e -> named_struct(
+    built = f"""filter(transform(array(_around), z -> transform(_found, e -> named_struct(
         'start', chunk_start + e.start, 'pii_type', e.pii_type, 'stop', chunk_start + e.stop,
         'value', regexp_replace(substring(chunk, e.start + 1, e.stop - e.start), {space}, ''),
         'category', {category}[e.pii_type], 'method', 'ner', 'confidence', round(e.p, 4),
-        'excerpt', substring(_around, greatest({lead} + e.start - {EXCERPT_RADIUS}, 0) + 1,
-            {lead} + e.stop + {EXCERPT_RADIUS} - greatest({lead} + e.start - {EXCERPT_RADIUS}, 0)))),
+        'excerpt', substring(z, greatest({lead} + e.start - {EXCERPT_RADIUS}, 0) + 1,
+            {lead} + e.stop + {EXCERPT_RADIUS} - greatest({lead} + e.start - {EXCERPT_RADIUS}, 0)))))[0],
         d -> d.value <> '')"""
     for name, step in (("_marks", marks), ("_spans", spans), ("_found", flat), ("_around", around)):
         df = df.withColumn(name, F.expr(step))
