@@ -119,16 +119,25 @@ def vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), 0).when(F.expr(rule.good), 1)
 
 
-def _posteriors(model: Model, rules: tuple[Rule, ...], votes: dict[str, Column]) -> dict[str, Column]:
-    """The chance of good and of each kind of poor text, given the votes."""
-    logs = {}
-    for c, share in model.shares.items():
-        total = F.lit(math.log(share))
+def _with_chances(df: DataFrame, model: Model, rules: tuple[Rule, ...], votes: dict[str, Column]) -> DataFrame:
+    """``df`` with ``_p0``, ``_p1``, ...: the chance of good and of each kind of poor text, given the votes.
+
+    Each step is a projection of its own, so that no expression is written out more than once.
+    """
+    own, classes = df.columns, list(model.shares)
+    logs = []
+    for k, c in enumerate(classes):
+        total = F.lit(math.log(model.shares[c]))
         for rule in rules:
             b, v = model.bad_votes[c][rule.name], votes[rule.name]
             total = total + F.when(v == 1, math.log(1 - b)).when(v == 0, math.log(b)).otherwise(0.0)
-        logs[c] = total
-    return {c: 1 / sum((F.exp(other - own) for k, other in logs.items() if k != c), F.lit(1.0)) for c, own in logs.items()}
+        logs.append(total.alias(f"_l{k}"))
+    df = df.select(*own, *logs)
+    top = F.greatest(*[F.col(f"_l{k}") for k in range(len(classes))])
+    df = df.select(*own, *[f"_l{k}" for k in range(len(classes))], top.alias("_top"))
+    df = df.select(*own, *[F.exp(F.col(f"_l{k}") - F.col("_top")).alias(f"_e{k}") for k in range(len(classes))])
+    df = df.select("*", sum((F.col(f"_e{k}") for k in range(1, len(classes))), F.col("_e0")).alias("_sum"))
+    return df.select(*own, *[(F.col(f"_e{k}") / F.col("_sum")).alias(f"_p{k}") for k in range(len(classes))])
 
 
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 30, weight: float = 20.0) -> Model:
@@ -142,12 +151,14 @@ def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 3
     votes = {r.name: F.col(f"v{i}") for i, r in enumerate(rules)}
     for step in range(1, iterations + 1):
         sums = {}
-        for c, p in _posteriors(model, rules, votes).items():
-            sums[c, None, None] = F.sum(p * F.col("n"))
+        weighed = _with_chances(patterns, model, rules, votes)
+        for i, c in enumerate(model.shares):
+            mass = F.col(f"_p{i}") * F.col("n")
+            sums[c, None, None] = F.sum(mass)
             for name, v in votes.items():
                 for k in (0, 1):
-                    sums[c, name, k] = F.sum(F.when(v == k, p * F.col("n")))
-        found = patterns.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums.values())]).first()
+                    sums[c, name, k] = F.sum(F.when(v == k, mass))
+        found = weighed.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums.values())]).first()
         total = dict(zip(sums, (x or 0.0 for x in found), strict=True))
         rows = sum(total[c, None, None] for c in model.shares)
         if not rows:
@@ -171,11 +182,10 @@ def judge(counted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, lea
 
     A row is kept if it passes the base rules and its posterior is at least ``least``. Equal texts get equal verdicts.
     """
-    quality = _posteriors(model, rules, {r.name: vote(r) for r in rules})[GOOD]
-    failed = F.expr(BASE_FAILED)
-    return counted.withColumns({"quality": quality, "base_failed": failed}).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("quality") >= least)
-    )
+    voted = counted.withColumns({f"_v{i}": vote(r) for i, r in enumerate(rules)})
+    judged = _with_chances(voted, model, rules, {r.name: F.col(f"_v{i}") for i, r in enumerate(rules)})
+    quality, failed = F.col(f"_p{list(model.shares).index(GOOD)}").alias("quality"), F.expr(BASE_FAILED).alias("base_failed")
+    return judged.select(*counted.columns, quality, failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
