@@ -143,7 +143,7 @@ def _with_chances(df: DataFrame, model: Model, rules: tuple[Rule, ...], votes: d
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 30, weight: float = 20.0) -> Model:
     """Learn from every row of ``counted`` (see ``counts``) without labels; an empty table gives ``start``.
 
-    Chances are drawn to ``start`` with the force of ``weight`` votes. Stops when none moves by 1e-4.
+    Chances are drawn to ``start`` with the force of ``weight`` votes. Stops when none moves by 1e-3.
     """
     prior = model = start(rules)
     patterns = counted.groupBy(*[vote(r).alias(f"v{i}") for i, r in enumerate(rules)]).agg(F.count("*").alias("n"))
@@ -172,7 +172,7 @@ def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 3
             chances[GOOD][r.name] = (min if r.kind else max)(chances[GOOD][r.name], ERRORS)
         moved = max(abs(chances[c][n] - model.bad_votes[c][n]) for c in chances for n in votes)
         model = Model(shares, chances, step)
-        if moved < 1e-4:
+        if moved < 1e-3:
             break
     return model
 
