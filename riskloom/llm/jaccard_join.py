@@ -9,8 +9,8 @@ quarters); the work goes in steps, each of which loses no link:
 3. Of the rest, shingles that one node alone has can't match and are left out; nodes without enough others too.
 4. Small sets list the fixed-size subsets that any partner must share with them; large sets list the rare end of their shingles,
    and the inverted lists of these are scanned. The size where the listing changes is chosen by cost.
-5. A list links its members to one hub first. Members that are then in one group need no more pairs; only members of other
-   groups than their list's largest meet the rest.
+5. Lists link their members to hubs first, a few rounds of one pair a list place. Members that are then in one group need no more
+   pairs; only members of other groups than their list's largest meet the rest, where sizes and shared shingles allow a link.
 """
 
 from __future__ import annotations
@@ -301,14 +301,17 @@ def subsets(n: int) -> int:
 
 
 def list_entries(sets: DataFrame, listed: DataFrame, light: int) -> DataFrame:
-    """``list``, ``id``, ``n``: a row for each list that a set stands in.
+    """``list``, ``id``, ``n``, ``rest``: a row for each list that a set stands in.
+
+    ``rest`` bounds what the set shares with a partner whose first common list this is: its shared shingles from here on.
 
     Sets of at most ``light`` elements list, for each size ``c`` of what a partner up to that size shares, all their subsets of ``c``
     elements. Larger ones, and those that such a one may link to, list their rarest shared shingles, so far that a partner has
     one of them.
     """
-    rest = listed.select("id", "n", F.transform(F.slice("listed", F.lit(1), (F.size("listed") - F.ceil(F.col("n") * NEED / OF) + 1).cast("int")), lambda x: x["token"]).alias("tokens"))
-    heavy = rest.filter(F.col("n") >= least_shared(light + 1)).select(F.explode_outer("tokens").alias("list"), "id", F.col("n").cast("int").alias("n"))
+    prefixes = listed.select("id", "n", F.size("listed").alias("held"), F.transform(F.slice("listed", F.lit(1), (F.size("listed") - F.ceil(F.col("n") * NEED / OF) + 1).cast("int")), lambda x: x["token"]).alias("tokens"))
+    heavy = prefixes.filter(F.col("n") >= least_shared(light + 1)).select("id", F.col("n").cast("int").alias("n"), "held", F.posexplode_outer("tokens").alias("at", "list"))
+    heavy = heavy.select("list", "id", "n", (F.col("held") - F.col("at")).alias("rest"))
 
     def enumerate_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,10 +323,10 @@ def list_entries(sets: DataFrame, listed: DataFrame, light: int) -> DataFrame:
                     gone = np.array(list(combinations(range(n), m)))
                     keys.append(_mixed((total - tokens[gone].sum(axis=1, dtype=np.uint64)) ^ np.uint64(n - m)))
                 keys = np.concatenate(keys).view(np.int64)
-                yield _batch({"list": pa.array(keys), "id": pa.array(np.full(len(keys), name, np.int64)), "n": pa.array(np.full(len(keys), n, np.int32))})
+                yield _batch({"list": pa.array(keys), "id": pa.array(np.full(len(keys), name, np.int64)), "n": pa.array(np.full(len(keys), n, np.int32)), "rest": pa.array(np.full(len(keys), n, np.int32))})
 
     few = sets.filter(F.col("n") <= light).join(listed.filter(F.col("n") <= light).select("id"), "id", "left_semi")
-    lit = few.select("id", "n", "tokens").mapInArrow(enumerate_subsets, "list long, id long, n int")
+    lit = few.select("id", "n", "tokens").mapInArrow(enumerate_subsets, "list long, id long, n int, rest int")
     return written(heavy.unionByName(lit), "list_entries")
 
 
@@ -369,25 +372,49 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return tips.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def links_of(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Enough verified links to join all linked sets: a star about each list's hub, then pairs between what is still apart."""
-    lists = entries.groupBy("list").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    first = lists.select("list", F.col("hub.id").alias("a"), F.col("hub.n").alias("an"))
-    near = (NEED * F.greatest("an", "n") <= OF * F.least("an", "n")) & (F.col("a") != F.col("id"))
-    star = entries.join(first, "list").filter(near).select("a", F.col("id").alias("b")).distinct()
-    links = verified(star, sets)
-    groups = components(links).select("id", "root")
-    # Lists whose members are in several groups; members of the largest group do not look for partners.
+def measures(listed: DataFrame) -> DataFrame:
+    """``id``, ``held`` (its shingles that other sets hold) and ``center`` (how common its shingles are, in whole thousandths)."""
+    total = F.aggregate("listed", F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
+    return listed.select("id", F.size("listed").alias("held"), F.floor(total * 1000 / F.col("n")).alias("center"))
+
+
+def _fits(n1: str, held1: str, n2: str, held2: str) -> F.Column:
+    """Whether two sets may link for all that their sizes and their shared shingles say."""
+    both = F.least(held1, held2)
+    return OF * both >= NEED * (F.col(n1) + F.col(n2) - both)
+
+
+def links_of(entries: DataFrame, listed: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """Enough verified links to join all linked sets.
+
+    In each round every list offers its members one hub, the one whose shingles are the most common, of those that an earlier round's
+    dice left in; only members of other groups are compared. Then what is still apart is compared pair by pair, but for
+    members of a list's largest group among themselves and for pairs that their sizes and places in the list rule out.
+    """
+    entries = written(entries.join(measures(listed), "id"), "measured_entries")
+    links = done = groups = None
+    for k in range(rounds):
+        member = entries.withColumn("root", F.col("id")) if groups is None else entries.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        dice = F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(4)) == 0, 1).otherwise(0) if k else F.lit(0)
+        hub = F.max(F.struct(dice.alias("dice"), "center", F.col("id").alias("a"), F.col("n").alias("an"), F.col("held").alias("ah"), F.col("root").alias("ar"))).alias("h")
+        hubs = member.groupBy("list").agg(hub, F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("list", "h.*")
+        star = member.join(hubs, "list").filter((F.col("ar") != F.col("root")) & _fits("n", "held", "an", "ah"))
+        star = star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        star = written(star if done is None else star.join(done, ["a", "b"], "left_anti"), "star_pairs")
+        found = verified(star, sets)
+        links, done = (found, star) if links is None else (links.union(found), done.union(star))
+        groups = written(components(links), "set_groups")
     member = entries.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tally = member.groupBy("list", "root").agg(F.count("*").alias("k"))
-    split = tally.groupBy("list").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
-    member = written(member.join(split.select("list", F.col("top.root").alias("top")), "list"), "apart")
-    left = member.filter("root != top").select("list", F.col("id").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    right = member.select("list", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), (F.col("root") == F.col("top")).alias("in_top"))
-    pairs = left.join(right, "list").filter((F.col("ar") != F.col("br")) & (F.col("in_top") | (F.col("a") < F.col("b"))))
-    pairs = pairs.filter(NEED * F.greatest("an", "bn") <= OF * F.least("an", "bn"))
+    tally = member.groupBy("list", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    split = tally.groupBy("list").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("groups"), F.min("least").alias("least")).filter("groups > 1")
+    member = written(member.join(split.select("list", "least", F.col("top.root").alias("top")), "list"), "apart")
+    # A pair is met at its first common list or not at all, so what both hold from here on bounds what they share. Who fits not even
+    # the list's smallest member needs no partner here.
+    left = member.filter("root != top").filter(OF * F.col("rest") >= NEED * (F.col("n") + F.col("least") - F.col("rest")))
+    left = left.select("list", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rest").alias("ah"), F.col("root").alias("ar"))
+    right = member.select("list", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("rest").alias("bh"), F.col("root").alias("br"), (F.col("root") == F.col("top")).alias("in_top"))
+    pairs = left.join(right, "list").filter((F.col("ar") != F.col("br")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _fits("an", "ah", "bn", "bh"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.union(verified(pairs.join(done, ["a", "b"], "left_anti"), sets))
 
 
@@ -404,14 +431,14 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     sets = candidate_sets(rows, nodes)
     listed = shared_tokens(sets)
     entries = list_entries(sets, listed, boundary(listed))
-    groups = components(links_of(entries, sets))
+    groups = components(links_of(entries, listed, sets))
     names = sets.select("id", "node")
     roots = groups.join(names, "id").select("node", "root")
     # Sums over rows combine map-side, so a set that a third of all rows share is no hot key.
     least = F.min(F.struct(F.col("doc").isNull().alias("late"), "key", "node")).alias("least")
     own = nodes.filter("n > 0").groupBy("node").agg(least)
     own = written(own.join(roots, "node", "left"), "node_groups")
-    joint = own.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("joint"))
+    joint = small(written(own.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("joint")), "group_least"))
     final = own.join(joint, "root", "left").select("node", F.coalesce("joint", "least").alias("least"))
     out = nodes.join(small(written(final, "node_least")), "node", "left")
     alone = F.struct(F.col("doc").isNull().alias("late"), "key", "node")
