@@ -20,8 +20,11 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Rates are held in these fractions, exact in sums.
 UNIT = 1 << 20
-#: Places where the running sums of a source may begin; the one whose words come nearest to the target is taken.
-OFFSETS = 32
+#: Orders of a source's sizes (the first is by size) and places where its running sums may begin; the pair whose words come nearest
+#: to the target is taken.
+ORDERS, OFFSETS = 8, 32
+#: Single copies given or taken at last, for sources of few documents.
+FIXES = 2
 #: Parts into which equal sizes of one source are dealt, so that no task holds them all.
 PARTS = 512
 
@@ -86,6 +89,27 @@ def solve(histogram: DataFrame, aims: DataFrame, mean: float, most: int = MOST,
     return now.select("src", "lam")
 
 
+def _settled(cells: DataFrame, extra: Column, most: int) -> DataFrame:
+    """``cells`` with ``fix``: 1 or -1 where the first document of a size takes a copy more or less, else 0.
+
+    A source with few documents may miss its target by part of a large one. ``FIXES`` times, the size that brings the source
+    nearest to its target gives or takes one copy.
+    """
+    whole = F.floor(F.col("rate") / UNIT)
+    first = whole + F.floor((F.col("base") + F.col("frac") + F.col("offset")) / UNIT) - F.floor((F.col("base") + F.col("offset")) / UNIT)
+    cells = cells.withColumn("first", first).withColumn("words", F.col("size") * (F.col("n") * whole + extra)).withColumn("fix", F.lit(0))
+    source = Window.partitionBy("src")
+    for _ in range(FIXES):
+        cells = cells.withColumn("gap", F.col("target") - F.sum(F.col("words") + F.col("size") * F.col("fix")).over(source))
+        step = F.when((F.col("gap") > 0) & (F.col("first") < most), 1).when((F.col("gap") < 0) & (F.col("first") > 0), -1)
+        cells = cells.withColumn("step", F.when((F.col("fix") == 0) & (F.col("size") > 0), step))
+        left = F.abs(F.col("gap") - F.col("step") * F.col("size"))
+        cells = cells.withColumn("left", left).withColumn("place", F.row_number().over(source.orderBy(F.asc_nulls_last("left"), "size")))
+        chosen = (F.col("place") == 1) & (F.col("left") < F.abs("gap"))
+        cells = cells.withColumn("fix", F.when(chosen, F.col("step")).otherwise(F.col("fix")))
+    return cells.drop("first", "words", "gap", "step", "left", "place")
+
+
 def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` (0 to ``most``).
 
@@ -104,29 +128,32 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     mean = max((total["t"] or 0) / max(total["n"] or 1, 1), 1.0)
     aims = small(written(targets(histogram.select("src", (F.col("size") * F.col("n")).alias("size")), weights, most).coalesce(1), "mix_targets"))
     lams = small(solve(histogram, aims, mean, most))
-    # Copies beyond the whole part: the k-th document of a source, in order of size, takes one more each time the running sum of
-    # fractions passes a whole number.
+    # Copies beyond the whole part: along a source's documents, one takes one more each time the running sum of fractions passes a
+    # whole number.
     cells = histogram.join(lams, "src").join(aims, "src").withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("lam"), F.col("size"), mean, most)).otherwise(UNIT))
     cells = cells.withColumn("frac", F.col("rate") % UNIT)
-    earlier = Window.partitionBy("src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    shuffled = F.when(F.col("turn") == 0, F.col("size")).otherwise(F.xxhash64("size", "turn"))
+    earlier = Window.partitionBy("src", "turn").orderBy(shuffled, "size").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("base", F.coalesce(F.sum(F.col("frac") * F.col("n")).over(earlier), F.lit(0)))
     cells = written(cells.drop("lam"), "mix_rates")
-    tried = cells.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(UNIT - 1), F.lit(UNIT // OFFSETS))).cast("long"))
+    tried = cells.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(UNIT - 1).cast("long"), F.lit(UNIT // OFFSETS).cast("long"))))
     extra = F.floor((F.col("base") + F.col("n") * F.col("frac") + F.col("offset")) / UNIT) - F.floor((F.col("base") + F.col("offset")) / UNIT)
     words = F.sum(F.col("size") * (F.col("n") * F.floor(F.col("rate") / UNIT) + extra))
-    tried = tried.groupBy("src", "offset").agg(words.alias("words"), F.first("target").alias("target"))
-    best = tried.groupBy("src").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "offset")).alias("best"))
-    cells = cells.join(small(written(best.select("src", "best.offset"), "mix_offsets")), "src")
+    tried = tried.groupBy("src", "turn", "offset").agg(words.alias("words"), F.first("target").alias("target"))
+    best = tried.groupBy("src").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "turn", "offset")).alias("best"))
+    cells = cells.join(small(written(best.select("src", "best.turn", "best.offset"), "mix_offsets")), ["src", "turn"])
+    cells = _settled(cells, extra, most)
     inner = Window.partitionBy("src", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("skip", F.coalesce(F.sum("n").over(inner), F.lit(0))).select("src", "size", "part", "skip")
     placed = placed.join(cells.drop("n"), ["src", "size"])
-    placed = placed.select(*[F.col(c).alias(f"_{c}") for c in ("src", "size", "part", "skip", "rate", "frac", "base", "offset", "source_size", "target")])
+    placed = placed.select(*[F.col(c).alias(f"_{c}") for c in ("src", "size", "part", "skip", "rate", "frac", "base", "offset", "fix", "source_size", "target")])
     rank = F.row_number().over(Window.partitionBy("_src", "_size", "_part").orderBy("_order", doc))
     ranked = rows.withColumn("_rank", rank).join(placed, ["_src", "_size", "_part"])
     upto = F.col("_base") + (F.col("_skip") + F.col("_rank")) * F.col("_frac")
     upto = upto + F.col("_offset")
     more = F.floor(upto / UNIT) - F.floor((upto - F.col("_frac")) / UNIT)
-    copies = F.floor(F.col("_rate") / UNIT) + more
+    copies = F.floor(F.col("_rate") / UNIT) + more + F.when(F.col("_skip") + F.col("_rank") == 1, F.col("_fix")).otherwise(0)
     return ranked.select(*docs.columns, "_size", "_source_size", "_target", copies.cast("int").alias("_copies"))
 
 
