@@ -27,7 +27,7 @@ class Automaton:
 
     def __init__(self, pieces: Iterable[str]):
         self.edges: list[dict[str, int]] = [{}, {}]
-        self.depth = [0, 0]
+        self.depth, self.root = [0, 0], [0, 1]
         final = [False, False]
         for piece in pieces:
             node, rest = (0, piece[1:]) if piece[:1] == MARK else (1, piece)
@@ -39,6 +39,7 @@ class Automaton:
                     self.edges[node][c] = len(self.edges)
                     self.edges.append({})
                     self.depth.append(self.depth[node] + 1)
+                    self.root.append(self.root[node])
                     final.append(False)
                 node = self.edges[node][c]
             final[node] = True
@@ -76,7 +77,10 @@ class Automaton:
             else:
                 # Somewhere in the held text no piece fits: the one step that looks at characters again.
                 begun = i - depth[node]
-                length = self._longest(word, begun, 1 if begun else 0)
+                length = self._longest(word, begun, self.root[node])
+                if self.root[node] == 0 and not length and link[0] == 1:
+                    total += 1  # the mark alone
+                    length = self._longest(word, 0, 1)
                 total += 1 if length else len(word[begun].encode("utf-8", "surrogatepass"))
                 i, node = begun + max(length, 1), 1
         return total
