@@ -27,6 +27,13 @@ def _words(text: str) -> Column:
     return words_of(ascii_lower(text_of(text)), SEPARATORS)
 
 
+def _every_window(size: int) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.size("w") - size),
+        lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(F.slice("w", i + 1, F.lit(size))).alias("hash")),
+    )
+
+
 def _places(df: DataFrame, lengths: list[int]) -> DataFrame:
     """``df`` (with ``w``) and ``places``: (at, len, hash) of its fingerprints (len 0) and of all windows of each short length."""
     n = F.size("w")
@@ -41,11 +48,7 @@ def _places(df: DataFrame, lengths: list[int]) -> DataFrame:
     df = df.withColumn("chosen", F.when(n >= WINDOW, chosen).otherwise(F.array().cast("array<int>")))
     places = [F.transform("chosen", lambda i: F.struct(i.alias("at"), F.lit(0).alias("len"), F.get("h", i).alias("hash")))]
     for size in lengths:
-        every = F.transform(
-            F.sequence(F.lit(0), n - size),
-            lambda i, size=size: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(F.slice("w", i + 1, F.lit(size))).alias("hash")),
-        )
-        places.append(F.when(n >= size, every).otherwise(F.array().cast("array<struct<at:int,len:int,hash:bigint>>")))
+        places.append(F.when(n >= size, _every_window(size)).otherwise(F.array().cast("array<struct<at:int,len:int,hash:bigint>>")))
     return df.withColumn("places", F.concat(*places)).drop("h", "chosen")
 
 
