@@ -136,7 +136,7 @@ VIEW_FALLBACK = (("browser_db", "credentials"), ("spreadsheet", "financial"), ("
 VIEW_SEVERE = r"password|secret|token|key|credit_card|card|ssn|aadhaar|pan|iban|account"
 VIEW_RAISED = r"medical|patient|passport|phone"
 SEVERITY_LABELS = ("Info", "Low", "Medium", "High")
-VIEW_PII, VIEW_TOP_PII, VIEW_EXCERPT = 6, 3, 220
+VIEW_TOP_PII, VIEW_EXCERPT = 3, 220
 TOP_N_FILES = 3000
 GROUP_VISIBLE = 12
 TONE_CRITICAL, TONE_ELEVATED = 70, 35

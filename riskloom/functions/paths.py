@@ -23,7 +23,13 @@ def basename(path: Column) -> Column:
 
 
 def dirname(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    """Everything before the last slash; a file directly below the root is in ``/``."""
+    return F.when(path.rlike("^/[^/]*$"), "/").otherwise(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+
+
+def without_store(path: Column) -> Column:
+    """The path within its file system: scheme and authority removed, so ``hdfs://nn:8020/a`` is ``/a``."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?/+", "/")
 
 
 def normalized(path: str) -> Column:

@@ -9,7 +9,6 @@ from riskloom.catalog import (
     VIEW_CATEGORIES,
     VIEW_EXCERPT,
     VIEW_FALLBACK,
-    VIEW_PII,
     VIEW_RAISED,
     VIEW_SEVERE,
     VIEW_TOP_PII,
@@ -52,7 +51,7 @@ def view_severity(types: str, override: str = "cast(NULL AS double)") -> Column:
 
 
 def normalize_files(files: DataFrame, declared: str | None = None) -> DataFrame:
-    """One audit row per scanned file.
+    """One audit row per scanned file; ``pii`` holds every type, ``top_pii`` the first few for display.
 
     ``declared`` is a SQL expression for the types reported with the file. Optional columns are used
     when present: value sources in order of preference, ``severity``, ``category``, ``excerpt``,
@@ -66,10 +65,15 @@ def normalize_files(files: DataFrame, declared: str | None = None) -> DataFrame:
     sources = [s for s in ("value", "privacy_debt", "token_count", "tokens", "size") if s in has]
     value = f"coalesce({', '.join([f'nullif(double({s}), 0)' for s in sources] + ['1D'])})"
     content, excerpt = column("content", "string"), column("excerpt", "string")
-    start = files.filter("path IS NOT NULL").withColumn("_content", F.expr(f"coalesce({content}, '')"))
-    present = start.withColumn("_present", presence("_content"))
+    # A file without content is judged by its excerpt; one without a path is named by what it holds.
+    start = files.withColumn("_content", F.expr(f"coalesce({content}, '')")).withColumn(
+        "_judged", F.expr(f"coalesce(nullif({content}, ''), {excerpt}, '')")
+    )
+    unknown = F.concat(F.lit("unknown-"), F.left(F.md5("_judged"), F.lit(8)))
+    start = start.withColumn("path", F.coalesce(F.nullif(F.col("path"), F.lit("")), unknown))
+    present = start.withColumn("_present", presence("_judged"))
     typed = present.withColumn("_declared", F.expr(normalize_types(declared or "NULL")))
-    merged = typed.withColumn("pii", F.expr(f"slice(array_union(_declared, _present), 1, {VIEW_PII})"))
+    merged = typed.withColumn("pii", F.expr("array_union(_declared, _present)"))
     every = merged.withColumn("_types", F.expr("array_union(if(size(_declared) > 0, _declared, pii), _present)"))
     kinded = every.withColumn(
         "_kind", F.coalesce(F.expr(f"nullif({column('file_type', 'string')}, '')"), P.view_extension(F.col("path")))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.catalog import MAX_DEPTH, MAX_FILE_SIZE_MB, MAX_FILES
 from riskloom.functions import paths as P
 from riskloom.operators.ordering import cutoff, running_totals
 
@@ -15,16 +15,25 @@ STATS = ("text_files", "pdfs", "csvs", "dbs", "chats", "skipped_large_files")
 STAT_OF_KIND = {"text": "text_files", "pdf": "pdfs", "csv": "csvs", "db": "dbs", "chat": "chats"}
 
 
-def _reached(path: Column, root: str, max_depth: int) -> Column:
-    """A root reaches a file unless a directory below the root is hidden or too deep."""
+def _reached(path: Column, root: str, max_depth: int | None) -> Column:
+    """A root reaches a file unless a directory below the root is hidden or too deep.
+
+    A root that names a store (``s3a://bucket/data``) reaches paths of that store only; one without
+    (``/data``, ``hdfs:///data``) is compared with the path inside whatever store the file is in.
+    """
+    named = re.match(r"[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?/+", root)
+    store = named and (named.group(1) or "//")[2:]
+    if not store:
+        root, path = "/" + root[named.end() :] if named else root, P.without_store(path)
     base = root.rstrip("/") + "/"
     relative = F.substring(path, len(base) + 1, 1 << 30)
     dirs = F.regexp_extract(relative, "^(.*/)?[^/]*$", 1)
     depth = F.char_length(dirs) - F.char_length(F.replace(dirs, F.lit("/"), F.lit("")))
-    return F.startswith(path, F.lit(base)) & ~dirs.rlike(r"(^|/)\.") & (depth <= max_depth)
+    reached = F.startswith(path, F.lit(base)) & ~dirs.rlike(r"(^|/)\.")
+    return reached if max_depth is None else reached & (depth <= max_depth)
 
 
-def visit(files: DataFrame, roots: Sequence[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def visit(files: DataFrame, roots: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Keep the files a walk from ``roots`` visits, each under the first root that reaches it.
 
     A path decides by itself which roots reach it, so overlapping roots need no duplicate removal.
@@ -45,18 +54,27 @@ def unique_paths(files: DataFrame, keep_first: str = "root_ord") -> DataFrame:
     )
 
 
-def dispatch(files: DataFrame, max_file_size_mb: float = MAX_FILE_SIZE_MB) -> DataFrame:
-    """Add ``outcome`` (skipped, large, unsupported or read) and ``kind`` (the extractor)."""
+def dispatch(files: DataFrame, max_file_size_mb: float | None = None) -> DataFrame:
+    """Add ``outcome`` (error, skipped, large, unsupported or read) and ``kind`` (the extractor).
+
+    An optional ``error`` column tells why a file could not be read. Formats that hold no plain text
+    are unsupported as raw bytes; an inventory whose ``content`` is text already has been parsed.
+    """
     path = F.col("path")
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    large = F.lit(False) if max_file_size_mb is None else F.col("size") > int(max_file_size_mb * 1024 * 1024)
+    raw = dict(files.dtypes).get("content") == "binary"
+    sealed = ((F.col("kind") == "pdf") | (F.col("kind") == "db") | (P.extension(path) == ".xlsx")) & F.lit(raw)
     named = files.withColumns({"_skip": P.is_skipped(path), "kind": P.extract_kind(path)})
     outcome = (
-        F.when(F.col("_skip"), "skipped")
-        .when(F.col("size") > int(max_file_size_mb * 1024 * 1024), "large")
-        .when(F.col("kind").isNull(), "unsupported")
+        F.when(failed, "error")
+        .when(F.col("_skip"), "skipped")
+        .when(large, "large")
+        .when(F.col("kind").isNull() | sealed, "unsupported")
         .otherwise("read")
     )
     judged = named.withColumn("outcome", outcome)
-    return judged.withColumn("kind", F.when(F.col("outcome") == "read", F.col("kind"))).drop("_skip")
+    return judged.withColumn("kind", F.when(F.col("outcome").isin("read", "unsupported"), F.col("kind"))).drop("_skip")
 
 
 def with_metadata(files: DataFrame, as_of: Column) -> DataFrame:
@@ -75,14 +93,16 @@ def with_metadata(files: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def within_budget(visited: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+def within_budget(visited: DataFrame, max_files: int) -> DataFrame:
     """The first ``max_files`` visited files by root, then path.
 
     Only the cut-off key is looked up; wide columns never move. Fewer files than the budget give no
     cut-off and keep everything.
     """
+    if max_files <= 0:
+        return visited.limit(0)
     keys = ["root_ord", "path"]
-    cut = cutoff(visited, [F.col(k).asc() for k in keys], [F.col(k).desc() for k in keys], keys, max_files).scalar()
+    cut = cutoff(visited, [F.col(k).asc() for k in keys], keys, max_files).scalar()
     return visited.filter(F.coalesce(F.struct(*keys) <= cut, F.lit(True)))
 
 
@@ -97,15 +117,21 @@ def stat_flags() -> dict[str, Column]:
     return flags | {"skipped_large_files": F.col("outcome") == "large"}
 
 
-def scan_stats(visited: DataFrame, roots: Sequence[str], errors: int | Column = 0) -> DataFrame:
-    """The nine counters per root and, with ``root_ord`` NULL, over all roots, in one aggregate."""
-    flags = stat_flags()
-    counts = [F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in flags.items()]
-    error = F.lit(errors).cast("long") if isinstance(errors, int) else errors
-    return visited.rollup("root_ord").agg(*counts).select(
+def scan_stats(visited: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """The nine counters per root and, with ``root_ord`` NULL, over all roots, in one aggregate.
+
+    Every root has a row, also one without files, and so has the total of an empty scan.
+    """
+    flags = stat_flags() | {"permission_errors": F.col("outcome") == "error"}
+    flagged = visited.select("root_ord", *[c.cast("long").alias(n) for n, c in flags.items()])
+    # One row of nothing per root keeps roots without files in the result.
+    none = flagged.sparkSession.range(len(roots)).select(
+        F.col("id").cast("int").alias("root_ord"), *[F.lit(0).cast("long").alias(n) for n in flags]
+    )
+    counts = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in flags]
+    return flagged.unionByName(none).rollup("root_ord").agg(*counts).select(
         "root_ord",
         *flags,
-        error.alias("permission_errors"),
         F.when(F.col("root_ord").isNull(), len(roots)).otherwise(1).cast("long").alias("paths_scanned"),
     )
 

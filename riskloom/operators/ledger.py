@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from riskloom.operators.ordering import running_totals
 
@@ -46,39 +46,53 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a ledger was written at ``path``; only a missing path counts as none, other errors are raised."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def append(entries: DataFrame, path: str, at: Column) -> DataFrame:
     """Append one batch (single writer per table) and return the rows written, ids included."""
     spark = entries.sparkSession
-    try:
-        last = read(spark, path).agg(F.max("id")).first()[0] or 0
-    except AnalysisException:
-        last = 0
+    last = (read(spark, path).agg(F.max("id")).first()[0] or 0) if exists(spark, path) else 0
     # Numbering comes first: it reads its input twice, the JSON work should run once.
     numbered = with_ids(stamped(entries, at), last)
     canonical(numbered).write.mode("append").partitionBy("type").parquet(path)
     return read(spark, path).filter(F.col("id") > last)
 
 
+def page(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    """Rows after ``offset``, at most ``limit`` when one is given."""
+    rest = rows.offset(offset) if offset else rows
+    return rest if limit is None else rest.limit(limit)
+
+
 def history(
-    ledger: DataFrame, type: str | None = None, source: str | None = None, limit: int = 100, offset: int = 0
+    ledger: DataFrame, type: str | None = None, source: str | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """One page of entries in id order; a type filter prunes partitions."""
+    """Entries in id order, all of them or one page; a type filter prunes partitions."""
     rows = ledger
     if type:
         rows = rows.filter(F.col("type") == type)
     if source:
         rows = rows.filter(F.col("source") == source)
-    return rows.orderBy("id").offset(offset).limit(limit)
+    return page(rows.orderBy("id"), limit, offset)
 
 
-def where(ledger: DataFrame, predicate: str, args: list[Any] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def where(ledger: DataFrame, predicate: str, args: list[Any] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """A parameterised predicate over the ledger, in id order."""
-    sql = f"SELECT * FROM {{ledger}} WHERE {predicate} ORDER BY id LIMIT {int(limit)} OFFSET {int(offset)}"
-    return ledger.sparkSession.sql(sql, args=args, ledger=ledger) if args is not None else ledger.sparkSession.sql(sql, ledger=ledger)
+    sql = f"SELECT * FROM {{ledger}} WHERE {predicate} ORDER BY id"
+    named = {"args": args} if args is not None else {}
+    return page(ledger.sparkSession.sql(sql, **named, ledger=ledger), limit, offset)
 
 
-def query(ledger: DataFrame, sql: str, args: list[Any] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Any SELECT over the view ``ledger_entries``; one without its own LIMIT gets a page."""
+def query(ledger: DataFrame, sql: str, args: list[Any] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Any SELECT over the view ``ledger_entries``: its whole result, or the page asked for."""
     ledger.createOrReplaceTempView(VIEW)
-    rows = ledger.sparkSession.sql(sql, args=args)
-    return rows if " limit " in f" {sql.lower()} " else rows.offset(offset).limit(limit)
+    return page(ledger.sparkSession.sql(sql, args=args), limit, offset)

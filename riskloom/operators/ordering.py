@@ -1,4 +1,4 @@
-"""Ordered work that stays distributed: bounded top-k, cut-off filters and running totals."""
+"""Ordered work that stays distributed: cut-off filters and running totals."""
 
 from __future__ import annotations
 
@@ -9,26 +9,22 @@ from pyspark.sql import functions as F
 
 from riskloom.sources.sinks import materialize
 
-BUCKETS = 64
 
+def cutoff(df: DataFrame, order: Sequence[Column], keys: Sequence[str], k: int, parts: int | None = None) -> DataFrame:
+    """One row holding the keys of the ``k``-th row in ``order``; no row when there are fewer.
 
-def top_keys(df: DataFrame, order: Sequence[Column], keys: Sequence[str], k: int) -> DataFrame:
-    """The first ``k`` rows of ``keys`` in ``order``, merged in two levels.
-
-    Each map task keeps at most ``k`` rows per bucket before the shuffle, each bucket keeps ``k``,
-    and only ``BUCKETS * k`` narrow rows reach the last merge.
+    The keys are range-partitioned and written once; counts per range say which range holds the
+    ``k``-th row, and only that range is ranked. The work is the same for any ``k``.
     """
-    narrow = df.select(*keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    best = narrow.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn", "_bucket")
-    return best.orderBy(*order).limit(k)
-
-
-def cutoff(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column], keys: Sequence[str], k: int) -> DataFrame:
-    """One row holding the keys of the ``k``-th row in ``order``; no row when there are fewer."""
-    best = top_keys(df, order, keys, k)
-    last = best.orderBy(*reverse).limit(1)
-    return last.select(F.struct(*keys).alias("cut"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.select(*keys).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range: at most ``parts`` rows, so the window and the broadcast are bounded.
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_until", F.sum("_n").over(until))
+    at = counts.filter((F.col("_until") >= k) & (F.col("_until") - F.col("_n") < k))
+    inside = placed.join(F.broadcast(at.select("_part", (k - F.col("_until") + F.col("_n")).alias("_k"))), "_part")
+    ranked = inside.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return ranked.filter("_rn = _k").select(F.struct(*keys).alias("cut"))
 
 
 def running_totals(df: DataFrame, order: Sequence[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:

@@ -51,11 +51,10 @@ def top_n_with_others(files: DataFrame, n: int = TOP_N_FILES) -> DataFrame:
     The boundary is the key of the ``n``-th file, so kept and remaining rows are told apart by a
     comparison instead of a join.
     """
-    down, up = [F.desc("value"), F.asc("path")], [F.asc("value"), F.desc("path")]
-    cut = cutoff(files, down, up, ["value", "path"], n).scalar()
+    cut = cutoff(files, [F.desc("value"), F.asc("path")], ["value", "path"], n).scalar()
     key = F.struct((-F.col("value")).alias("a"), F.col("path").alias("b"))
     edge = F.struct((-F.col("_cut.value")).alias("a"), F.col("_cut.path").alias("b"))
-    marked = files.withColumn("_cut", cut).withColumn("_kept", F.coalesce(key <= edge, F.lit(True)))
+    marked = files.withColumn("_cut", cut).withColumn("_kept", F.col("_cut").isNull() | (key <= edge))
     rest = (
         marked.filter("NOT _kept")
         .agg(F.count("*").alias("k"), F.sum("value").alias("value"), F.max("severity").alias("severity"))
@@ -193,10 +192,12 @@ def directory_nodes(files: DataFrame) -> DataFrame:
             F.sum(F.when(F.size("dirs") == F.col("level"), F.col("n")).otherwise(0)).alias("local_count"),
         )
     )
+    # The root is named by the directory that all files share.
+    root = F.coalesce(F.nullif(common_prefix(files).scalar(), F.lit("")), F.lit("root"))
     parent = F.when(F.col("level") > 1, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("level") == 1, "")
     return nodes.select(
         F.when(F.col("level") == 0, "root").otherwise(stable_id("concat('dir:', path)")).alias("id"),
-        F.when(F.col("level") == 0, "root").otherwise(F.substring_index("path", "/", -1)).alias("name"),
+        F.when(F.col("level") == 0, root).otherwise(F.substring_index("path", "/", -1)).alias("name"),
         "path",
         parent.alias("parent"),
         "level",
@@ -223,11 +224,11 @@ def portfolio_score(files: DataFrame) -> DataFrame:
 
 
 def dashboard_metrics(files: DataFrame, by: str = "category") -> DataFrame:
-    """One row: files, high-risk files, distinct shown types and groups.
+    """One row: files, high-risk files, distinct types and groups.
 
     Distinct counts come from separate aggregates read as scalars, so no row is multiplied.
     """
-    shown = files.select(F.explode("top_pii").alias("t")).distinct().agg(F.count("*").alias("n"))
+    shown = files.select(F.explode("pii").alias("t")).distinct().agg(F.count("*").alias("n"))
     groups = files.select(group_key(by).alias("g")).distinct().agg(F.count("*").alias("n"))
     return files.agg(
         F.count("*").alias("files"), F.coalesce(F.count_if(F.col("severity") >= 3), F.lit(0)).alias("high_risk")

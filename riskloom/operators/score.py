@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +14,29 @@ from riskloom.catalog import (
     DEFAULT_CATEGORY,
     DEFAULT_WEIGHT,
     OLD_FILE_SECONDS,
+    RULES,
     SCORE_CAP,
     SCORE_CATEGORIES,
     SCORE_ORANGE,
     SCORE_YELLOW,
     WEIGHT_BY_TYPE,
+    Rule,
 )
 from riskloom.functions.matching import any_of, quoted
 
 
-def weight_table(spark: SparkSession) -> DataFrame:
-    """Type, category and weight as a table of fixed size."""
-    rows = [(t, CATEGORY_BY_TYPE[t], w) for t, w in WEIGHT_BY_TYPE.items()]
+def _weights(rules: Sequence[Rule]) -> dict[str, int]:
+    return WEIGHT_BY_TYPE | {r.pii_type: r.weight for r in rules}
+
+
+def _categories(rules: Sequence[Rule]) -> dict[str, str]:
+    return CATEGORY_BY_TYPE | {r.pii_type: r.category for r in rules}
+
+
+def weight_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Type, category and weight, one row per known type and rule."""
+    categories = _categories(rules)
+    rows = [(t, categories[t], w) for t, w in _weights(rules).items()]
     return spark.createDataFrame(rows, "pii_type string, category string, weight int")
 
 
@@ -32,9 +45,9 @@ def _literal_map(values: dict[str, object]) -> str:
     return f"map({pairs})"
 
 
-def weights_of(types: str) -> str:
+def weights_of(types: str, rules: Sequence[Rule] = RULES) -> str:
     """SQL: array of types to array of weights."""
-    return f"transform({types}, t -> coalesce(try_element_at({_literal_map(WEIGHT_BY_TYPE)}, t), {DEFAULT_WEIGHT}))"
+    return f"transform({types}, t -> coalesce(try_element_at({_literal_map(_weights(rules))}, t), {DEFAULT_WEIGHT}))"
 
 
 def severity(score: Column) -> Column:
@@ -63,20 +76,19 @@ def bonuses(path: Column, modified: Column, encrypted: Column, as_of: Column) ->
     return F.filter(found, lambda b: b.isNotNull())
 
 
-def score_types(df: DataFrame, types: str, bonus: str = "0") -> DataFrame:
+def score_types(df: DataFrame, types: str, bonus: str = "0", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add raw score, capped score and severity from an array of types, inside the row.
 
-    ``types`` and ``bonus`` are SQL expressions. No shuffle: a document's types are already together.
+    ``types`` and ``bonus`` are SQL expressions; ``rules`` are those the types were detected by. No shuffle: a document's types are already together.
     """
-    raw = f"int(aggregate({weights_of(types)}, 0, (a, w) -> a + w) + {bonus})"
+    raw = f"int(aggregate({weights_of(types, rules)}, 0, (a, w) -> a + w) + {bonus})"
     capped = df.withColumn("raw_score", F.expr(raw)).withColumn("score", F.least("raw_score", F.lit(SCORE_CAP)))
     return capped.withColumn("severity", severity(F.col("score")))
 
 
-def breakdown(df: DataFrame, types: str) -> DataFrame:
+def breakdown(df: DataFrame, types: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add one zero-filled column per category with the weight it contributes, inside the row."""
-    categories = _literal_map(CATEGORY_BY_TYPE)
-    weights = _literal_map(WEIGHT_BY_TYPE)
+    categories, weights = _literal_map(_categories(rules)), _literal_map(_weights(rules))
 
     def part(name: str) -> Column:
         mine = f"filter({types}, t -> coalesce(try_element_at({categories}, t), {quoted(DEFAULT_CATEGORY)}) = {quoted(name)})"
@@ -94,12 +106,12 @@ def types_of_any(detections: str | None = None, pii_types: str | None = None) ->
     return f"coalesce({', '.join(s for s in shapes if s)}, {empty})"
 
 
-def weigh(detections: DataFrame) -> DataFrame:
-    """Long detections with weight and category: a left join to the fixed-size weight table.
+def weigh(detections: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Long detections with weight and category: a left join to the table of known types.
 
     A category already on the detection wins over the table's.
     """
-    dim = weight_table(detections.sparkSession).withColumnRenamed("category", "_category")
+    dim = weight_table(detections.sparkSession, rules).withColumnRenamed("category", "_category")
     own = F.col("category") if "category" in detections.columns else F.lit(None).cast("string")
     rest = [c for c in detections.columns if c != "category"]
     return detections.join(F.broadcast(dim), "pii_type", "left").select(

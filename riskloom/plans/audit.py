@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.catalog import MAX_DEPTH, MAX_FILE_SIZE_MB
+from riskloom.catalog import RULES, Rule
 from riskloom.operators.audit_view import normalize_files
 from riskloom.operators.detect import dedupe, detect
 from riskloom.operators.inventory import dispatch, scan_stats, visit, with_metadata, within_budget
@@ -18,39 +18,46 @@ from riskloom.sources.files import WHOLE, Bounds, extract, read_tree
 
 @dataclass(frozen=True)
 class Scan:
-    """``files``: text and metadata of every file read; ``visited``: all files seen; ``stats``: counters."""
+    """``files``: text and metadata of every file read; ``visited``: all files seen; ``stats``: counters; ``errors``: unreadable files."""
 
     files: DataFrame
     visited: DataFrame
     stats: DataFrame
+    errors: DataFrame
 
 
 def scan(
     spark: SparkSession,
     roots: Sequence[str],
     as_of: Column | None = None,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     max_files: int | None = None,
-    max_file_size_mb: float = MAX_FILE_SIZE_MB,
+    max_file_size_mb: float | None = None,
     bounds: Bounds = WHOLE,
     inventory: DataFrame | None = None,
 ) -> Scan:
-    """Scan directory roots, or any ``inventory`` table with ``path, size, modified, content``."""
+    """Scan directory roots, or any ``inventory`` table with ``path, size, modified, content`` and, if known, ``error``.
+
+    Nothing is left out by default; depth, size and number of files are limits of the caller.
+    """
     listed = read_tree(spark, roots) if inventory is None else inventory
     seen = visit(listed, roots, max_depth)
     if max_files is not None:
         seen = within_budget(seen, max_files)
     visited = dispatch(seen, max_file_size_mb)
     files = extract(with_metadata(visited, as_of if as_of is not None else F.current_timestamp()), bounds)
-    return Scan(files, visited.drop("content"), scan_stats(visited, roots))
+    why = F.col("error") if "error" in visited.columns else F.lit(None).cast("string")
+    errors = visited.filter("outcome = 'error'").select("path", why.alias("error"))
+    return Scan(files, visited.drop("content"), scan_stats(visited, roots), errors)
 
 
-def scored_files(files: DataFrame, as_of: Column) -> DataFrame:
+def scored_files(files: DataFrame, as_of: Column, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Detections, score, severity, breakdown and bonuses of every file, without a shuffle."""
-    found = dedupe(detect(files, text="content")).withColumn(
+    found = dedupe(detect(files, text="content", rules=rules)).withColumn(
         "bonuses", bonuses(F.col("path"), F.col("modified"), F.lit(False), as_of)
     )
-    return breakdown(score_types(found, "detections.pii_type", "aggregate(bonuses, 0, (a, b) -> a + b.weight)"), "detections.pii_type")
+    scored = score_types(found, "detections.pii_type", "aggregate(bonuses, 0, (a, b) -> a + b.weight)", rules)
+    return breakdown(scored, "detections.pii_type", rules)
 
 
 def audit(files: DataFrame) -> DataFrame:

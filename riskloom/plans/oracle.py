@@ -18,6 +18,7 @@ from riskloom.catalog import (
     SKIPPED_EXTENSIONS,
     VIEW_CATEGORIES,
     VIEW_PATTERNS,
+    TOP_N_FILES,
     WEIGHT_BY_TYPE,
     CATEGORY_BY_TYPE,
 )
@@ -223,13 +224,13 @@ FILE_TYPE = _cases(
 )
 
 
-def _visited(roots, limit: str = "26214400") -> list[str]:
+def _visited(roots, limit: str = "26214400", depth: int = 5) -> list[str]:
     pairs = []
     for i, root in enumerate(roots):
         dirs = f"regexp_extract(substr(path, {len(root) + 2}), '^(.*/)?[^/]*$', 1)"
         pairs.append(
             (
-                rf"starts_with(path, '{root}/') AND NOT regexp_matches({dirs}, '(^|/)\.') AND len({dirs}) - len(replace({dirs}, '/', '')) <= 5",
+                rf"starts_with(path, '{root}/') AND NOT regexp_matches({dirs}, '(^|/)\.') AND len({dirs}) - len(replace({dirs}, '/', '')) <= {depth}",
                 str(i),
             )
         )
@@ -256,6 +257,21 @@ FLAGS = {
 COUNTS = ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in FLAGS.items())
 ORACLE["scan_stats"] = _with(*BASE, *_visited(ROOTS, SMALL)) + f"""SELECT root_ord, {COUNTS}, 0::BIGINT AS permission_errors,
     (CASE WHEN root_ord IS NULL THEN {len(ROOTS)} ELSE 1 END)::BIGINT AS paths_scanned FROM visited GROUP BY ROLLUP (root_ord)"""
+ORACLE["scan_unbounded"] = _with(*BASE) + f"""SELECT CASE WHEN contains(full_path, 's3a://bucket/home/u/Downloads/') THEN 0
+    WHEN contains(path, '/home/u/Documents/') THEN 1 ELSE 2 END AS root_ord, full_path AS path, outcome,
+    CASE WHEN outcome IN ('read', 'unsupported') THEN {KIND} END AS kind FROM (
+        SELECT *, (CASE WHEN doc_id % 2 = 0 THEN 'hdfs://nn:8020' ELSE 's3a://bucket' END) || path AS full_path,
+            CASE WHEN {EXT} IN ({', '.join(_text(e) for e in SKIPPED_EXTENSIONS)}) THEN 'skipped'
+                WHEN ({KIND}) IS NULL THEN 'unsupported' ELSE 'read' END AS outcome
+        FROM corpus WHERE NOT contains(path, '/.'))"""
+ORACLE["scan_errors"] = _with(*BASE) + "SELECT path, 'denied: ' || path AS error FROM corpus WHERE doc_id % 9 = 4 AND NOT contains(path, '/.')"
+ORACLE["scan_error_stats"] = _with(*BASE) + """, seen AS (SELECT count(*) AS total_files, count(*) FILTER (doc_id % 9 = 4) AS permission_errors
+        FROM corpus WHERE NOT contains(path, '/.'))
+    SELECT 0 AS root_ord, total_files, permission_errors, 1::BIGINT AS paths_scanned FROM seen
+    UNION ALL SELECT 1, 0, 0, 1 UNION ALL SELECT NULL, total_files, permission_errors, 2 FROM seen"""
+ORACLE["score_custom_rules"] = _with(PLANT, """parts AS (SELECT doc_id, 30 * len(regexp_extract_all(text, '(?i)EMP[0-9]')) AS identity,
+        7 * len(regexp_extract_all(text, '(?i)HDFC0')) AS financial FROM planted)""") + """SELECT form, doc_id, identity + financial AS raw_score,
+    identity, financial, 0 AS other FROM parts, (VALUES ('row'), ('long')) AS forms(form) WHERE identity + financial > 0"""
 ORACLE["scan_budget"] = _with(*BASE, *_visited(ROOTS)) + "SELECT root_ord, path FROM visited ORDER BY root_ord, path LIMIT 300"
 ORACLE["multi_root_merge"] = _with(*BASE, *_visited(ROOTS)) + "SELECT root_ord, path, size FROM visited"
 ORACLE["unique_paths"] = _with(*BASE) + "SELECT path, size, 0 AS root_ord FROM corpus"
@@ -361,9 +377,9 @@ AUDIT = [
     *BASE,
     f"typed AS (SELECT *, {FILE_TYPE} AS file_type, ({_presence('content')}) AS present FROM corpus)",
     f"""audit AS MATERIALIZED (SELECT {_stable('path')} AS id, {NAME} AS name, path, greatest(1, size) AS value,
-        ({VIEW_SEVERITY.format('present')})::INT AS severity, array_to_string(present[1:6], ',') AS pii,
+        ({VIEW_SEVERITY.format('present')})::INT AS severity, array_to_string(present, ',') AS pii,
         array_to_string(present[1:3], ',') AS top_pii, left(content, 220) AS excerpt,
-        {_view_category('present[1:6]', 'file_type')} AS category, file_type FROM typed)""",
+        {_view_category('present', 'file_type')} AS category, file_type FROM typed)""",
 ]
 ORACLE["audit_files"] = _with(*AUDIT) + "SELECT * FROM audit"
 ORACLE["audit_files_declared"] = _with(
@@ -402,6 +418,7 @@ TOPN_ROWS = f"""SELECT id, name, path, value, severity, pii, top_pii, category,
     SELECT {_stable("'others-' || k || '-' || v")}, 'Others (' || k || ')', '', v, s, '', '', 'others', 'aggregate' FROM (
         SELECT {_REST} FROM ranked WHERE rn > 200) WHERE k > 0"""
 ORACLE["top_n_others"] = _with(*AUDIT, TOPN) + TOPN_ROWS
+ORACLE["top_n_default"] = _with(*AUDIT, TOPN) + TOPN_ROWS.replace("200", str(TOP_N_FILES))
 ORACLE["treemap_groups"] = _with(*AUDIT, TOPN, f"shown AS ({TOPN_ROWS})") + _group("category", "category", "shown")
 
 
@@ -440,14 +457,14 @@ DIRS = [
         FROM (SELECT value, severity, parts, unnest(range(0, len(parts))) AS level FROM placed_dirs) GROUP BY 1, 2)""",
 ]
 ORACLE["dir_rollup"] = _with(*AUDIT, *DIRS) + f"""SELECT CASE WHEN level = 0 THEN 'root' ELSE {_stable("'dir:' || path")} END AS id,
-    CASE WHEN level = 0 THEN 'root' ELSE regexp_extract(path, '[^/]*$') END AS name, path,
+    CASE WHEN level = 0 THEN (SELECT prefix FROM prefix) ELSE regexp_extract(path, '[^/]*$') END AS name, path,
     CASE WHEN level > 1 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) WHEN level = 1 THEN '' END AS parent,
     level::INT AS level, value, severity, file_count, local_count FROM nodes"""
 ORACLE["portfolio_score"] = _with(*AUDIT) + """SELECT risk, files, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 35 THEN 'elevated' ELSE 'calm' END AS tone
     FROM (SELECT risk, files, floor(100.0 * risk / (3 * files) + 0.5)::INT AS score FROM (
         SELECT sum(severity)::BIGINT AS risk, count(*) AS files FROM audit))"""
 ORACLE["dashboard_metrics"] = _with(*AUDIT) + """SELECT count(*) AS files, count(*) FILTER (severity >= 3) AS high_risk,
-    (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(top_pii, ',')) AS t FROM audit WHERE top_pii <> '')) AS pii_types,
+    (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(pii, ',')) AS t FROM audit WHERE pii <> '')) AS pii_types,
     count(DISTINCT category) AS categories FROM audit"""
 MATCH = "(contains(lower(name), '{0}') OR contains(lower(path), '{0}') OR contains(lower(pii), '{0}'))"
 ORACLE["search_files"] = _with(*AUDIT) + f"SELECT path, pii, severity FROM audit WHERE {MATCH.format('src7')}"
@@ -526,6 +543,7 @@ ORACLE["ledger_history"] = _with(ENTRIES) + "SELECT * FROM entries WHERE type =
 ORACLE["ledger_where"] = _with(ENTRIES) + "SELECT * FROM entries WHERE type = 'error' AND id > 50 ORDER BY id LIMIT 40 OFFSET 5"
 ORACLE["ledger_stats"] = _with(ENTRIES) + """SELECT type, count(*) AS n, count(DISTINCT source) AS sources, min(timestamp) AS first_at,
     max(json_extract_string(payload, '$.k')::INT) AS top FROM entries GROUP BY type HAVING count(*) > 1"""
+ORACLE["ledger_query_all"] = _with(ENTRIES) + "SELECT source, hour(timestamp)::INT AS hour, count(*) AS n FROM entries GROUP BY 1, 2"
 ORACLE["ledger_append"] = """WITH made AS (SELECT event_type AS type, 'user-' || user_id AS source,
         '{"a":' || json(props)::VARCHAR || ',"z":' || event_id || '}' AS payload,
         '{"z": ' || event_id || ', "a": ' || props || '}' AS given FROM events),
@@ -570,10 +588,11 @@ ORACLE["ner_and_regex_summary"] = _with(*KEPT, *NER) + """SELECT pii_type, metho
 # ---- streaming
 
 ORACLE["stream_detections"] = _with(*_hits("documents", "doc_id", "text")) + "SELECT doc_id, pii_type, start, stop, value FROM hits"
-ORACLE["stream_scan"] = _with(*BASE, *_visited([ROOT])) + """SELECT 0 AS seq, 'start' AS event, NULL AS path, NULL AS kind, NULL AS outcome
+ORACLE["stream_scan"] = _with(*BASE, *_visited([ROOT], depth=99)) + """SELECT 0 AS seq, 'start' AS event, NULL AS path, NULL AS kind, NULL AS outcome
     UNION ALL SELECT 1, CASE WHEN outcome = 'read' THEN 'file' ELSE 'skip' END, path, kind, outcome FROM visited
     UNION ALL SELECT 3, 'complete', NULL, NULL, NULL"""
 ORACLE["stream_path_dedupe"] = _with(*BASE) + "SELECT path FROM corpus"
-ORACLE["stream_counters"] = _with(*BASE, *_visited([ROOT])) + """SELECT CASE WHEN outcome = 'read' THEN 'file' ELSE 'skip' END AS event,
+ORACLE["stream_old_files"] = ORACLE["stream_path_dedupe"]
+ORACLE["stream_counters"] = _with(*BASE, *_visited([ROOT], depth=99)) + """SELECT CASE WHEN outcome = 'read' THEN 'file' ELSE 'skip' END AS event,
     outcome, count(*) AS count FROM visited GROUP BY 1, 2"""
 ORACLE["stream_ledger"] = _with(ENTRIES) + "SELECT id, timestamp, type, source, json(payload)::VARCHAR AS payload, metadata FROM entries"

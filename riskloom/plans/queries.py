@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.catalog import BONUS_WEIGHT, SCORE_CATEGORIES
+from riskloom.catalog import BONUS_WEIGHT, MAX_DEPTH, MAX_FILE_SIZE_MB, RULES, SCORE_CATEGORIES, TOP_N_FILES, Rule
 from riskloom.functions import paths as P
 from riskloom.operators import audit_view as V
 from riskloom.operators import detect as D
@@ -171,30 +171,71 @@ def score_shapes(spark, sf_dir):
     return S.score_types(shaped, "any_types").select("doc_id", "raw_score", "severity")
 
 
+CUSTOM = (*RULES, Rule("Badge", "identity", 30, r"EMP\d"), Rule("Routing", "financial", 7, r"HDFC0"))
+
+
+@query
+def score_custom_rules(spark, sf_dir):
+    """Rules of the caller's own weigh what they say, in the row and in the long form alike."""
+    found = D.detect(C.planted(spark, sf_dir), rules=CUSTOM[-2:], heuristics=False)
+    types = "detections.pii_type"
+    in_row = S.breakdown(S.score_types(found, types, rules=CUSTOM), types, CUSTOM).filter("raw_score > 0")
+    long = S.score_rows(S.weigh(D.explode_detections(found, "doc_id"), CUSTOM), "doc_id")
+    columns = ["doc_id", "raw_score", "identity", "financial", "other"]
+    return in_row.select(F.lit("row").alias("form"), *columns).unionByName(long.select(F.lit("long").alias("form"), *columns))
+
+
 # ---- inventory ---------------------------------------------------------------------------------
 
 
 @query
 def scan_inventory(spark, sf_dir):
-    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), [C.ROOT]), 20_000 / 1024 / 1024)
+    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), [C.ROOT], MAX_DEPTH), 20_000 / 1024 / 1024)
     return seen.select("path", "outcome", "kind", P.file_type(F.col("path")).alias("file_type"))
 
 
 @query
 def scan_stats(spark, sf_dir):
-    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), C.ROOTS), 20_000 / 1024 / 1024)
+    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), C.ROOTS, MAX_DEPTH), 20_000 / 1024 / 1024)
     return I.scan_stats(seen, C.ROOTS)
 
 
+@query
+def scan_unbounded(spark, sf_dir):
+    """No limits, paths of two file systems, roots written with and without their store."""
+    stores = "if(doc_id % 2 = 0, 'hdfs://nn:8020', 's3a://bucket')"
+    inv = C.inventory(spark, sf_dir).withColumn("path", F.expr(f"concat({stores}, path)"))
+    seen = I.dispatch(I.visit(inv, ["s3a://bucket/home/u/Downloads", "hdfs:///home/u/Documents", "/home/u"]))
+    return seen.select("root_ord", "path", "outcome", "kind")
+
+
+def _failing(spark, sf_dir) -> DataFrame:
+    failed = F.expr("if(doc_id % 9 = 4, concat('denied: ', path), NULL)")
+    return C.corpus(spark, sf_dir).withColumn("error", failed).withColumn("content", F.expr("if(error IS NULL, content, NULL)"))
+
+
+@query
+def scan_errors(spark, sf_dir):
+    """Unreadable files are listed with their reason and end no scan."""
+    return A.scan(spark, [C.ROOT], C.as_of(), inventory=_failing(spark, sf_dir)).errors
+
+
+@query
+def scan_error_stats(spark, sf_dir):
+    """Counters with unreadable files and a root without files."""
+    scan = A.scan(spark, [C.ROOT, "/nowhere"], C.as_of(), inventory=_failing(spark, sf_dir))
+    return scan.stats.select("root_ord", "total_files", "permission_errors", "paths_scanned")
+
+
 @query
 def scan_budget(spark, sf_dir):
-    seen = I.visit(C.inventory(spark, sf_dir), C.ROOTS)
+    seen = I.visit(C.inventory(spark, sf_dir), C.ROOTS, MAX_DEPTH)
     return I.within_budget(seen, 300).select("root_ord", "path")
 
 
 @query
 def multi_root_merge(spark, sf_dir):
-    return I.visit(C.inventory(spark, sf_dir), C.ROOTS).select("root_ord", "path", "size")
+    return I.visit(C.inventory(spark, sf_dir), C.ROOTS, MAX_DEPTH).select("root_ord", "path", "size")
 
 
 @query
@@ -210,7 +251,7 @@ def unique_paths(spark, sf_dir):
 
 @query
 def running_stats(spark, sf_dir):
-    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), C.ROOTS), 20_000 / 1024 / 1024)
+    seen = I.dispatch(I.visit(C.inventory(spark, sf_dir), C.ROOTS, MAX_DEPTH), 20_000 / 1024 / 1024)
     return I.running_stats(seen).select("root_ord", "path", *I.stat_flags())
 
 
@@ -227,7 +268,7 @@ def file_metadata(spark, sf_dir):
 
 @query
 def extract_text(spark, sf_dir):
-    seen = I.dispatch(I.visit(C.corpus(spark, sf_dir), [C.ROOT]))
+    seen = I.dispatch(I.visit(C.corpus(spark, sf_dir), [C.ROOT], MAX_DEPTH), MAX_FILE_SIZE_MB)
     out = files.extract(seen)
     return out.select("path", "kind", F.char_length("content").alias("chars"), F.md5("content").alias("digest"))
 
@@ -407,6 +448,12 @@ def top_n_others(spark, sf_dir):
     return flat(G.top_n_with_others(audit_table(spark, sf_dir), 200)).drop("excerpt")
 
 
+@query
+def top_n_default(spark, sf_dir):
+    """The same at the default of the treemap."""
+    return flat(G.top_n_with_others(audit_table(spark, sf_dir), TOP_N_FILES)).drop("excerpt")
+
+
 @query
 def group_top_k_category(spark, sf_dir):
     return flat(G.group_children(audit_table(spark, sf_dir), "category"))
@@ -615,10 +662,16 @@ def ledger_stats(spark, sf_dir):
         """SELECT type, count(*) AS n, count(DISTINCT source) AS sources, min(timestamp) AS first_at,
             max(int(get_json_object(payload, '$.k'))) AS top FROM ledger_entries GROUP BY type HAVING count(*) > ?""",
         [1],
-        limit=1000,
     )
 
 
+@query
+def ledger_query_all(spark, sf_dir):
+    """An aggregate with a group per user and hour comes back whole."""
+    sql = "SELECT source, hour(timestamp) AS hour, count(*) AS n FROM ledger_entries GROUP BY source, hour(timestamp)"
+    return L.query(C.ledger(spark, sf_dir), sql)
+
+
 @query
 def ledger_append(spark, sf_dir):
     """Two batches appended to a fresh ledger, ids continuing, keys of the payload sorted."""
@@ -693,6 +746,20 @@ def stream_path_dedupe(spark, sf_dir):
     return spark.read.schema("path string").parquet(path)
 
 
+@query
+def stream_old_files(spark, sf_dir):
+    """A file far older than those before it still leaves when it arrives in a later batch."""
+    folder = scratch_dir(spark, "arrivals")
+    inv = C.inventory(spark, sf_dir).select("doc_id", "path", "modified")
+    inv.filter("doc_id % 2 = 0").select("path", "modified").coalesce(1).write.parquet(f"{folder}/batch=1")
+    old = inv.filter("doc_id % 2 = 1 OR doc_id % 10 = 0").select("path", F.expr("modified - INTERVAL 5000 DAYS").alias("modified"))
+    old.coalesce(1).write.parquet(f"{folder}/batch=2")
+    arriving = T.stream_table(spark, folder, "path string, modified timestamp, batch int", per_trigger=1)
+    path = scratch_dir(spark, "paths")
+    T.to_parquet(T.new_paths(arriving, "1 day").select("path"), path)
+    return spark.read.schema("path string").parquet(path)
+
+
 @query
 def stream_counters(spark, sf_dir):
     """Running counts per outcome, kept in the state store; the last update is the answer."""

@@ -34,13 +34,15 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The folder named by the cluster, or a local one when none is named (local runs, tests)."""
+    """The folder named by the cluster; local runs and tests may do without, a cluster may not."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="riskloom-")
 
 

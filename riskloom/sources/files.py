@@ -80,7 +80,7 @@ def extract(files: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
     ``files`` comes from ``dispatch`` and carries ``content`` (text or binary). Chat files gain their
     metadata; other rows have NULL there.
     """
-    readable = files.filter("coalesce(kind, 'db') <> 'db'").withColumn("content", decode_text(F.col("content")))
+    readable = files.filter("outcome = 'read' AND kind <> 'db'").withColumn("content", decode_text(F.col("content")))
     kind, text = F.col("kind"), F.col("content")
     parsed = with_messages(readable, kind == "chat", bounds.messages, bounds.raw_chat_chars)
     content = (

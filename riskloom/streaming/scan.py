@@ -35,15 +35,20 @@ def stream_tree(spark: SparkSession, root: str, per_trigger: int | None = None)
 
 
 def new_paths(stream: DataFrame, within: str | None = None) -> DataFrame:
-    """Each path once; with ``within`` the state is bounded by a watermark on ``modified``."""
+    """Each path once; with ``within`` a path is remembered for that long after it arrived.
+
+    The watermark follows the time of arrival, so a file is never late, however old it is.
+    """
     if within is None:
         return stream.dropDuplicates(["path"])
-    return stream.withWatermark("modified", within).dropDuplicatesWithinWatermark(["path"])
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(["path"]).drop("_arrived")
 
 
 def file_events(visited: DataFrame) -> DataFrame:
-    """``file`` for files whose text is read, ``skip`` for the others."""
-    return visited.withColumn("event", F.when(F.col("outcome") == "read", "file").otherwise("skip"))
+    """``file`` for files whose text is read, ``error`` for unreadable ones, ``skip`` for the others."""
+    outcome = F.col("outcome")
+    return visited.withColumn("event", F.when(outcome == "read", "file").when(outcome == "error", "error").otherwise("skip"))
 
 
 def scan_events(stream: DataFrame, roots: Sequence[str], **limits: float) -> DataFrame:

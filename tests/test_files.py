@@ -58,7 +58,23 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def scanned(spark, folder):
-    return A.scan(spark, [folder], max_file_size_mb=2500 / 1024 / 1024)
+    return A.scan(spark, [folder], max_depth=5, max_file_size_mb=2500 / 1024 / 1024)
+
+
+def test_scan_has_no_limits_of_its_own(spark, folder):
+    scan = A.scan(spark, [folder])
+    assert f"{folder}/a/b/c/d/e/f/deeper.txt" in {r.path for r in scan.files.collect()}
+    assert scan.visited.filter("outcome = 'large'").count() == 0
+
+
+def test_raw_bytes_of_parsed_formats_are_unsupported(spark):
+    rows = [("/r/a.pdf", 9, "%PDF"), ("/r/b.xlsx", 9, "PK"), ("/r/c.txt", 9, "text")]
+    table = spark.createDataFrame(rows, "path string, size long, content string").withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
+    parsed = A.scan(spark, ["/r"], inventory=table)
+    raw = A.scan(spark, ["/r"], inventory=table.withColumn("content", F.col("content").cast("binary")))
+    assert {r.path for r in parsed.files.collect()} == {"/r/a.pdf", "/r/b.xlsx", "/r/c.txt"}
+    assert {r.path for r in raw.files.collect()} == {"/r/c.txt"}
+    assert {r.outcome for r in raw.visited.collect()} == {"unsupported", "read"}
 
 
 def test_scan_reads_supported_files(scanned, folder):
