@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
+    chat_repair,
+    chat_trie,
     decontaminate,
     entropy_mix,
     jaccard_join,
@@ -16,8 +18,10 @@ from riskloom.llm import (
     page_diff,
     quality_ranking,
     quality_rules,
+    sql,
     token_counts,
     token_files,
+    url_filter,
 )
 from riskloom.llm.common import written
 
@@ -107,6 +111,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "template", "verdict")
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.summaries(chat_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_chat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_decontaminate,
         op10_jaccard_join,
+        op11_url_filters,
+        op12_chat_repair,
+        op13_chat_trie,
         pipeline,
     )
 }
@@ -136,7 +156,7 @@ _SPACE = r"\x09-\x0D\x20"
 LINE_DEDUP = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
-    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM docs
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs
 ),
 keyed AS (
     SELECT *, translate(regexp_replace(line, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -147,18 +167,18 @@ common AS (
 ),
 marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.holder AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
 DECONTAMINATE = r"""
 WITH split AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ),
 items AS (
     SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
 ),
 windows AS (
     SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
@@ -170,7 +190,7 @@ places AS (
     FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, lengths WHERE len(w) >= n)
 ),
 hits AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
-words AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
 named AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
@@ -180,4 +200,10 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM split s LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE}
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": LINE_DEDUP,
+    "op9_decontaminate": DECONTAMINATE,
+    "op11_url_filters": sql.url_filters(),
+    "op12_chat_repair": sql.chat_repair(),
+    "op13_chat_trie": sql.chat_trie(),
+}
