@@ -43,25 +43,33 @@ def url_filters() -> str:
         return f"CASE WHEN len(seg) > {k} THEN {held} END" if k < levels else "CAST(NULL AS VARCHAR)"
 
     for k in range(levels):
-        shares = " + ".join(f"abs({x}_n::DOUBLE / n::DOUBLE - all_{x}::DOUBLE / all_n::DOUBLE)" for x in kinds)
-        rate = "(all_blocked::DOUBLE / all_labelled::DOUBLE)"
+        shares = " + ".join(f"abs({x}_n::DOUBLE / n::DOUBLE - pool_{x}::DOUBLE / pool_n::DOUBLE)" for x in kinds)
+        most = f"greatest({', '.join(f'{x}_n' for x in kinds)})"
+        main = " ".join(f"WHEN {x}_n = {most} THEN '{x}'" for x in kinds)
+        rate = "(pool_blocked::DOUBLE / pool_labelled::DOUBLE)"
         out += [
             f"c{k} AS (SELECT *, CASE WHEN after IS NULL THEN 'end' {shapes} END AS kind FROM (SELECT *, {segment(k)} AS child, {segment(k + 1)} AS after FROM s{k}))",
             f"""k{k} AS (SELECT host, template, child, max(purity) AS above, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled,
     {', '.join(f"coalesce(sum(n) FILTER (kind = '{x}'), 0) AS {x}_n" for x in kinds)} FROM c{k} WHERE child IS NOT NULL GROUP BY host, template, child)""",
-            f"""n{k} AS (SELECT host, template, max(above) AS above, sum(n) AS all_n, sum(blocked) AS all_blocked, sum(labelled) AS all_labelled,
-    {', '.join(f'sum({x}_n) AS all_{x}' for x in kinds)} FROM k{k} GROUP BY host, template)""",
-            f"""l{k} AS (SELECT host, template, child, blocked, labelled, ({shares}) / 2 <= 0.1::DOUBLE + 1::DOUBLE / sqrt(n::DOUBLE) AND
-    (labelled = 0 OR all_labelled = 0 OR abs(blocked::DOUBLE / labelled::DOUBLE - {rate}) <= 2::DOUBLE * sqrt(1::DOUBLE / labelled::DOUBLE) * sqrt({rate} * (1 - {rate}))) AS alike
-    FROM k{k} JOIN n{k} USING (host, template) WHERE n >= {url_filter.LEAST} AND n >= {url_filter.SUPPORT}::DOUBLE * all_n::DOUBLE)""",
-            f"""g{k} AS (SELECT host, template, max(above) AS above, max(all_blocked) - coalesce(sum(blocked), 0) AS wild_blocked, max(all_labelled) - coalesce(sum(labelled), 0) AS wild_labelled,
-    count(*) FILTER (alike) AS pooled, '{{' || string_agg(child, '|' ORDER BY child) FILTER (alike) || '}}' AS pool,
-    sum(blocked) FILTER (alike) AS pool_blocked, sum(labelled) FILTER (alike) AS pool_labelled FROM n{k} LEFT JOIN l{k} USING (host, template) GROUP BY host, template)""",
+            f"""n{k} AS (SELECT host, template, max(above) AS above, sum(n) AS all_n, sum(blocked) AS all_blocked, sum(labelled) AS all_labelled
+    FROM k{k} GROUP BY host, template)""",
+            f"""l{k} AS (SELECT k.*, CASE {main} END AS main FROM k{k} k JOIN n{k} USING (host, template)
+    WHERE n >= {url_filter.LEAST} AND n >= {url_filter.SUPPORT}::DOUBLE * all_n::DOUBLE)""",
+            f"""p{k} AS (SELECT host, template, main, sum(n) AS pool_n, sum(blocked) AS pool_blocked, sum(labelled) AS pool_labelled,
+    {', '.join(f'sum({x}_n) AS pool_{x}' for x in kinds)} FROM l{k} GROUP BY host, template, main)""",
+            f"""a{k} AS (SELECT host, template, main, child, above, blocked, labelled, ({shares}) / 2 <= 0.1::DOUBLE + 1::DOUBLE / sqrt(n::DOUBLE) AND
+    (labelled = 0 OR pool_labelled = 0 OR abs(blocked::DOUBLE / labelled::DOUBLE - {rate}) <= 2::DOUBLE * sqrt(1::DOUBLE / labelled::DOUBLE) * sqrt({rate} * (1 - {rate}))) AS alike
+    FROM l{k} JOIN p{k} USING (host, template, main))""",
+            f"""m{k} AS (SELECT host, template, main, true AS alike, '{{' || string_agg(child, '|' ORDER BY child) || '}}' AS names, sum(blocked) AS m_blocked, sum(labelled) AS m_labelled
+    FROM a{k} WHERE alike GROUP BY host, template, main HAVING count(*) > 1)""",
+            f"""b{k} AS (SELECT host, template, child, blocked, labelled, coalesce(names, child) AS branch,
+    {purity('coalesce(m_blocked, blocked)', 'coalesce(m_labelled, labelled)', 'above')} AS branch_purity FROM a{k} LEFT JOIN m{k} USING (host, template, main, alike))""",
+            f"""w{k} AS (SELECT host, template, {purity('max(all_blocked) - coalesce(sum(blocked), 0)', 'max(all_labelled) - coalesce(sum(labelled), 0)', 'max(above)')} AS wild_purity
+    FROM n{k} LEFT JOIN b{k} USING (host, template) GROUP BY host, template)""",
             f"""s{k + 1} AS (SELECT c.host, c.path, c.seg, c.n, c.blocked, c.labelled,
-    CASE WHEN c.child IS NULL THEN c.template WHEN l.child IS NULL THEN c.template || '/*' WHEN l.alike AND pooled > 1 THEN c.template || '/' || pool ELSE c.template || '/' || l.child END AS template,
-    CASE WHEN c.child IS NULL THEN c.purity WHEN l.child IS NULL THEN {purity('wild_blocked', 'wild_labelled', 'above')}
-        WHEN l.alike AND pooled > 1 THEN {purity('pool_blocked', 'pool_labelled', 'above')} ELSE {purity('l.blocked', 'l.labelled', 'above')} END AS purity
-    FROM c{k} c LEFT JOIN g{k} g USING (host, template) LEFT JOIN l{k} l ON c.host = l.host AND c.template = l.template AND c.child = l.child)""",
+    CASE WHEN c.child IS NULL THEN c.template ELSE c.template || '/' || coalesce(branch, '*') END AS template,
+    CASE WHEN c.child IS NULL THEN c.purity ELSE coalesce(branch_purity, wild_purity) END AS purity
+    FROM c{k} c LEFT JOIN w{k} USING (host, template) LEFT JOIN b{k} b ON c.host = b.host AND c.template = b.template AND c.child = b.child)""",
         ]
     return f"""WITH {", ".join(out)}
 SELECT page_id, r.host, r.path, rule, template, coalesce(said, CASE WHEN purity >= {url_filter.BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict

@@ -3,8 +3,8 @@
 Equal URLs are counted once, so that a host with a third of all pages is a table of its distinct paths. The tree grows one path
 segment a step. Under a node, a segment stays literal where it makes up a fair share of the node's pages; the rest is
 variable and shares the wildcard ``*``. A node so has at most ``1 / support`` literal branches, whatever the host. Literal branches
-that differ from all their siblings taken together neither in what follows them nor in how often rules block them are
-merged. Each branch's purity is the blocked share of its labelled pages, drawn to the purity of the node above it; pages that no
+with the same main kind of segment below them are merged, unless one differs from all of these taken together in what follows
+it or in how often rules block it. Each branch's purity is the blocked share of its labelled pages, drawn to the purity of the node above it; pages that no
 rule decides are blocked where their template's purity is high. All of it is DataFrame work: no Python sees a URL.
 """
 
@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, UPPER, shielded, small, written
+from riskloom.llm.common import LOWER, UPPER, shielded, written
 
 
 class Rule(NamedTuple):
@@ -97,37 +97,33 @@ def _branches(state: DataFrame, support: float, least: int) -> DataFrame:
         *[F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS],
     )
     kids = written(kids, "url_branches")
-    nodes = kids.groupBy(*node).agg(F.max("purity").alias("above"), *[F.sum(c).alias(f"all_{c}") for c in sums])
-    literal = kids.filter(F.col("n") >= least).join(nodes, node).filter(F.col("n") >= support * F.col("all_n"))
-    apart = sum((F.abs(F.col(k) / F.col("n") - F.col(f"all_{k}") / F.col("all_n")) for k in KINDS), F.lit(0.0)) / 2
-    rate, noise = F.col("all_blocked") / F.col("all_labelled"), 2.0 * F.sqrt(F.lit(1.0) / F.col("labelled"))
-    same_rate = F.when((F.col("labelled") == 0) | (F.col("all_labelled") == 0), True).otherwise(
+    nodes = kids.groupBy(*node).agg(F.max("purity").alias("above"), *[F.sum(c).alias(f"all_{c}") for c in sums[:3]])
+    literal = kids.filter(F.col("n") >= least).join(nodes.select(*node, "all_n"), node).filter(F.col("n") >= support * F.col("all_n"))
+    most, main = F.greatest(*KINDS), F
+    for k in KINDS:
+        main = main.when(F.col(k) == F.col("most"), k)
+    # At most 1 / support of them a node; those with the same main kind of next segment are compared with each other's sum.
+    literal = written(literal.withColumn("most", most).withColumn("main", main), "url_literal")
+    pools = literal.groupBy(*node, "main").agg(*[F.sum(c).alias(f"pool_{c}") for c in sums])
+    apart = sum((F.abs(F.col(k) / F.col("n") - F.col(f"pool_{k}") / F.col("pool_n")) for k in KINDS), F.lit(0.0)) / 2
+    rate, noise = F.col("pool_blocked") / F.col("pool_labelled"), 2.0 * F.sqrt(F.lit(1.0) / F.col("labelled"))
+    same_rate = F.when((F.col("labelled") == 0) | (F.col("pool_labelled") == 0), True).otherwise(
         F.abs(F.col("blocked") / F.col("labelled") - rate) <= noise * F.sqrt(rate * (1 - rate))
     )
     alike = (apart <= 0.1 + F.lit(1.0) / F.sqrt("n")) & same_rate
-    # At most 1 / support of them a node.
-    literal = literal.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("child", "blocked", "labelled", alike.alias("alike")))).alias("literal"))
-    none = F.array().cast("array<struct<child:string,blocked:bigint,labelled:bigint,alike:boolean>>")
-    out = nodes.join(literal, node, "left").withColumn("literal", F.coalesce("literal", none))
-    out = out.withColumn("merged", F.filter("literal", lambda x: x["alike"]))
-    out = out.withColumn("merged", F.when(F.size("merged") > 1, F.col("merged")).otherwise(F.slice("merged", 1, 0)))
-
-    def total(items: str, field: str) -> Column:
-        return F.aggregate(F.col(items), F.lit(0).cast("long"), lambda a, x: a + x[field])
-
-    pooled = _purity(total("merged", "blocked"), total("merged", "labelled"), F.col("above"))
-    wild = _purity(F.col("all_blocked") - total("literal", "blocked"), F.col("all_labelled") - total("literal", "labelled"), F.col("above"))
-    pool = F.concat(F.lit("{"), F.array_join(F.transform("merged", lambda x: x["child"]), "|"), F.lit("}"))
-    out = out.select(*node, "literal", "above", F.size("merged").alias("pooled"), pool.alias("pool"), pooled.alias("pool_purity"), wild.alias("wild_purity"))
-    kept = F.transform(
-        "literal",
-        lambda x: F.struct(
-            x["child"].alias("child"),
-            F.when(x["alike"] & (F.col("pooled") > 0), F.col("pool")).otherwise(x["child"]).alias("branch"),
-            F.when(x["alike"] & (F.col("pooled") > 0), F.col("pool_purity")).otherwise(_purity(x["blocked"], x["labelled"], F.col("above"))).alias("purity"),
-        ),
-    )
-    return out.select(*node, kept.alias("kept"), "wild_purity")
+    known = literal.join(pools, [*node, "main"]).select(*node, "main", "child", "purity", "blocked", "labelled", alike.alias("alike"))
+    merged = known.filter("alike").groupBy(*node, "main").agg(
+        F.array_join(F.sort_array(F.collect_list("child")), "|").alias("names"), F.count("*").alias("merged"),
+        F.sum("blocked").alias("m_blocked"), F.sum("labelled").alias("m_labelled"),
+    )
+    known = known.join(merged.filter("merged > 1"), [*node, "main"], "left")
+    joins = F.col("alike") & F.col("merged").isNotNull()
+    of = [F.when(joins, F.col(f"m_{c}")).otherwise(F.col(c)) for c in ("blocked", "labelled")]
+    branch = F.when(joins, F.concat(F.lit("{"), "names", F.lit("}"))).otherwise(F.col("child"))
+    kept = F.struct("child", branch.alias("branch"), _purity(*of, F.col("purity")).alias("purity"))
+    kept = known.groupBy(*node).agg(F.collect_list(kept).alias("kept"), F.sum("blocked").alias("known_blocked"), F.sum("labelled").alias("known_labelled"))
+    wild = [F.col(f"all_{c}") - F.coalesce(f"known_{c}", F.lit(0)) for c in ("blocked", "labelled")]
+    return nodes.join(kept, node, "left").select(*node, "kept", _purity(*wild, F.col("above")).alias("wild_purity"))
 
 
 def learn(paths: DataFrame, levels: int = LEVELS, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
@@ -140,7 +136,7 @@ def learn(paths: DataFrame, levels: int = LEVELS, support: float = SUPPORT, leas
     prior = known[0] / known[1] if known[1] else 0.0
     hosts = paths.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     hosts = written(hosts.select("host", _purity(F.col("b"), F.col("l"), F.lit(prior)).alias("purity")), "url_hosts")
-    state = paths.withColumn("template", F.lit("")).join(small(hosts), "host")
+    state = paths.withColumn("template", F.lit("")).join(hosts, "host")
     for k in range(min(levels, known[2] or 0)):
         last = k == levels - 1
 
@@ -151,7 +147,7 @@ def learn(paths: DataFrame, levels: int = LEVELS, support: float = SUPPORT, leas
         after = F.lit(None).cast("string") if last else segment(k + 1, k + 1 == levels - 1)
         state = written(state.withColumns({"child": segment(k, last), "next": _shape(after)}), "url_state")
         found = written(_branches(state, support, least), "url_tree")
-        state = state.join(small(found), ["host", "template"], "left")
+        state = state.join(found, ["host", "template"], "left")
         state = state.withColumn("hit", F.get(F.filter("kept", lambda x: x["child"] == F.col("child")), F.lit(0)))
         grown = F.concat("template", F.lit("/"), F.coalesce("hit.branch", F.lit("*")))
         state = state.select(
@@ -182,7 +178,7 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, l
         F.count("fit").alias("labelled"),
     )
     found = written(learn(written(paths, "url_paths"), levels), "url_templates")
-    out = rows.join(small(found), ["host", "path"])
+    out = rows.join(found, ["host", "path"])
 
     def named(value) -> Column:
         chosen = F
