@@ -3,7 +3,7 @@
 Every rule looks at a few counts of a text and votes 1 (good), 0 (bad) or null (abstains). A text is good or poor in one of
 several kinds, and votes are independent given that: poor texts mostly fail one rule, so a single poor class would hide
 the kinds that are rare. Expectation-maximisation runs over the table of distinct vote patterns (at most 3 to the number
-of rules, whatever the corpus), by one aggregation an iteration; the driver holds only the parameters. All per-text work stays in one row: no shuffle, no Python.
+of rules, whatever the corpus), which one aggregation counts. All per-text work stays in one row: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,9 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words", "2 * word_chars BETWEEN 7 * n_words AND 18 * n_words AND n_words > 0", False),
     Rule("variety", "n_words BETWEEN 20 AND 2000 AND 10 * n_distinct < 3 * n_words", "n_words BETWEEN 20 AND 2000 AND 2 * n_distinct > n_words", False),
 )
-#: Share of good texts on which a rule that finds a kind of its own may err at most (without a bound, a rare kind is taken for an
-#: error), and on which any other rule is taken to err at least (so that none of these decides alone).
-ERRORS = 0.01
+#: Share of good texts on which a rule is believed to err before any vote, and how firmly: as if so large a share of all rows had
+#: been seen to bear it out. Without such a belief a rare kind of poor text is taken for errors on good ones.
+ERRORS, TRUST = 0.01, 0.5
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 GOOD = "good"
 
@@ -140,39 +141,31 @@ def _with_chances(df: DataFrame, model: Model, rules: tuple[Rule, ...], votes: d
     return df.select(*own, *[(F.col(f"_e{k}") / F.col("_sum")).alias(f"_p{k}") for k in range(len(classes))])
 
 
-def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 30, weight: float = 20.0) -> Model:
+def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 200, weight: float = 20.0, trust: float = TRUST) -> Model:
     """Learn from every row of ``counted`` (see ``counts``) without labels; an empty table gives ``start``.
 
-    Chances are drawn to ``start`` with the force of ``weight`` votes. Stops when none moves by 1e-3.
+    One aggregation counts the vote patterns, of which there are 3 to the number of rules at most, whatever the corpus; the
+    iterations then run over these few rows. Chances are drawn to ``start`` with the force of ``weight`` votes, those of good texts with
+    the force of a share ``trust`` of all rows besides. Stops when none moves by 1e-5.
     """
-    prior = model = start(rules)
-    patterns = counted.groupBy(*[vote(r).alias(f"v{i}") for i, r in enumerate(rules)]).agg(F.count("*").alias("n"))
-    patterns = written(patterns.coalesce(1), "patterns")
-    votes = {r.name: F.col(f"v{i}") for i, r in enumerate(rules)}
+    model = prior = start(rules)
+    patterns = counted.groupBy(*[vote(r).alias(f"v{i}") for i, r in enumerate(rules)]).agg(F.count("*").alias("n")).collect()
+    if not patterns:
+        return model
+    n = np.array([p.n for p in patterns], float)
+    bad, voted = (np.array([[f(v) for v in p[:-1]] for p in patterns], float) for f in (lambda v: v == 0, lambda v: v is not None))
+    classes, names = list(prior.shares), [r.name for r in rules]
+    share = first_share = np.array([prior.shares[c] for c in classes])
+    chance = first = np.array([[prior.bad_votes[c][r] for r in names] for c in classes])
+    force = np.array([weight + (trust * n.sum() if c == GOOD else 0.0) for c in classes])[:, None]
     for step in range(1, iterations + 1):
-        sums = {}
-        weighed = _with_chances(patterns, model, rules, votes)
-        for i, c in enumerate(model.shares):
-            mass = F.col(f"_p{i}") * F.col("n")
-            sums[c, None, None] = F.sum(mass)
-            for name, v in votes.items():
-                for k in (0, 1):
-                    sums[c, name, k] = F.sum(F.when(v == k, mass))
-        found = weighed.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums.values())]).first()
-        total = dict(zip(sums, (x or 0.0 for x in found), strict=True))
-        rows = sum(total[c, None, None] for c in model.shares)
-        if not rows:
-            break
-        shares = {c: (total[c, None, None] + weight * prior.shares[c]) / (rows + weight) for c in model.shares}
-        chances = {
-            c: {n: (total[c, n, 0] + weight * prior.bad_votes[c][n]) / (total[c, n, 0] + total[c, n, 1] + weight) for n in votes}
-            for c in model.shares
-        }
-        for r in rules:
-            chances[GOOD][r.name] = (min if r.kind else max)(chances[GOOD][r.name], ERRORS)
-        moved = max(abs(chances[c][n] - model.bad_votes[c][n]) for c in chances for n in votes)
-        model = Model(shares, chances, step)
-        if moved < 1e-3:
+        logs = np.log(share) + bad @ np.log(chance).T + (voted - bad) @ np.log(1 - chance).T
+        mass = np.exp(logs - logs.max(axis=1, keepdims=True))
+        mass *= (n / mass.sum(axis=1))[:, None]
+        before, chance = chance, (mass.T @ bad + force * first) / (mass.T @ voted + force)
+        share = (mass.sum(axis=0) + weight * first_share) / (n.sum() + weight)
+        model = Model(dict(zip(classes, share.tolist(), strict=True)), {c: dict(zip(names, row, strict=True)) for c, row in zip(classes, chance.tolist(), strict=True)}, step)
+        if np.abs(chance - before).max() < 1e-5:
             break
     return model
 

@@ -107,6 +107,13 @@ def load_pieces(path: str) -> list[str]:
 _state: dict = {}
 
 
+def _loaded(vocabulary: str) -> tuple[Automaton, dict[str, int]]:
+    """A worker's automaton and the counts of words that it remembers: reached by name, so tasks of one worker share them."""
+    if vocabulary not in _state:
+        _state[vocabulary] = (Automaton(load_pieces(vocabulary)), {})
+    return _state[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``n_words``, ``n_tokens`` (long) for every row: words are runs without white space, each counted by the automaton.
 
@@ -114,16 +121,14 @@ def token_counts(docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: st
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _state:
-            _state[vocabulary] = (Automaton(load_pieces(vocabulary)), {})
-        automaton, known = _state[vocabulary]
+        automaton, known = _loaded(vocabulary)
         for batch in batches:
             words, tokens = [], []
             for t in batch.column("text").to_pylist():
                 found = Counter(t.split())
                 if len(known) > MEMO:
                     known.clear()
-                for w in found.keys() - known.keys():
+                for w in [w for w in found if w not in known]:
                     known[w] = automaton.count(w)
                 words.append(found.total())
                 tokens.append(sum(n * known[w] for w, n in found.items()))
