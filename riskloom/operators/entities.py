@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.catalog import CATEGORY_BY_TYPE, CHUNK_CHARS, ENTITY_OF_LABEL, EXCERPT_RADIUS, LABELS
-from riskloom.functions.matching import pieces, quoted
+from riskloom.functions.matching import cut, pieces, quoted
 from riskloom.operators.detect import DETECTIONS, explode_detections
 
 TOKENS = "array<struct<start:int,stop:int,logits:array<float>>>"
@@ -66,7 +66,6 @@ def predict(chunked: DataFrame, factory: Callable[[], Callable[[list[str]], list
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
 
-    run.__module__ = "__main__"
     return chunked.mapInArrow(run, f"{schema}, tokens {TOKENS}")
 
 
@@ -121,7 +120,90 @@ def decode(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "chunk_start", F.expr(f"cast({built} AS {DETECTIONS})").alias("detections"))
 
 
+#: Chunks that a model sees at once.
+MODEL_CHUNKS = 64
+SPANS = "array<struct<chunk:int,start:int,stop:int,pii_type:string,confidence:double>>"
+
+
+def _entity_spans(factory: Callable, types: list[str], opens: list[bool]) -> Callable:
+    """Arrow lists of chunks to Arrow lists of entities: argmax, softmax and span decoding on whole arrays of tokens.
+
+    Only entities leave Python, not logits.
+    """
+
+    def decoded(found: list[Tokens], first: int, known: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        counts = [len(s) for s, _, _ in found]
+        chunk = np.repeat(np.arange(first, first + len(found)), counts)
+        start, stop = (np.concatenate([np.asarray(t[k], np.int64) for t in found]) for k in (0, 1))
+        logits = np.concatenate([np.asarray(t[2], np.float32).reshape(n, -1) for t, n in zip(found, counts, strict=True) if n] or [np.zeros((0, 1), np.float32)])
+        real = start != stop
+        chunk, start, stop, logits = chunk[real], start[real], stop[real], logits[real].astype(np.float64)
+        label = logits.argmax(axis=1) if len(logits) else np.zeros(0, np.int64)
+        power = np.zeros(len(label))
+        for column in logits.T:
+            power += np.exp(column - logits.max(axis=1))
+        kind = known[label] if len(label) else np.zeros(0, np.int64)
+        before = np.concatenate([[-1], np.where(chunk[1:] == chunk[:-1], kind[:-1], -1)]) if len(kind) else kind
+        begins = (kind >= 0) & (begin[label] | (kind != before)) if len(kind) else np.zeros(0, bool)
+        inside = kind >= 0
+        span, at = np.cumsum(begins)[inside] - 1, np.nonzero(begins)[0]
+        held = np.bincount(span, minlength=len(at))
+        total = np.bincount(span, weights=1.0 / power[inside], minlength=len(at))
+        last = at + held - 1
+        return [chunk[at], start[at], stop[last], kind[at], total / np.maximum(held, 1)]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        model = factory()
+        names = sorted({t for t in types if t})
+        known, begin = np.array([names.index(t) if t else -1 for t in types]), np.array(opens)
+        for batch in batches:
+            texts = batch.flatten()
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch), 0))
+            ends = np.cumsum(sizes)
+            parts = [decoded(model(texts.slice(k, MODEL).to_pylist()), k, known, begin) for k in range(0, len(texts), MODEL)]
+            chunk, start, stop, kind, sure = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(5))
+            doc = np.searchsorted(ends, chunk, side="right")
+            own = chunk - (ends - sizes)[doc] if len(doc) else chunk
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sizes)))])
+            rows = pa.StructArray.from_arrays(
+                [pa.array(own, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(np.array(names, object)[kind.astype(int)], pa.string()), pa.array(sure, pa.float64())],
+                ["chunk", "start", "stop", "pii_type", "confidence"],
+            )
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    MODEL = MODEL_CHUNKS
+    return run
+
+
+def tag(df: DataFrame, text: str, factory: Callable, output: str = "entities", width: int = CHUNK_CHARS) -> DataFrame:
+    """Add ``output``: the entities that a model finds in each text, in the shape and order of ``detect``'s detections.
+
+    A text is cut into chunks inside its row and its entities come back to the row, so nothing is shuffled however many
+    chunks it has; the model sees a bounded number of chunks at once. ``factory`` is the one of ``predict``.
+    """
+    types = [ENTITY_OF_LABEL.get(x[2:], "") for x in LABELS]
+    spans = _entity_spans(factory, types, [x.startswith("B-") for x in LABELS])
+    found = F.arrow_udf(spans, SPANS)
+    category = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in CATEGORY_BY_TYPE.items()) + ")"
+    space = quoted(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    start, stop = f"greatest(e.start - {EXCERPT_RADIUS}, 0)", f"least(e.stop + {EXCERPT_RADIUS}, z.n)"
+    placed = f"""transform(_found, f -> named_struct('start', f.chunk * {width} + f.start, 'stop', f.chunk * {width} + f.stop,
+        'pii_type', f.pii_type, 'confidence', f.confidence))"""
+    built = f"""transform(array(named_struct('p', _pieces, 'n', _len)), z -> transform(_placed, e -> named_struct(
+        'start', e.start, 'pii_type', e.pii_type, 'stop', e.stop, 'value', regexp_replace({cut('z.p', 'e.start', 'e.stop')}, {space}, ''),
+        'category', {category}[e.pii_type], 'method', 'ner', 'confidence', round(e.confidence, 4),
+        'excerpt', {cut('z.p', start, stop)})))[0]"""
+    columns = [f"`{c}`" for c in df.columns]
+    cutting = df.selectExpr(*columns, f"coalesce(`{text}`, '') AS _text").selectExpr(*columns, "_text", f"{pieces('_text', width)} AS _chunks")
+    tagged = cutting.withColumn("_found", found(F.col("_chunks")))
+    placed = tagged.selectExpr(*columns, f"{placed} AS _placed", f"{pieces('_text')} AS _pieces", "char_length(_text) AS _len")
+    return placed.selectExpr(*columns, f"filter(cast({built} AS {DETECTIONS}), d -> d.value <> '') AS `{output}`")
+
+
 def detect_entities(df: DataFrame, *keys: str, factory: Callable, text: str = "text") -> DataFrame:
     """One row per entity found by the model, in the shape of the other detections."""
-    decoded = decode(label_tokens(predict(chunks(df, *keys, text=text), factory)), *keys)
-    return explode_detections(decoded, *keys)
+    return explode_detections(tag(df.select(*keys, text), text, factory, "detections"), *keys)

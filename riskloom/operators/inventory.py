@@ -117,13 +117,17 @@ def stat_flags() -> dict[str, Column]:
     return flags | {"skipped_large_files": F.col("outcome") == "large"}
 
 
-def scan_stats(visited: DataFrame, roots: Sequence[str]) -> DataFrame:
+def scan_stats(visited: DataFrame, roots: Sequence[str], closed: DataFrame | None = None) -> DataFrame:
     """The nine counters per root and, with ``root_ord`` NULL, over all roots, in one aggregate.
 
-    Every root has a row, also one without files, and so has the total of an empty scan.
+    Every root has a row, also one without files, and so has the total of an empty scan. Directories that could not be listed
+    (``closed``, with ``root_ord``) count as errors but not as files.
     """
     flags = stat_flags() | {"permission_errors": F.col("outcome") == "error"}
     flagged = visited.select("root_ord", *[c.cast("long").alias(n) for n, c in flags.items()])
+    if closed is not None:
+        shut = closed.select("root_ord", *[F.lit(int(n == "permission_errors")).cast("long").alias(n) for n in flags])
+        flagged = flagged.unionByName(shut)
     # One row of nothing per root keeps roots without files in the result.
     none = flagged.sparkSession.range(len(roots)).select(
         F.col("id").cast("int").alias("root_ord"), *[F.lit(0).cast("long").alias(n) for n in flags]

@@ -22,7 +22,7 @@ from riskloom.catalog import (
     WEIGHT_BY_TYPE,
     CATEGORY_BY_TYPE,
 )
-from riskloom.plans.corpus import PLANTED, ROOT, ROOTS, SUFFIXES, TOPS
+from riskloom.plans.corpus import NAMES, PLANTED, ROOT, ROOTS, SUFFIXES, TOPS
 
 ORACLE: dict[str, str] = {}
 
@@ -294,6 +294,15 @@ ORACLE["extract_text"] = _with(*BASE, *_visited([ROOT])) + rf"""SELECT path, kin
     FROM visited WHERE kind IS NOT NULL AND kind <> 'db') WHERE len(c) > 0"""
 ORACLE["scan_tree"] = _with(*RAW) + """SELECT source, lang, pii_type, count(*) AS hits
     FROM hits JOIN documents USING (doc_id) GROUP BY source, lang, pii_type"""
+TREE = f"""tree AS (SELECT doc_id, text, doc_id % 6 AS k, '/' || source || '/' || lang || '/d' || doc_id || '/' || {_list(NAMES)}[doc_id % 6 + 1] AS path
+    FROM planted WHERE doc_id % 6 <> 5)"""
+ORACLE["scan_tree_complete"] = _with(PLANT, TREE) + """SELECT path, CASE WHEN k IN (3, 4) THEN 0 ELSE strlen(text) END AS size,
+    CASE WHEN k = 4 THEN 'error' ELSE 'read' END AS outcome, CASE WHEN k <> 4 THEN 'text' END AS kind, CASE WHEN k < 3 THEN md5(text) END AS digest FROM tree"""
+ORACLE["scan_tree_errors"] = _with(PLANT, TREE) + """SELECT path, 'FileNotFoundError' AS error FROM tree WHERE k = 4
+    UNION ALL SELECT '-missing', 'FileNotFoundError'"""
+ORACLE["scan_tree_stats"] = _with(PLANT, TREE, """counted AS (SELECT count(*) AS total_files, count(*) FILTER (k <> 4) AS text_files, count(*) FILTER (k = 4) AS bad FROM tree)""") + """
+    SELECT 0 AS root_ord, total_files, text_files, bad AS permission_errors, 1::BIGINT AS paths_scanned FROM counted
+    UNION ALL SELECT 1, 0, 0, 1, 1 UNION ALL SELECT NULL, total_files, text_files, bad + 1, 2 FROM counted"""
 ORACLE["json_extract"] = """SELECT event_id, '{"attrs":' || json(props)::VARCHAR || ',"type":"' || event_type || '","user":' || user_id || '}' AS content
     FROM events WHERE event_id % 10 <> 0"""
 ORACLE["csv_extract"] = _with(PLANT) + rf"""SELECT doc_id, md5(t) AS digest, len(string_split(t, {NL}))::INT AS lines
@@ -585,6 +594,38 @@ ORACLE["ner_entities"] = _with(PLANT, *NER) + _FULL
 ORACLE["ner_and_regex_summary"] = _with(*KEPT, *NER) + """SELECT pii_type, method, count(*) AS n FROM (
     SELECT pii_type, 'regex' AS method FROM kept UNION ALL SELECT pii_type, 'ner' FROM entities) GROUP BY pii_type, method"""
 
+BOTH = [*KEPT, *NER, """found AS (SELECT doc_id, pii_type, start, stop, value FROM kept
+    UNION ALL SELECT e.doc_id, e.pii_type, e.start, e.stop, substr(p.text, e.start + 1, e.stop - e.start) FROM entities e JOIN planted p ON e.doc_id = p.doc_id)"""]
+ORACLE["classify_summary_both"] = _with(*BOTH) + f"""SELECT p.doc_id, md5(coalesce(s.pii_types, '')) AS pii_types,
+    coalesce(s.categories, '') AS categories, coalesce(s.n, 0)::INT AS n, 'model' AS backend
+    FROM planted p LEFT JOIN (SELECT doc_id, string_agg(pii_type, ',' ORDER BY start, pii_type) AS pii_types,
+        array_to_string(list_sort(list_distinct(list({_category('pii_type')}))), ',') AS categories, count(*) AS n
+        FROM found GROUP BY doc_id) s ON p.doc_id = s.doc_id"""
+_WEIGHED = f"weighed AS (SELECT doc_id, sum({_weight('pii_type')})::INT AS w FROM found GROUP BY doc_id)"
+ORACLE["doc_score_both"] = _with(*BOTH, _WEIGHED) + f"""SELECT p.doc_id, coalesce(w, 0) AS raw_score, least(coalesce(w, 0), 100) AS score,
+    {SEVERITY.format('least(coalesce(w, 0), 100)')} AS severity FROM planted p LEFT JOIN weighed s ON p.doc_id = s.doc_id"""
+_BY_CATEGORY = ", ".join(f"coalesce(sum({_weight('pii_type')}) FILTER ({_category('pii_type')} = '{c}'), 0)::INT AS {c}" for c in SCORE_CATEGORIES)
+_EXTRA = f"(CASE WHEN {PLACE} THEN 2 ELSE 0 END + CASE WHEN {OLD} THEN 2 ELSE 0 END)::INT"
+ORACLE["score_breakdown_both"] = _with(*BOTH, CORPUS, f"parts AS (SELECT doc_id, {_BY_CATEGORY} FROM found GROUP BY doc_id)") + f"""
+    SELECT path, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SCORE_CATEGORIES)}, {_EXTRA} AS bonuses,
+    {' + '.join(f'coalesce({c}, 0)' for c in SCORE_CATEGORIES)} + {_EXTRA} AS raw_score,
+    {SEVERITY.format(f"({' + '.join(f'coalesce({c}, 0)' for c in SCORE_CATEGORIES)} + {_EXTRA})")} AS severity
+    FROM corpus c LEFT JOIN parts p ON c.doc_id = p.doc_id"""
+ORACLE["audit_files_both"] = _with(
+    *BOTH,
+    CORPUS,
+    """declared AS (SELECT c.doc_id, c.path, c.content, c.size, coalesce(d.ds, []) AS ds FROM corpus c LEFT JOIN (
+        SELECT doc_id, list(t ORDER BY start, p) AS ds FROM (SELECT doc_id, lower(pii_type) AS t, min(start) AS start,
+            arg_min(pii_type, (start, pii_type)) AS p FROM found GROUP BY doc_id, lower(pii_type)) GROUP BY doc_id) d ON c.doc_id = d.doc_id)""",
+    f"present AS (SELECT *, {_presence('content')} AS ps FROM declared)",
+    "merged AS (SELECT *, ds || list_filter(ps, lambda x: NOT list_contains(ds, x)) AS allt FROM present)",
+    r"""shaped AS (SELECT *, CASE WHEN len(ds) > 0 THEN allt ELSE ps END AS st,
+        CASE WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN lower(regexp_extract(path, '([^.]*)$', 1)) ELSE 'unknown' END AS ft FROM merged)""",
+) + f"""SELECT {_stable('path')} AS id, {NAME} AS name, path, greatest(1, size)::BIGINT AS value, ({VIEW_SEVERITY.format('st')})::INT AS severity,
+    array_to_string(allt, ',') AS pii, array_to_string(allt[1:3], ',') AS top_pii, {_view_category('allt', 'ft')} AS category, ft AS file_type FROM shaped"""
+_OWN = [(name, f"len(list_filter(string_split(content, {NL}), lambda l: regexp_matches(l, '(?i){p}') AND NOT {_noise('l')})) > 0") for name, p in (("badge", "EMP[0-9]"), ("routing", "HDFC0"))]
+ORACLE["audit_custom_rules"] = _with(*BASE) + f"""SELECT path, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _OWN)}) AS own FROM corpus"""
+
 # ---- streaming
 
 ORACLE["stream_detections"] = _with(*_hits("documents", "doc_id", "text")) + "SELECT doc_id, pii_type, start, stop, value FROM hits"

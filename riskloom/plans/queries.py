@@ -285,6 +285,38 @@ def scan_tree(spark, sf_dir):
     return rows.groupBy(*place, "pii_type").agg(F.count("*").alias("hits"))
 
 
+def _scanned_tree(spark, sf_dir) -> tuple[str, A.Scan]:
+    """A tree with hidden names, empty files, links to nothing and a root that is not there."""
+    root = C.planted_tree(spark, sf_dir, scratch_dir(spark, "tree"))
+    return root, A.scan(spark, [f"file:{root}", f"{root}-missing"], C.as_of(), complete=True)
+
+
+def _below(root: str) -> F.Column:
+    return F.expr(f"substring(path, {len(root) + 1})").alias("path")
+
+
+@query
+def scan_tree_complete(spark, sf_dir):
+    """Every file that a walk meets, and the text of those that were read."""
+    root, scan = _scanned_tree(spark, sf_dir)
+    texts = scan.files.select("path", F.md5("content").alias("digest"))
+    seen = scan.visited.select("path", "size", "outcome", "kind").join(texts, "path", "left")
+    return seen.select(_below(root), "size", "outcome", "kind", "digest")
+
+
+@query
+def scan_tree_errors(spark, sf_dir):
+    """What could not be read, files and directories."""
+    root, scan = _scanned_tree(spark, sf_dir)
+    return scan.errors.select(_below(root), F.substring_index("error", ":", 1).alias("error"))
+
+
+@query
+def scan_tree_stats(spark, sf_dir):
+    root, scan = _scanned_tree(spark, sf_dir)
+    return scan.stats.select("root_ord", "total_files", "text_files", "permission_errors", "paths_scanned")
+
+
 @query
 def json_extract(spark, sf_dir):
     """JSON built from events, one in ten cut short: canonical text, broken rows dropped."""
@@ -712,6 +744,49 @@ def ner_and_regex_summary(spark, sf_dir):
     return D.dedupe_rows(regex.unionByName(model)).groupBy("pii_type", "method").agg(F.count("*").alias("n"))
 
 
+def _classified(spark, sf_dir) -> DataFrame:
+    return A.classified(C.planted(spark, sf_dir), "text", model=word_length_model)
+
+
+@query
+def classify_summary_both(spark, sf_dir):
+    """Rules and model together, as one result a document."""
+    found = D.summarize(_classified(spark, sf_dir), "doc_id", backend="model")
+    return found.select(
+        "doc_id",
+        F.md5(joined("pii_types")).alias("pii_types"),
+        joined("categories").alias("categories"),
+        F.expr("size(confidence)").alias("n"),
+        "backend",
+    )
+
+
+@query
+def doc_score_both(spark, sf_dir):
+    """Names, organizations and places weigh like other findings."""
+    return S.score_types(_classified(spark, sf_dir), "detections.pii_type").select("doc_id", "raw_score", "score", "severity")
+
+
+@query
+def score_breakdown_both(spark, sf_dir):
+    scored = A.scored_files(C.corpus(spark, sf_dir), C.as_of(), model=word_length_model)
+    return scored.select("path", *SCORE_CATEGORIES, F.expr("aggregate(bonuses, 0, (a, b) -> a + b.weight)").alias("bonuses"), "raw_score", "severity")
+
+
+@query
+def audit_files_both(spark, sf_dir):
+    """Audit rows whose declared types come from rules and model."""
+    rows = A.audit(C.corpus(spark, sf_dir).select("path", "size", "content"), model=word_length_model)
+    return flat(rows).drop("excerpt")
+
+
+@query
+def audit_custom_rules(spark, sf_dir):
+    """Audit rows from the caller's own rules alone."""
+    rows = A.audit(C.corpus(spark, sf_dir).select("path", "size", "content"), rules=CUSTOM[-2:])
+    return rows.select("path", F.expr("array_join(filter(pii, t -> t IN ('badge', 'routing')), ',')").alias("own"))
+
+
 # ---- streaming ---------------------------------------------------------------------------------
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
