@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import numbered
 
 SCHEMA = "id long, timestamp timestamp, type string, source string, payload string, metadata string"
 COLUMNS = ("id", "timestamp", "type", "source", "payload", "metadata")
@@ -31,10 +31,9 @@ def stamped(entries: DataFrame, at: Column) -> DataFrame:
 
 
 def with_ids(entries: DataFrame, after: int = 0) -> DataFrame:
-    """Dense ids in (timestamp, type, source, payload) order, numbered without a single-task sort."""
+    """Dense ids in (timestamp, type, source, payload, metadata) order, in one exchange; equal entries spread over tasks."""
     order = ["timestamp", "type", "source", "payload", "metadata"]
-    numbered = running_totals(entries, order, {"_n": F.lit(1)})
-    return numbered.select((F.col("_n") + after).alias("id"), *order)
+    return numbered(entries, order, "_id").select((F.col("_id") + after).alias("id"), *order)
 
 
 def canonical(entries: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import ranges
 from riskloom.sources.sinks import materialize
 
 
@@ -27,22 +30,51 @@ def cutoff(df: DataFrame, order: Sequence[Column], keys: Sequence[str], k: int,
     return ranked.filter("_rn = _k").select(F.struct(*keys).alias("cut"))
 
 
+def _placed(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFrame:
+    """Rows sorted in range partitions. Rows of equal keys are told apart by where they were read, so any number of them spreads."""
+    read = df.withColumn("_read", F.monotonically_increasing_id())
+    ranged = read.repartitionByRange(parts or ranges(df), *order, "_read").sortWithinPartitions(*order, "_read")
+    return ranged.drop("_read").withColumn("_part", F.spark_partition_id())
+
+
+def _offsets(written: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """What the partitions before each one add up to: one row a partition, read back from what the tasks wrote."""
+    total = written.groupBy("_part").agg(*[c.alias(n) for n, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(total.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]))
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "_n", parts: int | None = None) -> DataFrame:
+    """Add ``name``: 1, 2, 3, ... in global ``order``, rows of equal keys in any order; one exchange and no Python.
+
+    A row's place in its partition is taken where it is written; reading back only adds the partition's offset.
+    """
+    local = materialize(_placed(df, order, parts).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+    return local.join(_offsets(local, {"_rows": F.count("*")}), "_part").select(*df.columns, (F.col("_place") + F.col("_before__rows")).alias(name))
+
+
 def running_totals(df: DataFrame, order: Sequence[str], flags: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Add inclusive running sums of ``flags`` in global ``order`` without a single-task window.
 
-    Rows are range-partitioned and written once (so a partition number means the same rows in both
-    uses below), each partition keeps its own running sums, and the offsets of earlier partitions
-    come from one row per partition.
+    Rows are range-partitioned once. The tasks that sort them add up along the way and write the sums as far as they know them;
+    reading back adds the offset of each partition, one row of which a partition is enough to know.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flagged = df.select("*", *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_f_{n}") for n, c in flags.items()])
-    placed = materialize(flagged.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sums = placed.groupBy("_part").agg(*[F.sum(f"_f_{n}").alias(f"_t_{n}") for n in flags])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: at most ``parts`` rows, so the window and the broadcast are bounded.
-    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in flags])
-    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(offsets), "_part")
-    return joined.select(
-        *df.columns, *[(F.sum(f"_f_{n}").over(inner) + F.col(f"_o_{n}")).alias(n) for n in flags]
-    )
+    names = list(flags)
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [0] * len(names)
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for k, name in enumerate(names):
+                total = np.cumsum(columns[name].to_numpy()) + carried[k]
+                carried[k] = int(total[-1]) if len(total) else carried[k]
+                columns[name] = pa.array(total, pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kept = [c for c in df.columns if c not in names]
+    flagged = df.select(*kept, *[F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in flags.items()])
+    placed = _placed(flagged, order, parts)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    local = materialize(placed.mapInArrow(along, fields))
+    joined = local.join(_offsets(local, {n: F.max(n) for n in names}), "_part")
+    return joined.select(*kept, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in names])

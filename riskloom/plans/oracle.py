@@ -632,6 +632,31 @@ ORACLE["stream_detections"] = _with(*_hits("documents", "doc_id", "text")) + "SE
 ORACLE["stream_scan"] = _with(*BASE, *_visited([ROOT], depth=99)) + """SELECT 0 AS seq, 'start' AS event, NULL AS path, NULL AS kind, NULL AS outcome
     UNION ALL SELECT 1, CASE WHEN outcome = 'read' THEN 'file' ELSE 'skip' END, path, kind, outcome FROM visited
     UNION ALL SELECT 3, 'complete', NULL, NULL, NULL"""
+def _logged(limit: str, budget: int | None = None) -> list[str]:
+    """Events of three batches: ``seen`` in order, cut at the budget, with running counters by root."""
+    flags = FLAGS | {"permission_errors": "outcome = 'error'"}
+    running = ", ".join(f"count(*) FILTER ({c}) OVER (PARTITION BY root_ord ORDER BY doc_id % 3, path ROWS UNBOUNDED PRECEDING) AS {n}" for n, c in flags.items())
+    failed = "CASE WHEN doc_id % 9 = 4 THEN 'error' ELSE outcome END"
+    return [
+        *BASE,
+        *_visited(ROOTS, limit),
+        f"judged AS (SELECT doc_id, path, root_ord, {failed} AS outcome, CASE WHEN doc_id % 9 <> 4 THEN kind END AS kind, row_number() OVER (ORDER BY doc_id % 3, root_ord, path) AS rn FROM visited)",
+        f"seen AS (SELECT * FROM judged {f'WHERE rn <= {budget}' if budget else ''})",
+        f"counted AS (SELECT *, {running} FROM seen)",
+        f"roots AS (SELECT unnest(range({len(ROOTS)}))::INT AS root_ord)",
+        f"final AS (SELECT r.root_ord, {', '.join(f'count(*) FILTER (s.path IS NOT NULL AND {c}) AS {n}' for n, c in flags.items())} FROM roots r LEFT JOIN seen s USING (root_ord) GROUP BY r.root_ord)",
+    ]
+
+
+_COUNTED = ", ".join((*FLAGS, "permission_errors"))
+_EVENT = "CASE outcome WHEN 'read' THEN 'file' WHEN 'error' THEN 'error' ELSE 'skip' END"
+ORACLE["stream_running_stats"] = _with(*_logged(SMALL)) + f"""SELECT 0 AS seq, 'start' AS event, NULL AS path, NULL AS kind, NULL AS outcome, root_ord, {', '.join(f'0::BIGINT AS {c}' for c in (*FLAGS, 'permission_errors'))} FROM roots
+    UNION ALL SELECT 1, {_EVENT}, path, kind, outcome, root_ord, {_COUNTED} FROM counted
+    UNION ALL SELECT 3, 'complete', NULL, NULL, NULL, root_ord, {_COUNTED} FROM final"""
+ORACLE["stream_budget"] = _with(*_logged("26214400000", 100)) + f"""SELECT 0 AS seq, 'start' AS event, NULL AS path, root_ord, 0::BIGINT AS total_files FROM roots
+    UNION ALL SELECT 1, {_EVENT}, path, root_ord, total_files FROM counted
+    UNION ALL SELECT 2, 'limit_reached', NULL, NULL, 100 WHERE (SELECT count(*) FROM judged) > 100
+    UNION ALL SELECT 3, 'complete', NULL, root_ord, total_files FROM final"""
 ORACLE["stream_path_dedupe"] = _with(*BASE) + "SELECT path FROM corpus"
 ORACLE["stream_old_files"] = ORACLE["stream_path_dedupe"]
 ORACLE["stream_counters"] = _with(*BASE, *_visited([ROOT], depth=99)) + """SELECT CASE WHEN outcome = 'read' THEN 'file' ELSE 'skip' END AS event,

@@ -811,6 +811,29 @@ def stream_scan(spark, sf_dir):
     return T.read_log(spark, log).select("seq", "event", "path", "kind", "outcome")
 
 
+def _arrivals(spark, sf_dir, batches: int = 3) -> DataFrame:
+    """The inventory in several batches, some files unreadable."""
+    folder = scratch_dir(spark, "arrivals")
+    inv = C.inventory(spark, sf_dir).withColumn("error", F.expr("if(doc_id % 9 = 4, 'denied', NULL)"))
+    for k in range(batches):
+        inv.filter(F.col("doc_id") % batches == k).drop("doc_id").coalesce(1).write.parquet(f"{folder}/batch={k}")
+    return T.stream_table(spark, folder, "path string, size bigint, modified timestamp, error string, batch int", per_trigger=1)
+
+
+@query
+def stream_running_stats(spark, sf_dir):
+    """Every event of a scan in three batches with its root's counters so far."""
+    log = T.counted_log(_arrivals(spark, sf_dir), C.ROOTS, scratch_dir(spark, "counted"), max_depth=MAX_DEPTH, max_file_size_mb=20_000 / 1024 / 1024)
+    return T.read_counted_log(spark, log)
+
+
+@query
+def stream_budget(spark, sf_dir):
+    """A budget that three roots share over three batches, and its one event."""
+    log = T.counted_log(_arrivals(spark, sf_dir), C.ROOTS, scratch_dir(spark, "counted"), max_files=100, max_depth=MAX_DEPTH)
+    return T.read_counted_log(spark, log).select("seq", "event", "path", "root_ord", "total_files")
+
+
 @query
 def stream_path_dedupe(spark, sf_dir):
     """Every file arrives twice, from two tables of the stream; each path leaves once."""

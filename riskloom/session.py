@@ -60,3 +60,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def ranges(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for a range partitioning of ``df``: as many as a shuffle has, and more where its input would make them large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, size // each + 1)

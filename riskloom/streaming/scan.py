@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators.inventory import dispatch, visit
+from riskloom.operators.inventory import STATS, dispatch, stat_flags, visit, within_budget
+from riskloom.operators.ordering import running_totals
 from riskloom.session import scratch_dir
+from riskloom.sources.sinks import materialize
 
 
 def stream_table(spark: SparkSession, path: str, schema: str, glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
@@ -150,7 +152,7 @@ def scan_log(
             size = batch.count()
             if size > left:
                 reached.append(batch_id)
-                rows = batch.orderBy("root_ord", "path").limit(left)
+                rows = within_budget(batch, left)
             written[batch_id] = min(size, left)
         # A replayed batch overwrites its own folder, so a restart neither loses nor repeats rows.
         rows.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
@@ -165,3 +167,67 @@ def scan_log(
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     schema = "seq int, event string, path string, kind string, outcome string, root_ord int"
     return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+
+
+COUNTERS = ("total_files", *STATS, "permission_errors")
+_LOGGED = "seq int, event string, path string, kind string, outcome string, root_ord int, " + ", ".join(f"{c} long" for c in COUNTERS)
+_TOTALS = "root_ord int, reached boolean, " + ", ".join(f"{c} long" for c in COUNTERS)
+
+
+def counted_log(stream: DataFrame, roots: Sequence[str], path: str, max_files: int | None = None, state: str | None = None, **limits: float) -> str:
+    """A scan's events with the counters of their root so far: ``start`` of each root, the files, ``limit_reached`` once, ``complete`` of each root.
+
+    What a micro-batch adds up to is written beside its events, one row a root; together these rows are the state that the next
+    batch starts from. A replayed batch overwrites both, so neither a restart nor a lost executor counts twice. Inside a batch the
+    counters are running totals over range partitions, and the budget, shared by all roots, is a cut-off key: no task sees a
+    whole root. Rows are in order of batch, root and path.
+    """
+    spark = stream.sparkSession
+    zero = [F.lit(0).cast("long").alias(c) for c in COUNTERS]
+    blank = [F.lit(None).cast("string").alias(c) for c in ("path", "kind", "outcome")]
+    every = spark.range(len(roots)).select(F.col("id").cast("int").alias("root_ord"), *zero)
+
+    def log(folder: str, seq: int, event: str, rows: DataFrame) -> None:
+        shown = rows.select(F.lit(seq).alias("seq"), F.lit(event).alias("event"), *blank, "root_ord", *COUNTERS)
+        shown.write.mode("overwrite").json(f"{path}/events/{folder}")
+
+    def totals(before: int | None = None) -> DataFrame:
+        """Rows of earlier batches; the folder's name is the batch."""
+        read = spark.read.schema(_TOTALS).option("recursiveFileLookup", True).json(f"{path}/totals")
+        batch = F.regexp_extract(F.input_file_name(), "/batch-([0-9]+)/", 1).cast("long")
+        return read if before is None else read.filter(batch < before)
+
+    every.withColumn("reached", F.lit(False)).write.mode("overwrite").json(f"{path}/totals/batch-0")
+    log("start", 0, "start", every)
+    flags = stat_flags() | {"permission_errors": F.col("outcome") == "error"}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        number = batch_id + 1
+        earlier = totals(number).groupBy("root_ord").agg(*[F.sum(c).alias(f"_e_{c}") for c in COUNTERS])
+        rows, reached = materialize(batch), False
+        if max_files is not None:
+            left = max(max_files - earlier.agg(F.sum("_e_total_files")).first()[0], 0)
+            reached = rows.count() > left
+            rows = within_budget(rows, left) if reached else rows
+        # One row a root, here and above: what the roots before it add in this batch goes off its running totals again.
+        mine = every.select("root_ord").join(rows.groupBy("root_ord").agg(*[F.count_if(F.coalesce(f.cast("boolean"), F.lit(False))).alias(c) for c, f in flags.items()]), "root_ord", "left")
+        mine = materialize(mine.fillna(0))
+        others = Window.orderBy("root_ord").rowsBetween(Window.unboundedPreceding, -1)
+        shift = mine.join(earlier, "root_ord").select("root_ord", *[(F.col(f"_e_{c}") - F.coalesce(F.sum(c).over(others), F.lit(0))).alias(f"_s_{c}") for c in COUNTERS])
+        along = running_totals(rows, ["root_ord", "path"], flags).join(F.broadcast(shift), "root_ord")
+        shown = along.select(F.lit(1).alias("seq"), "event", "path", "kind", "outcome", "root_ord", *[(F.col(c) + F.col(f"_s_{c}")).alias(c) for c in COUNTERS])
+        shown.write.mode("overwrite").json(f"{path}/events/batch-{number}")
+        mine.withColumn("reached", F.lit(reached)).write.mode("overwrite").json(f"{path}/totals/batch-{number}")
+
+    columns = ["event", "path", "kind", "outcome", "root_ord"]
+    run_available(scan_events(stream, roots, **limits).select(*columns), write, state=state)
+    final = totals().groupBy("root_ord").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("reached").alias("reached"))
+    if final.agg(F.max("reached")).first()[0]:
+        whole = final.agg(*[F.sum(c).alias(c) for c in COUNTERS])
+        log("limit", 2, "limit_reached", whole.withColumn("root_ord", F.lit(None).cast("int")))
+    log("complete", 3, "complete", final)
+    return path
+
+
+def read_counted_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_LOGGED).option("recursiveFileLookup", True).json(f"{path}/events")
