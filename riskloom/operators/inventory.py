@@ -102,7 +102,7 @@ def within_budget(visited: DataFrame, max_files: int) -> DataFrame:
     if max_files <= 0:
         return visited.limit(0)
     keys = ["root_ord", "path"]
-    cut = cutoff(visited, [F.col(k).asc() for k in keys], keys, max_files).scalar()
+    cut = cutoff(visited, [(k, False) for k in keys], max_files).scalar()
     return visited.filter(F.coalesce(F.struct(*keys) <= cut, F.lit(True)))
 
 

@@ -6,28 +6,62 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import ranges
 from riskloom.sources.sinks import materialize
 
 
-def cutoff(df: DataFrame, order: Sequence[Column], keys: Sequence[str], k: int, parts: int | None = None) -> DataFrame:
-    """One row holding the keys of the ``k``-th row in ``order``; no row when there are fewer.
+#: Rows up to which the cut-off is looked up by one bounded sort, and rows of a sample that guesses it in a larger table.
+SORTED_ROWS, SAMPLED_ROWS = 200_000, 10_000
+Order = Sequence[tuple[str, bool]]
 
-    The keys are range-partitioned and written once; counts per range say which range holds the
-    ``k``-th row, and only that range is ranked. The work is the same for any ``k``.
+
+def _columns(order: Order) -> list[Column]:
+    return [F.desc(name) if down else F.asc(name) for name, down in order]
+
+
+def not_after(order: Order, row: Row) -> Column:
+    """Whether a row's keys come no later in ``order`` than those of ``row``."""
+    test = F.lit(True)
+    for name, down in reversed(order):
+        key, edge = F.col(name), F.lit(row[name])
+        test = (key > edge if down else key < edge) | ((key == edge) & test)
+    return F.coalesce(test, F.lit(False))
+
+
+def cutoff(df: DataFrame, order: Order, k: int, parts: int | None = None, sorted_rows: int = SORTED_ROWS, sampled_rows: int = SAMPLED_ROWS) -> DataFrame:
+    """One row holding the keys of the ``k``-th row in ``order`` (name, descending); no row when there are fewer. Keys are never null.
+
+    A sample guesses a key that a little more than ``k`` rows do not come after. One pass counts these rows exactly, and if they
+    are enough only they are range-partitioned and ranked; so what is shuffled grows with ``k``, not with the table. A guess that
+    fell short costs a pass; then all rows are ranked.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.select(*keys).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    keys = [name for name, _ in order]
+    narrow, rows = df.select(*keys), df.count()
+    struct = F.struct(*keys).alias("cut")
+    if rows < k:
+        return narrow.limit(0).select(struct)
+    if rows <= sorted_rows:
+        return narrow.orderBy(*_columns(order)).offset(k - 1).limit(1).select(struct)
+    share = min(1.0, sampled_rows / rows)
+    rank = int(k * share + 4 * (k * share) ** 0.5 + 10)
+    if rank < 0.9 * sampled_rows:
+        guess = narrow.sample(share, 17).orderBy(*_columns(order)).offset(rank).limit(1).collect()
+        if guess:
+            near = narrow.filter(not_after(order, guess[0]))
+            if near.count() >= k:
+                narrow = near
+    parts = parts or ranges(narrow)
+    placed = materialize(narrow.repartitionByRange(parts, *_columns(order)).withColumn("_part", F.spark_partition_id()))
     until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     # One row per range: at most ``parts`` rows, so the window and the broadcast are bounded.
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_until", F.sum("_n").over(until))
     at = counts.filter((F.col("_until") >= k) & (F.col("_until") - F.col("_n") < k))
     inside = placed.join(F.broadcast(at.select("_part", (k - F.col("_until") + F.col("_n")).alias("_k"))), "_part")
-    ranked = inside.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return ranked.filter("_rn = _k").select(F.struct(*keys).alias("cut"))
+    ranked = inside.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*_columns(order))))
+    return ranked.filter("_rn = _k").select(struct)
 
 
 def _placed(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFrame:

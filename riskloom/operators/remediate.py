@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.catalog import ENCRYPTED_SUFFIX, NOT_REDACTABLE, REDACTION_MARK
 from riskloom.functions.matching import quoted
 from riskloom.functions.paths import view_name
+from riskloom.sources.sinks import materialize
 
 
 def redact(df: DataFrame, content: str = "content", pii_list: str = "pii_list") -> DataFrame:
@@ -114,6 +115,41 @@ def rename_paths(files: DataFrame, renames: DataFrame) -> DataFrame:
     return moved.withColumn("path", path).withColumn("name", view_name(F.col("path"))).drop("new_path")
 
 
+def final_paths(renames: DataFrame) -> DataFrame:
+    """``path`` and ``new_path``: where each first name of a chain of renames ends up.
+
+    ``renames`` has ``old_path``, ``new_path`` and their order ``ord`` (unique). A chain may come back to an earlier name, so renames,
+    not names, are followed: each points to the next one that takes its new path away, then every pointer jumps to where its
+    target points until none is left. A chain of n renames takes log2(n) joins.
+    """
+    comes = renames.select(F.col("new_path").alias("p"), "ord", F.lit(None).cast("long").alias("leaves"))
+    goes = renames.select(F.col("old_path").alias("p"), "ord", F.col("ord").cast("long").alias("leaves"))
+    # Within one name: the first departure after each arrival; a name without earlier arrival begins a chain.
+    after = Window.partitionBy("p").orderBy("ord", F.col("leaves").asc_nulls_first()).rowsBetween(1, Window.unboundedFollowing)
+    before = Window.partitionBy("p").orderBy("ord", F.col("leaves").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = comes.unionByName(goes).withColumns({"next": F.min("leaves").over(after), "first": F.count("*").over(before) == 0})
+    step = seen.filter("leaves IS NULL").select(F.col("ord").cast("long").alias("at"), "next")
+    begins = seen.filter("leaves IS NOT NULL AND first").select("p", F.col("leaves").alias("at"))
+    hops = materialize(step.select("at", F.coalesce("next", "at").alias("to")))
+    while True:
+        ahead = hops.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        jumped = materialize(hops.join(ahead, "to").select("at", F.col("further").alias("to"), (F.col("to") != F.col("further")).alias("moved")))
+        hops = jumped.drop("moved")
+        if not jumped.filter("moved").take(1):
+            break
+    ends = renames.select(F.col("ord").cast("long").alias("to"), "new_path")
+    return begins.join(hops, "at").join(ends, "to").select(F.col("p").alias("path"), "new_path")
+
+
+def follow_renames(rows: DataFrame, renames: DataFrame) -> DataFrame:
+    """``rows`` with ``path`` where all ``renames`` lead, in their order, and ``name`` recomputed if there is one.
+
+    Used alike for files and for the set of cleaned paths, so that a cleaned file stays cleaned under its new name.
+    """
+    moved = rows.join(final_paths(renames), "path", "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
+    return moved.withColumn("name", view_name(F.col("path"))) if "name" in rows.columns else moved
+
+
 def selected_files(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     """Distinct files of the selected nodes, a later selection winning, without removed paths.
 

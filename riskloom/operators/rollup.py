@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog import GROUP_VISIBLE, TONE_CRITICAL, TONE_ELEVATED, TOP_N_FILES
 from riskloom.functions.paths import stable_id
-from riskloom.operators.ordering import cutoff
+from riskloom.operators.ordering import cutoff, numbered
+from riskloom.sources.sinks import materialize
 
 GROUP_KEYS = {"category": "category", "type": "file_type", "file": "'files'"}
 FILE_COLUMNS = ("id", "name", "path", "value", "severity", "pii", "top_pii", "excerpt", "category", "file_type")
@@ -51,7 +52,7 @@ def top_n_with_others(files: DataFrame, n: int = TOP_N_FILES) -> DataFrame:
     The boundary is the key of the ``n``-th file, so kept and remaining rows are told apart by a
     comparison instead of a join.
     """
-    cut = cutoff(files, [F.desc("value"), F.asc("path")], ["value", "path"], n).scalar()
+    cut = cutoff(files, [("value", True), ("path", False)], n).scalar()
     key = F.struct((-F.col("value")).alias("a"), F.col("path").alias("b"))
     edge = F.struct((-F.col("_cut.value")).alias("a"), F.col("_cut.path").alias("b"))
     marked = files.withColumn("_cut", cut).withColumn("_kept", F.col("_cut").isNull() | (key <= edge))
@@ -208,6 +209,42 @@ def directory_nodes(files: DataFrame) -> DataFrame:
     )
 
 
+def ordered_tree(files: DataFrame) -> DataFrame:
+    """Directories and files as a tree in reading order: ``path, name, level, is_dir, value, severity, enter, leave``.
+
+    Below a directory come its directories by name, then its files by name. ``enter`` numbers the rows from 1 in that order and ``leave`` is the
+    number of the last row below, so that the rows inside a directory are those between its two numbers. A row's key is
+    the list of names that leads to it, directories before files, so one range partitioning orders a tree of any shape.
+    """
+    split = relative_parts(files)
+
+    def key(names: str, kind: int) -> str:
+        return f"transform({names}, d -> named_struct('kind', {kind}, 'name', d))"
+
+    leaves = split.select(
+        F.expr(f"concat({key('dirs', 0)}, {key('array(leaf)', 1)})").alias("key"), F.expr("array_join(concat(dirs, array(leaf)), '/')").alias("path"),
+        F.col("leaf").alias("name"), F.expr("size(dirs) + 1").alias("level"), F.lit(False).alias("is_dir"), F.col("value").cast("long").alias("value"), "severity", F.lit(0).cast("long").alias("below"),
+    )
+    local = split.groupBy("dirs").agg(F.sum("value").alias("value"), F.max("severity").alias("severity"), F.count("*").alias("n"))
+    above = local.select("dirs", "value", "severity", "n", F.explode(F.expr("sequence(0, size(dirs))")).alias("level"))
+    nodes = above.groupBy(F.expr("slice(dirs, 1, level)").alias("dirs")).agg(F.sum("value").alias("value"), F.max("severity").alias("severity"), F.sum("n").alias("n"))
+    nodes = materialize(nodes)
+    # Directories below a directory: each counts for all those above it.
+    inner = nodes.select(F.explode(F.expr("transform(sequence(0, size(dirs)), i -> slice(dirs, 1, i))")).alias("dirs")).groupBy("dirs").agg(F.count("*").alias("d"))
+    inside = nodes.join(inner, "dirs").select(
+        F.expr(key("dirs", 0)).alias("key"), F.array_join("dirs", "/").alias("path"), F.coalesce(F.try_element_at("dirs", F.lit(-1)), F.lit("")).alias("name"),
+        F.size("dirs").alias("level"), F.lit(True).alias("is_dir"), F.col("value").cast("long").alias("value"), "severity", (F.col("n") + F.col("d") - 1).alias("below"),
+    )
+    rows = numbered(leaves.unionByName(inside), ["key"], "enter")
+    return rows.select("path", "name", "level", "is_dir", "value", "severity", "enter", (F.col("enter") + F.col("below")).alias("leave"))
+
+
+def ordered_groups(groups: DataFrame) -> DataFrame:
+    """Groups with ``place``: by value, largest first, then by name."""
+    keyed = groups.withColumn("_down", -F.col("value"))
+    return numbered(keyed, ["_down", "group_name"], "place").drop("_down")
+
+
 def node_paths(files: str = "files", path: str = "path") -> Column:
     """Paths behind a node: those of its files, else its own."""
     own = f"filter(array({path}), p -> p <> '')"

@@ -305,6 +305,8 @@ ORACLE["scan_tree_stats"] = _with(PLANT, TREE, """counted AS (SELECT count(*) AS
     UNION ALL SELECT 1, 0, 0, 1, 1 UNION ALL SELECT NULL, total_files, text_files, bad + 1, 2 FROM counted"""
 ORACLE["json_extract"] = """SELECT event_id, '{"attrs":' || json(props)::VARCHAR || ',"type":"' || event_type || '","user":' || user_id || '}' AS content
     FROM events WHERE event_id % 10 <> 0"""
+ORACLE["csv_records_fields"] = _with(PLANT) + f"""SELECT doc_id, 3::INT AS records, 3::INT AS fields, md5(text) AS body, 'a "b", c' AS last,
+    md5('id,body,n' || {NL} || doc_id || ',"' || replace(text, '"', '""') || '",1') AS first FROM planted"""
 ORACLE["csv_extract"] = _with(PLANT) + rf"""SELECT doc_id, md5(t) AS digest, len(string_split(t, {NL}))::INT AS lines
     FROM (SELECT doc_id, regexp_replace(text, '\n+$', '') AS t FROM planted)"""
 MESSAGES = """messages AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE role END AS f,
@@ -428,6 +430,13 @@ TOPN_ROWS = f"""SELECT id, name, path, value, severity, pii, top_pii, category,
         SELECT {_REST} FROM ranked WHERE rn > 200) WHERE k > 0"""
 ORACLE["top_n_others"] = _with(*AUDIT, TOPN) + TOPN_ROWS
 ORACLE["top_n_default"] = _with(*AUDIT, TOPN) + TOPN_ROWS.replace("200", str(TOP_N_FILES))
+ORACLE["top_n_lineitem"] = f"""WITH lines AS (SELECT '/' || l_orderkey || '/' || l_linenumber AS path, trunc(l_extendedprice)::BIGINT AS value, (l_linenumber % 4)::INT AS severity FROM lineitem),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC, path) AS rn FROM lines)
+    SELECT path AS name, path, value, severity FROM ranked WHERE rn <= {TOP_N_FILES}
+    UNION ALL SELECT 'Others (' || count(*) || ')', '', sum(value)::BIGINT, max(severity) FROM ranked WHERE rn > {TOP_N_FILES} HAVING count(*) > 0"""
+ORACLE["ordered_groups"] = _with(*AUDIT) + """SELECT file_type AS group_name, sum(value)::BIGINT AS value,
+    row_number() OVER (ORDER BY sum(value) DESC, file_type) AS place FROM audit GROUP BY file_type"""
+ORACLE["node_paths"] = _with(*BASE) + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN path || '/a' ELSE path END AS paths FROM corpus"
 ORACLE["treemap_groups"] = _with(*AUDIT, TOPN, f"shown AS ({TOPN_ROWS})") + _group("category", "category", "shown")
 
 
@@ -475,6 +484,14 @@ ORACLE["portfolio_score"] = _with(*AUDIT) + """SELECT risk, files, score, CASE W
 ORACLE["dashboard_metrics"] = _with(*AUDIT) + """SELECT count(*) AS files, count(*) FILTER (severity >= 3) AS high_risk,
     (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(pii, ',')) AS t FROM audit WHERE pii <> '')) AS pii_types,
     count(DISTINCT category) AS categories FROM audit"""
+_KEY = "list_transform(CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END, lambda x: {'k': 0, 'n': x})"
+ORACLE["ordered_tree"] = _with(*AUDIT, *DIRS, f"""rows AS (
+    SELECT {_KEY} AS key, path, level::INT AS level, true AS is_dir, value::BIGINT AS value, severity FROM nodes
+    UNION ALL SELECT list_append(list_transform(string_split(relative, '/')[:-2], lambda x: {{'k': 0, 'n': x}}), {{'k': 1, 'n': name}}), relative,
+        len(string_split(relative, '/'))::INT, false, value, severity FROM (SELECT *, ltrim(substr(path, length(p) + 1), '/') AS relative FROM audit, (SELECT prefix AS p FROM prefix))),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY key) AS enter FROM rows)""") + """
+    SELECT n.path, CASE WHEN n.path = '' THEN '' ELSE string_split(n.path, '/')[-1] END AS name, n.level, n.is_dir, n.value, n.severity, n.enter,
+    n.enter + CASE WHEN n.is_dir THEN (SELECT count(*) FROM numbered m WHERE n.path = '' OR starts_with(m.path, n.path || '/')) - (n.path = '')::INT ELSE 0 END AS leave FROM numbered n"""
 MATCH = "(contains(lower(name), '{0}') OR contains(lower(path), '{0}') OR contains(lower(pii), '{0}'))"
 ORACLE["search_files"] = _with(*AUDIT) + f"SELECT path, pii, severity FROM audit WHERE {MATCH.format('src7')}"
 ORACLE["search_groups"] = _with(*AUDIT, *_children("category"), f"totals AS ({_group('category', 'category')})") + f"""
@@ -527,6 +544,12 @@ ORACLE["cleaned_nodes"] = _with(*AUDIT) + f"""SELECT node, cleaned, CASE WHEN cl
     FROM (SELECT *, {_CLEAN.format('quality = 0 OR doc_id % 2 = 0')} AS c FROM audit) GROUP BY 1)"""
 ORACLE["rename_paths"] = _with(*BASE) + f"""SELECT path, {NAME} AS name FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
     THEN path || '.enc' ELSE path END AS path FROM corpus)"""
+ORACLE["rename_chains"] = _with(*BASE) + f"""SELECT path, {NAME} AS name, CASE WHEN cleaned THEN 0 ELSE 2 END AS severity, cleaned FROM (
+    SELECT path || CASE WHEN doc_id % 5 < 2 THEN '.old' WHEN doc_id % 5 = 3 THEN '.enc' ELSE '' END AS path,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS cleaned FROM corpus)"""
+ORACLE["redacted_versions"] = _with(*REDACT) + f"""SELECT 0 AS version, path, md5(content) AS digest FROM corpus
+    UNION ALL SELECT 1, path, md5(content) FROM redacted
+    UNION ALL SELECT 2, path, md5(content) FROM redacted WHERE NOT {_CLEAN.format('toxic = 1')}"""
 ORACLE["selected_files"] = _with(*BASE) + """SELECT path, size, CASE WHEN ends_with(path, '.txt') THEN 2 ELSE 1 END AS selection_ord FROM corpus
     WHERE (contains(path, '/src3/') OR ends_with(path, '.txt')) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 ORACLE["remediation_eligibility"] = _with(*BASE) + f"""SELECT CASE WHEN doc_id % 3 = 0 THEN path || '.enc' ELSE path END AS path,

@@ -21,7 +21,7 @@ from riskloom.plans import audit as A
 from riskloom.plans import corpus as C
 from riskloom.plans.tagger import word_length_model
 from riskloom.session import scratch_dir, spread
-from riskloom.sources import chats, files, sinks, tables
+from riskloom.sources import chats, files, sinks, tables, versions
 from riskloom.streaming import scan as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,6 +334,16 @@ def csv_extract(spark, sf_dir):
     return docs.select("doc_id", F.md5(rows).alias("digest"), F.size(F.split(rows, "\n", -1)).alias("lines"))
 
 
+@query
+def csv_records_fields(spark, sf_dir):
+    """Texts as quoted fields with line breaks, commas and doubled quotes in them, between records without."""
+    body = """concat('id,body,n\n', doc_id, ',"', replace(text, '"', '""'), '",1\n', doc_id, ',"a ""b"", c",2\n', '\n')"""
+    built = C.planted(spark, sf_dir).select("doc_id", F.expr(body).alias("t"))
+    cut = built.select("doc_id", files.csv_records(F.col("t")).alias("r"), files.csv_text(F.col("t"), 1).alias("first"))
+    fields = cut.select("doc_id", F.size("r").alias("records"), F.md5("first").alias("first"), files.csv_fields(F.get("r", F.lit(1))).alias("f"), files.csv_fields(F.get("r", F.lit(2))).alias("g"))
+    return fields.select("doc_id", "records", "first", F.size("f").alias("fields"), F.md5(F.get("f", F.lit(1))).alias("body"), F.get("g", F.lit(1)).alias("last"))
+
+
 @query
 def chat_lines(spark, sf_dir):
     return chats.message_lines(C.messages(spark, sf_dir))
@@ -486,6 +496,35 @@ def top_n_default(spark, sf_dir):
     return flat(G.top_n_with_others(audit_table(spark, sf_dir), TOP_N_FILES)).drop("excerpt")
 
 
+@query
+def top_n_lineitem(spark, sf_dir):
+    """The default cut over order lines as files, many more than it keeps."""
+    lines = C.table(spark, sf_dir, "lineitem").select(
+        F.expr("concat('/', l_orderkey, '/', l_linenumber)").alias("path"), F.expr("bigint(l_extendedprice)").alias("value"), F.expr("int(l_linenumber % 4)").alias("severity")
+    )
+    none = F.expr("cast(array() as array<string>)")
+    rows = lines.withColumns({"id": F.col("path"), "name": F.col("path"), "pii": none, "top_pii": none, "excerpt": F.lit(""), "category": F.lit("c"), "file_type": F.lit("t")})
+    return G.top_n_with_others(rows, TOP_N_FILES).select("name", "path", "value", "severity")
+
+
+@query
+def ordered_tree(spark, sf_dir):
+    return G.ordered_tree(audit_table(spark, sf_dir))
+
+
+@query
+def ordered_groups(spark, sf_dir):
+    return G.ordered_groups(G.group_totals(audit_rows(spark, sf_dir), "type")).select("group_name", "value", "place")
+
+
+@query
+def node_paths(spark, sf_dir):
+    """Paths behind the groups of a tree: those of their files, or their own."""
+    rows = C.inventory(spark, sf_dir).select("doc_id", "path")
+    held = rows.select("path", F.expr("if(doc_id % 3 = 0, array(named_struct('path', concat(path, '/a')), named_struct('path', '')), cast(array() as array<struct<path:string>>))").alias("files"))
+    return held.select("path", F.array_join(G.node_paths(), ",").alias("paths"))
+
+
 @query
 def group_top_k_category(spark, sf_dir):
     return flat(G.group_children(audit_table(spark, sf_dir), "category"))
@@ -634,6 +673,35 @@ def rename_paths(spark, sf_dir):
     return R.rename_paths(base, moves)
 
 
+@query
+def rename_chains(spark, sf_dir):
+    """Files encrypted, some decrypted again, some encrypted once more: cleaned ones stay cleaned under their last name."""
+    inv = C.inventory(spark, sf_dir)
+    cleaned = _labelled(spark, sf_dir, "quality = 1")
+    sealed = F.concat("path", F.lit(".enc"))
+    one, two = inv.filter("doc_id % 5 < 4"), inv.filter("doc_id % 5 < 3")
+    moves = (
+        one.select(F.col("path").alias("old_path"), sealed.alias("new_path"), F.expr("doc_id * 10 + 1").alias("ord"))
+        .unionByName(two.select(sealed.alias("old_path"), F.col("path").alias("new_path"), F.expr("doc_id * 10 + 2").alias("ord")))
+        .unionByName(inv.filter("doc_id % 5 < 2").select(F.col("path").alias("old_path"), F.concat("path", F.lit(".old")).alias("new_path"), F.expr("doc_id * 10 + 3").alias("ord")))
+    )
+    files = R.follow_renames(inv.select("path", P.view_name(F.col("path")).alias("name"), F.lit(2).alias("severity")), moves)
+    return R.apply_cleaned(files, R.follow_renames(cleaned, moves))
+
+
+@query
+def redacted_versions(spark, sf_dir):
+    """A table redacted, then purged: three versions, each as it was."""
+    path = f"{scratch_dir(spark, 'versions')}"
+    done = redacted(spark, sf_dir).select("path", "content", "replacements")
+    versions.create(C.corpus(spark, sf_dir).select("path", "content"), path)
+    versions.commit(done.filter("replacements > 0"), path)
+    toxic = _labelled(spark, sf_dir, "toxic = 1")
+    versions.commit(C.corpus(spark, sf_dir).select("path", "content").limit(0), path, toxic)
+    held = [versions.read(spark, path, k).select(F.lit(k).alias("version"), "path", F.md5("content").alias("digest")) for k in range(versions.latest(spark, path) + 1)]
+    return held[0].unionByName(held[1]).unionByName(held[2])
+
+
 @query
 def selected_files(spark, sf_dir):
     """Files of two overlapping selections: everything of one source, then all of one suffix."""

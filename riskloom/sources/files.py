@@ -66,12 +66,35 @@ def json_text(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def _outside_quotes(text: Column, mark: str) -> Column:
+    """The parts of a text between marks that stand outside double quotes.
+
+    Every other stretch between quote characters is quoted, a doubled quote being an empty stretch; marks inside are
+    masked, the text is cut, and the masks are taken off again. All steps are linear. After a quote that is never closed, all is quoted.
+    """
+    escape, masked = F.lit("\x01e"), F.lit("\x01m")
+    safe = F.replace(text, F.lit("\x01"), escape)
+    stretches = F.transform(F.split(safe, '"', -1), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(mark), masked)).otherwise(s))
+    cut = F.split(F.array_join(stretches, '"'), mark, -1)
+    return F.transform(cut, lambda s: F.replace(F.replace(s, masked, F.lit(mark)), escape, F.lit("\x01")))
+
+
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text, a quoted field keeping its line breaks; blank trailing lines dropped."""
+    return _outside_quotes(F.regexp_replace(text, "\n+$", ""), "\n")
+
+
+def csv_fields(record: Column) -> Column:
+    """The values of a record, quotes taken off and doubled ones halved."""
+    inner = lambda f: F.replace(F.substring(f, 2, 1 << 30).substr(F.lit(1), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(_outside_quotes(record, ","), lambda f: F.when(f.like('"%"') & (F.length(f) > 1), inner(f)).otherwise(f))
+
+
 def csv_text(text: Column, rows: int | None) -> Column:
-    """Header and data lines; blank trailing lines dropped."""
-    trimmed = F.regexp_replace(text, "\n+$", "")
+    """Header and data records, blank trailing lines dropped; with ``rows``, the header and so many records."""
     if rows is None:
-        return trimmed
-    return F.array_join(F.slice(F.split(trimmed, "\n", -1), 1, rows + 1), "\n")
+        return F.regexp_replace(text, "\n+$", "")
+    return F.array_join(F.slice(csv_records(text), 1, rows + 1), "\n")
 
 
 def extract(files: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
