@@ -1,14 +1,16 @@
 """Main text of web pages by differencing neighbours.
 
-A page is parsed into lines (blocks of text) with what the markup says of them: main content, known furniture (menus, forms,
-asides), or nothing. Pages of a host are put in order of URL path; each page is paired with the neighbour whose path shares the
-longer beginning, their lines are aligned by longest common subsequence, and shared lines are deleted. Lines that the markup
-names as the article are kept even if the neighbour repeats them, and a page with an article keeps nothing else: on
-near-copies of one article, differencing alone deletes the article.
+A page is parsed once into lines (blocks of text) with what the markup says of them: main content, known furniture (menus, forms,
+asides; gone at once), or nothing. Equal pages of a host count as one. The different pages of a host are put in order of URL path,
+each is paired with the neighbour whose path shares the longer beginning, and their lines are aligned by longest common
+subsequence. A shared line is deleted if enough pages of the host hold it; what the markup says is a weight: a line of the
+article needs half of the host's pages, and none goes because of a neighbour that is a near copy of the whole page. Only
+64-bit hashes of lines are ordered, paired and counted; texts stay where they were written, and a list of places to drop is joined to them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import text_of, written
+from riskloom.llm.common import small, text_of, written
 
 # Element names by role, and words that name furniture in class, id and role attributes.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "canvas", "object")
@@ -39,6 +41,10 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]
 
 #: What the markup says of a line.
 PLAIN, ARTICLE, DROPPED = 0, 1, 2
+#: Different pages of a host that a shared line stands on at least; fewer if the host has no more.
+LEAST_PAGES = 3
+#: Share of the shorter page's characters from which two pages are near copies of each other.
+NEAR = 0.8
 
 
 def _furniture(name: str, attributes: str, in_main: bool) -> bool:
@@ -48,8 +54,10 @@ def _furniture(name: str, attributes: str, in_main: bool) -> bool:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
-        if key in ("class", "id") and NAMES.search(value) and name not in ("html", "body", *MAIN):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", *MAIN):
+            # Inside an article a header is its title.
+            if any(not in_main or "header" not in x.lower() for x in NAMES.findall(value)):
+                return True
         if key == "role" and value.lower() in ROLES:
             return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -61,8 +69,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     """Lines of a page in order, each with what the markup says of it. Broken markup is read as far as it goes: an end tag closes
     what is open inside its element, and one without a start is passed over."""
     out: list[tuple[str, int]] = []
-    # Open elements: name, whether in an article, whether in furniture.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: name, the main content that holds it (0, 1: an article, 2: the page's main part), whether in furniture.
+    stack: list[tuple[str, int, bool]] = []
+    within: list[int] = []
     held: list[str] = []
 
     def close_line() -> None:
@@ -70,8 +79,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                main, gone = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                main, gone = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                 out.append((text, DROPPED if gone else ARTICLE if main else PLAIN))
+                within.append(0 if gone else main)
 
     at, n = 0, len(page)
     while at < n:
@@ -107,14 +117,15 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             held.append(" ")
         if name in VOID or found[3].endswith("/"):
             continue
-        main, gone = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        main, gone = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if not gone and (name in BLOCKS or name in FURNITURE or found[3]):
-            gone = _furniture(name, found[3], main)
+            gone = _furniture(name, found[3], main > 0)
             if gone:
                 close_line()
-        stack.append((name, main or name in MAIN, gone))
+        stack.append((name, max(main, 2 if name == "main" else name in MAIN), gone))
     close_line()
-    return out
+    # Where a page names its main part, an article beside it is a teaser.
+    return [(t, PLAIN if w == 1 else s) for (t, s), w in zip(out, within, strict=True)] if 2 in within else out
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -147,36 +158,46 @@ def url_parts(url: str) -> tuple[str, str]:
     return (found[1].lower(), found[2]) if found else ("", re.split(r"[?#]", url)[0])
 
 
-LINES = "array<struct<line:string,says:int>>"
+PARSED = "page long, url string, host string, path string, digest long, lines array<string>, says array<int>, hashes array<bigint>"
+
+
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def parsed(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """A row of ``PARSED`` for each page: the lines that the markup does not drop, and a digest of these and of what it says of them."""
+    longs, strings, ints = pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("line", pa.string()), ("says", pa.int32())]))
         for batch in batches:
-            lines = [[{"line": t, "says": s} for t, s in lines_of(h)] for h in batch.column("html").to_pylist()]
+            kept = [[x for x in lines_of(h) if x[1] != DROPPED] for h in batch.column("html").to_pylist()]
             hosts = [url_parts(u or "") for u in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page"), batch.column("url"), pa.array([h for h, _ in hosts], pa.string()), pa.array([p for _, p in hosts], pa.string()), pa.array(lines, kind)],
-                ["page", "url", "host", "path", "lines"],
-            )
+                [
+                    batch.column("page"), batch.column("url"), pa.array([h for h, _ in hosts], pa.string()), pa.array([p for _, p in hosts], pa.string()),
+                    pa.array([line_hash("\n".join(f"{s}{t}" for t, s in x)) for x in kept], pa.int64()), pa.array([[t for t, _ in x] for x in kept], strings),
+                    pa.array([[s for _, s in x] for x in kept], ints), pa.array([[line_hash(t) for t, _ in x] for x in kept], longs),
+                ],
+                ["page", "url", "host", "path", "digest", "lines", "says", "hashes"],
+            )
 
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), text_of(body).alias("html"))
-    return rows.mapInArrow(run, f"page long, url string, host string, path string, lines {LINES}")
+    return rows.mapInArrow(run, PARSED)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """``rows`` in order of host, path, page, with ``before`` and ``after`` (host, path, lines; null at the ends).
+    """``rows`` in order of host, path and digest, with ``before`` and ``after`` (host, path, hashes, sizes; null at the ends).
 
     Range partitions of even size hold the order, whatever the size of a host. The first and last row of a partition are copied into
     the ones beside it (two rows a partition), so results do not depend on where partitions end.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "page", "url"]
+    order = ["host", "path", "digest"]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
     ranged = written(ranged, "pages_by_url")
-    side = F.struct("host", "path", "lines")
+    side = F.struct("host", "path", "hashes", "sizes")
     edges = ranged.groupBy("part").agg(F.min_by(side, "at").alias("first"), F.max_by(side, "at").alias("last"))
     line = Window.orderBy("part")
     edges = edges.select("part", F.lag("last").over(line).alias("last"), F.lead("first").over(line).alias("first"))
@@ -184,7 +205,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("at")
     out = ranged.withColumns({"b": F.lag(side).over(inner), "a": F.lead(side).over(inner)})
     out = out.join(F.broadcast(edges), "part")
-    return out.select("page", "url", "host", "path", "lines", F.coalesce("b", "last").alias("before"), F.coalesce("a", "first").alias("after"))
+    return out.select("host", "path", "digest", "hashes", "sizes", F.coalesce("b", "last").alias("before"), F.coalesce("a", "first").alias("after"))
 
 
 def _closeness(path: str, other: dict | None, host: str) -> int:
@@ -198,29 +219,62 @@ def _closeness(path: str, other: dict | None, host: str) -> int:
     return n
 
 
-def main_text(path: str, host: str, lines: list[dict], before: dict | None, after: dict | None) -> str:
-    if any(x["says"] == ARTICLE for x in lines):
-        return " ".join(x["line"] for x in lines if x["says"] == ARTICLE)
-    near, far = _closeness(path, before, host), _closeness(path, after, host)
-    other = None if max(near, far) < 0 else after if far > near else before
-    left = [x["line"] for x in lines if x["says"] == PLAIN]
-    if other is not None:
-        gone = common_lines(left, [x["line"] for x in other["lines"] if x["says"] != DROPPED])
-        left = [x for k, x in enumerate(left) if k not in gone]
-    return " ".join(left)
+def shared_with_nearest(row: dict) -> tuple[list[int], bool]:
+    """Places of the lines that a page shares with the nearer of its neighbours, and whether the two are near copies."""
+    near, far = (_closeness(row["path"], row[side], row["host"]) for side in ("before", "after"))
+    if max(near, far) < 0:
+        return [], False
+    other = row["after"] if far > near else row["before"]
+    places = sorted(common_lines(row["hashes"], other["hashes"]))
+    common = sum(row["sizes"][k] for k in places)
+    return places, common >= NEAR * min(sum(row["sizes"]), sum(other["sizes"]))
 
 
-def extract(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """``page``, ``url`` and ``text`` for every row of ``pages``.
+SHARED = "host string, digest long, place int, hash long, near boolean"
 
-    A null html is an empty page. A page without an URL or alone on its host is not differenced. Repeated rows are neighbours of each
-    other: without an article, what they share is deleted, as for any other pair.
-    """
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """A row of ``SHARED`` for each line that a page has in common with its nearest different page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(r["path"], r["host"], r["lines"], r["before"], r["after"]) for r in batch.select(["path", "host", "lines", "before", "after"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string())], ["page", "url", "text"])
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                places, near = shared_with_nearest(row)
+                out += [(row["host"], row["digest"], k, row["hashes"][k], near) for k in places]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "digest", "place", "hash", "near"])
+
+    return neighbours(pages).mapInArrow(run, SHARED)
+
+
+def dropped_places(rows: DataFrame) -> DataFrame:
+    """``host``, ``digest`` and ``gone``: places of the lines that differencing deletes from the pages of a digest."""
+    pages = rows.filter(F.size("lines") > 0).groupBy("host", "digest").agg(
+        F.min("path").alias("path"), *[F.any_value(c).alias(c) for c in ("hashes", "says")], F.any_value(F.transform("lines", F.length)).alias("sizes")
+    )
+    pages = written(pages, "different_pages")
+    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    shared = written(shared_lines(pages.select("host", "path", "digest", "hashes", "sizes")), "shared_lines")
+    held = pages.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    said = pages.select("host", "digest", F.posexplode("says").alias("place", "says"))
+    seen = shared.join(held, ["host", "hash"]).join(small(written(totals, "hosts")), "host").join(said, ["host", "digest", "place"])
+    most = F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("total") / 2)
+    some = F.col("n") >= F.least(F.lit(LEAST_PAGES), F.col("total"))
+    gone = F.when(F.col("says") == ARTICLE, ~F.col("near") & most).otherwise(most | (~F.col("near") & some))
+    return seen.filter(gone).groupBy("host", "digest").agg(F.collect_set("place").alias("gone"))
+
+
+def extract(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """``page``, ``url`` and ``text`` for every row of ``pages``.
 
-    out = neighbours(parsed(pages, page, url, body)).mapInArrow(run, "page long, url string, text string")
-    return out.select(F.col("page").alias(page), F.col("url").alias(url), "text")
+    A null html is an empty page. A page alone on its host is not differenced. Repeated rows count as one page of their host and keep the
+    same text. Where the markup names an article, nothing beside it is text. Pages of any length are parsed whole, in time that grows with
+    their lines squared over 64; of two neighbours equally near, the one before counts. Pages without an URL form a host of their own.
+    """
+    rows = written(parsed(pages, page, url, body), "parsed_pages")
+    drops = small(written(dropped_places(rows), "dropped_places"))
+    out = rows.join(drops, ["host", "digest"], "left").withColumn("has", F.array_contains("says", ARTICLE))
+    kept = F.filter("lines", lambda x, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)) & (~F.col("has") | (F.get("says", k) == ARTICLE)))
+    return out.select(F.col("page").alias(page), F.col("url").alias(url), F.array_join(kept, " ").alias("text"))

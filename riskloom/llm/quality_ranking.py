@@ -7,6 +7,7 @@ text is then bad if its score is below a quantile of all texts' scores: the shar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -34,19 +35,19 @@ def features(text: str) -> list[float]:
         return [-1.0] + [0.0] * (len(FEATURES) - 1)
     chars = sum(map(len, words))
     lines = [x for x in text.split("\n") if x.strip()]
-    distinct = len(set(words))
-    shown = min(n, 400)
+    counts = Counter(words)
     return [
         np.log10(n) - 2.0,
         min(chars / n, 20.0) / 10.0,
         min(sum(map(text.count, SYMBOLS)) / n, 3.0),
         sum(map(str.isupper, words)) / n,
         min(sum(map(text.count, "0123456789")) / chars, 1.0),
-        len(set(words[:shown])) / shown,
+        # Chance that two words drawn from the whole text differ: unlike the share of distinct words it does not fall with length.
+        1.0 - sum(c * (c - 1) for c in counts.values()) / max(n * (n - 1), 1),
         len(set(zip(words, words[1:], strict=False))) / n,
         sum(map(eq, words, words[1:])) / n,
         1.0 - len(set(lines)) / len(lines),
-        float(distinct < 3),
+        float(len(counts) < 3),
         min(text.count(". ") / n, 0.3),
         min(text.count(",") / n, 0.3),
     ]

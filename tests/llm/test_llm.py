@@ -231,6 +231,88 @@ def test_page_lines_and_differences(spark):
     assert page_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_extract(rows):
+    """The same rules page by page, with a quadratic table for the subsequence."""
+    kept = {}
+    for k, (_, url, page) in enumerate(rows):
+        host, path = page_diff.url_parts(url or "")
+        kept[k] = (host, path, [x for x in page_diff.lines_of(page or "") if x[1] != page_diff.DROPPED])
+    pages = {}
+    for host, path, lines in kept.values():
+        if lines:
+            key = (host, page_diff.line_hash("\n".join(f"{s}{t}" for t, s in lines)))
+            pages[key] = (min(path, pages[key][0]) if key in pages else path, lines)
+    order = sorted(pages, key=lambda k: (k[0], pages[k][0], k[1]))
+    gone, decided = {}, 0
+    for i, key in enumerate(order):
+        path, lines = pages[key]
+        near, near_path = None, -1
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(order) and order[j][0] == key[0]:
+                n = next((m for m, (x, y) in enumerate(zip(path, pages[order[j]][0], strict=False)) if x != y), min(len(path), len(pages[order[j]][0])))
+                if n > near_path:
+                    near, near_path = order[j], n
+        if near is None:
+            continue
+        a, b = [t for t, _ in lines], [t for t, _ in pages[near][1]]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+        shared = page_diff.common_lines(a, b)
+        assert len(shared) == table[-1][-1]
+        copies = sum(len(a[x]) for x in shared) >= page_diff.NEAR * min(sum(map(len, a)), sum(map(len, b)))
+        mine = [k for k in order if k[0] == key[0]]
+        for x in shared:
+            n = sum(a[x] in [t for t, _ in pages[k][1]] for k in mine)
+            most, some = n >= max(3, len(mine) / 2), n >= min(3, len(mine))
+            if (not copies and most) if lines[x][1] == page_diff.ARTICLE else (most or (not copies and some)):
+                gone.setdefault(key, set()).add(x)
+                decided += 1
+    out = []
+    for host, _, lines in kept.values():
+        key = (host, page_diff.line_hash("\n".join(f"{s}{t}" for t, s in lines)))
+        has = any(s == page_diff.ARTICLE for _, s in lines)
+        out.append(" ".join(t for k, (t, s) in enumerate(lines) if k not in gone.get(key, ()) and (not has or s == page_diff.ARTICLE)))
+    return out, decided
+
+
+def test_pages_without_markup_against_plain_python(spark, sf_dir):
+    """Hosts whose pages name no article: menus and notices go by differencing alone, copies and near copies keep their text."""
+    pick = np.random.default_rng(11)
+
+    def prose(n):
+        return " ".join("".join(pick.choice(list("abcdefgh"), pick.integers(2, 9))) for _ in range(n))
+
+    rows = []
+    for h in range(4):
+        menu, foot, notice = (prose(3) for _ in range(3))
+        for k in range((1, 2, 9, 30)[h]):
+            blocks = [menu, "Home", prose(40), prose(30) if k % 2 else prose(5), notice if k % 3 else prose(2), foot]
+            wrap = "<article>{}</article>" if h == 3 and k % 2 else "{}"
+            inner = "".join(f"<p>{x}</p>" for x in blocks)
+            rows.append((len(rows), f"http://h{h}.org/{'ab'[k % 2]}/{k}", "<body>" + wrap.format(inner)))
+    rows += [(900 + k, rows[5][1], rows[5][2]) for k in range(3)]  # repeated rows
+    rows += [(910, rows[6][1] + "?copy", rows[6][2].replace("</p>", " more</p>", 1))]  # a near copy
+    rows += [(920, None, "<p>alone"), (921, "http://empty.org/", None), (922, "http://h2.org/zz", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want, decided = plain_extract(rows)
+    got = by_doc(page_diff.extract(pages.repartition(4)), "text", doc="page_id")
+    assert [got[r[0]] for r in rows] == want
+    assert decided > 80
+    assert got[900] == got[901] == got[902] == got[5] and len(got[900].split()) > 30
+    assert len(got[910].split()) > 30 and len(got[920]) == 5
+    real = pq.read_table(f"{sf_dir}/pages.parquet").select(["page_id", "url", "html"]).to_pylist()
+    want, _ = plain_extract([tuple(r.values()) for r in real])
+    got = by_doc(QUERIES["op6_page_diff"](spark, sf_dir), "text", doc="page_id")
+    assert [got[r["page_id"]] for r in real] == want
+
+
+def test_titles_and_teasers():
+    page = "<main><div class='article-header'><h1>Title</h1></div><article><p>Body</article></main><article><p>Teaser</article><div class='page-header'>Site</div>"
+    assert page_diff.lines_of(page) == [("Title", page_diff.ARTICLE), ("Body", page_diff.ARTICLE), ("Teaser", page_diff.PLAIN), ("Site", page_diff.DROPPED)]
+
+
 def test_common_lines_are_longest():
     pick = np.random.default_rng(5)
     for _ in range(300):
