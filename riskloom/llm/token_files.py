@@ -13,6 +13,10 @@ Its payload is self-contained:
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,33 +33,106 @@ PERCENTILE = 0.9
 #: Ids after which a segment is closed. A longer document is a segment of its own.
 SEGMENT_IDS = 1 << 19
 MAGIC = 0x50464F52
-#: Pieces of text whose ids a worker remembers; beyond, it forgets all and starts again.
-MEMO = 400_000
+#: Runs and pieces of text whose ids a worker remembers, of each kind; those used last stay.
+MEMO = 1_000_000
 
 _state: dict = {}
 
 
-class _Ids(dict):
-    """Ids (little-endian bytes) of a run of text without blanks. The tokenizer never joins across blanks, so texts can be
-    encoded run by run, each distinct run once."""
+class _Recent:
+    """Two dictionaries: when ``young`` has grown to half the size, it becomes ``old`` and what was used least recently is gone."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def make_room(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+
+#: Characters on which the normalizer and the patterns of every Unicode version agree: no blanks, marks or compositions.
+PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
 
-    def __init__(self, path: str):
-        import os
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, the others from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
+class _Ids:
+    """Ids (little-endian bytes) of texts. Where the tokenizer's own rules say that no token crosses a blank, a text is encoded run
+    by run and a run piece by piece, each distinct one once; otherwise texts are encoded whole."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.pattern = _piece_pattern(rules)
+        self.runs, self.pieces = _Recent(MEMO), _Recent(MEMO)
+        letters = _byte_letters()
+        self.letters = {b: letters[b] for b in range(256) if letters[b] != chr(b)}
 
     def of(self, text: str) -> bytes:
+        if self.pattern is None:
+            return self._encoded([text])[0]
         runs = text.replace("\n", " ").split(" ")
-        if new := [r for r in set(runs) if r not in self]:
-            if len(self) > MEMO:
-                self.clear()
-                new = list(set(runs))
-            for run, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                self[run] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, runs))
+        self.runs.make_room()
+        self.pieces.make_room()
+        known, old, other = self.runs.young, self.runs.old, []
+        for run in [r for r in set(runs) if r not in known]:
+            if run in old:
+                known[run] = old[run]
+            elif PLAIN.fullmatch(run) and not ("<" in run and any(t in run for t in self.added)):
+                known[run] = self._pieces(self.pattern.findall(run.lower()))
+            else:
+                other.append(run)
+        known.update(zip(other, self._encoded(other), strict=True))
+        return b"".join([known[r] for r in runs])
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _pieces(self, pieces: list[str]) -> bytes:
+        known, out = self.pieces.young, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = self.pieces.old.get(piece)
+                if ids is None:
+                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                    tokens = self.model.tokenize(letters)
+                    ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+def _piece_pattern(rules: dict):
+    """The pattern whose matches are a text's pieces, if the tokenizer's rules are of the kind that ``_Ids`` can follow piece by piece:
+    composed, with blanks joined, in lower case, cut by a pattern that keeps its matches only, then taken as bytes. Else ``None``."""
+    kinds = [(x["type"], x.get("pattern"), x.get("content")) for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    fits = (
+        kinds == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and "Regex" in cuts[0]["pattern"]
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and rules["model"]["type"] == "BPE" and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+    )
+    if not fits:
+        return None
+    import regex
+
+    pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+    # A match that could hold a blank would cross runs.
+    return None if any(len(m) > 1 for m in pattern.findall("a b\u00e9 1 . '\u00e9 ") if " " in m) else pattern
 
 
 def _ids(path: str) -> _Ids:
