@@ -270,7 +270,7 @@ ORACLE["scan_error_stats"] = _with(*BASE) + """, seen AS (SELECT count(*) AS tot
     SELECT 0 AS root_ord, total_files, permission_errors, 1::BIGINT AS paths_scanned FROM seen
     UNION ALL SELECT 1, 0, 0, 1 UNION ALL SELECT NULL, total_files, permission_errors, 2 FROM seen"""
 ORACLE["score_custom_rules"] = _with(PLANT, """parts AS (SELECT doc_id, 30 * len(regexp_extract_all(text, '(?i)EMP[0-9]')) AS identity,
-        7 * len(regexp_extract_all(text, '(?i)HDFC0')) AS financial FROM planted)""") + """SELECT form, doc_id, identity + financial AS raw_score,
+        7 * len(regexp_extract_all(text, '(?i)KVBL0')) AS financial FROM planted)""") + """SELECT form, doc_id, identity + financial AS raw_score,
     identity, financial, 0 AS other FROM parts, (VALUES ('row'), ('long')) AS forms(form) WHERE identity + financial > 0"""
 ORACLE["scan_budget"] = _with(*BASE, *_visited(ROOTS)) + "SELECT root_ord, path FROM visited ORDER BY root_ord, path LIMIT 300"
 ORACLE["multi_root_merge"] = _with(*BASE, *_visited(ROOTS)) + "SELECT root_ord, path, size FROM visited"
@@ -646,7 +646,7 @@ ORACLE["audit_files_both"] = _with(
         CASE WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN lower(regexp_extract(path, '([^.]*)$', 1)) ELSE 'unknown' END AS ft FROM merged)""",
 ) + f"""SELECT {_stable('path')} AS id, {NAME} AS name, path, greatest(1, size)::BIGINT AS value, ({VIEW_SEVERITY.format('st')})::INT AS severity,
     array_to_string(allt, ',') AS pii, array_to_string(allt[1:3], ',') AS top_pii, {_view_category('allt', 'ft')} AS category, ft AS file_type FROM shaped"""
-_OWN = [(name, f"len(list_filter(string_split(content, {NL}), lambda l: regexp_matches(l, '(?i){p}') AND NOT {_noise('l')})) > 0") for name, p in (("badge", "EMP[0-9]"), ("routing", "HDFC0"))]
+_OWN = [(name, f"len(list_filter(string_split(content, {NL}), lambda l: regexp_matches(l, '(?i){p}') AND NOT {_noise('l')})) > 0") for name, p in (("badge", "EMP[0-9]"), ("routing", "KVBL0"))]
 ORACLE["audit_custom_rules"] = _with(*BASE) + f"""SELECT path, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _OWN)}) AS own FROM corpus"""
 
 # ---- streaming

@@ -171,7 +171,7 @@ def score_shapes(spark, sf_dir):
     return S.score_types(shaped, "any_types").select("doc_id", "raw_score", "severity")
 
 
-CUSTOM = (*RULES, Rule("Badge", "identity", 30, r"EMP\d"), Rule("Routing", "financial", 7, r"HDFC0"))
+CUSTOM = (*RULES, Rule("Badge", "identity", 30, r"EMP\d"), Rule("Routing", "financial", 7, r"KVBL0"))
 
 
 @query

@@ -14,7 +14,7 @@ from riskloom.session import scratch_dir
 from riskloom.sources import chats, files, sinks, tables
 
 FOLDER = {
-    "notes.txt": "Aadhaar 5543 8892 1012\r\nmail person@example.com\n",
+    "notes.txt": "Aadhaar 7301 2468 9150\r\nmail person@example.com\n",
     "manifest.csv": "id,phone\n" + "\n".join(f"{i},9876543210" for i in range(150)) + "\n",
     "app.config.local": "API_KEY=abc123\n",
     "data.json": '{"b": 1, "a": {"d": "x", "c": [1, 2]}}',
@@ -83,7 +83,7 @@ def test_scan_reads_supported_files(scanned, folder):
         "notes.txt", "manifest.csv", "app.config.local", "data.json", "nested/finance/statement.log", "a/b/c/d/e/deep.txt",
         "WhatsApp Chat with X.txt", "result.json", "bytes.txt",
     }
-    assert got["notes.txt"].content == "Aadhaar 5543 8892 1012\nmail person@example.com\n"
+    assert got["notes.txt"].content == "Aadhaar 7301 2468 9150\nmail person@example.com\n"
     assert got["bytes.txt"].content == "ok  café"
     assert got["data.json"].content == '{"a":{"c":[1,2],"d":"x"},"b":1}'
     assert got["manifest.csv"].content.count("\n") == 150

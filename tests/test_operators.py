@@ -141,7 +141,7 @@ def test_node_paths(spark):
 def test_cutoff_is_the_kth_key(spark, k):
     df = spark.range(1000).selectExpr("id % 97 AS a", "concat('k', id) AS b")
     every = sorted(((r.a, r.b) for r in df.collect()), key=lambda t: (-t[0], t[1]))
-    row = cutoff(df, [F.desc("a"), F.asc("b")], ["a", "b"], k).first()
+    row = cutoff(df, [("a", True), ("b", False)], k).first()
     assert (tuple(row.cut) if row else None) == (every[k - 1] if k <= 1000 else None)
 
 
