@@ -1,19 +1,23 @@
 """Line deduplication that moves hashes, not text.
 
-Long lines become 128-bit keys. Equal lines of one document are packed into one row with their positions, so a line that
-stands in a third of all documents is one small row a document. Rows are range-partitioned by key and document: a hot
-key spreads over as many partitions as it needs. Within a partition they are sorted by key and document, largest first, and
-the first occurrence of a key stays. Results are run-length bitmaps of kept lines for each document.
+Long lines become 128-bit keys. They are range-partitioned by key and sorted by key, document (largest first) and position, so that
+each task streams over whole keys: the first document of a key keeps its lines, those after it lose theirs if enough documents follow.
+Keys that a sample finds in a notable share of all lines are spread over several ranges each; for these few, what a
+stream can't know is counted exactly before. Results are run-length bitmaps of kept lines for each document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, SPACES, UPPER, small, text_of, written
+from riskloom.llm.common import LOWER, SPACES, UPPER, text_of, written
+from riskloom.session import ranges
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
+#: Rows of the sample that looks for hot keys, the part of a range from which a key is one, and the pieces that it is dealt into. They
+#: decide where a line is looked at, never what becomes of it.
+SAMPLED, HOT_PART, PIECES = 200_000, 8, 1024
 
 
 def line_key(line: Column) -> Column:
@@ -30,10 +34,35 @@ def keyed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_
     return rows.select("doc", "text_hash", "n_lines", F.unhex(F.md5("line")).alias("key"), "at")
 
 
-def common_keys(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``key`` and ``first_doc`` (its largest document) of keys in at least ``least_docs`` documents; both sums combine map-side."""
-    per_doc = rows.filter("doc IS NOT NULL").groupBy("key", "doc").agg(F.lit(1).alias("one"))
-    return per_doc.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("first_doc")).filter(F.col("n_docs") >= least_docs)
+def hot_keys(rows: DataFrame, parts: int, sampled: int = SAMPLED) -> DataFrame:
+    """``key``, ``hot_docs`` (documents that hold it) and ``hot_first`` (the largest of them) of keys with a notable share of ``rows``.
+
+    At most ``HOT_PART`` keys a range can have that share of a sample. Their documents are counted over all rows.
+    """
+    total = rows.count()
+    share = min(1.0, sampled / max(total, 1))
+    sample = rows.sample(share, 7) if share < 1 else rows
+    least = total * share / (HOT_PART * parts)
+    keys = written(sample.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > least) & (F.col("n") > 1)).select("key"), "hot_keys")
+    per_doc = rows.join(F.broadcast(keys), "key", "left_semi").groupBy("key", "doc").agg(F.lit(1).alias("one"))
+    return written(per_doc.groupBy("key").agg(F.count("*").alias("hot_docs"), F.max("doc").alias("hot_first")), "hot_docs")
+
+
+def later_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, sampled: int = SAMPLED) -> DataFrame:
+    """The ``doc``, ``text_hash``, ``n_lines`` and ``at`` of ``rows`` (a written table) that repeat a line of a larger document.
+
+    One exchange: the ranges that it makes are also the groups of the windows, so nothing else moves.
+    """
+    parts = ranges(rows)
+    rows = rows.join(F.broadcast(hot_keys(rows, parts, sampled)), "key", "left")
+    piece = F.when(F.col("hot_docs").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "at"), F.lit(PIECES)) + 1)
+    stream = rows.withColumn("piece", piece.cast("int")).repartitionByRange(parts, "key", "piece")
+    whole = Window.partitionBy("key", "piece")
+    stream = stream.withColumn("place", F.dense_rank().over(whole.orderBy(F.desc("doc"))))
+    stream = stream.withColumn("n_docs", F.max("place").over(whole))
+    cold = (F.col("place") > 1) & (F.col("n_docs") >= least_docs)
+    hot = (F.col("doc") != F.col("hot_first")) & (F.col("hot_docs") >= least_docs)
+    return stream.filter(F.when(F.col("hot_docs").isNull(), cold).otherwise(hot)).select("doc", "text_hash", "n_lines", "at")
 
 
 def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -44,16 +73,10 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", least
     A line stays in the largest document that holds it, every time it stands there. Rows without a document id neither count as
     documents nor lose lines. Rows of one id and different texts count as one document and have a row each.
     """
-    rows = keyed_lines(docs, doc, text, least_chars).filter("doc IS NOT NULL")
-    # One row a key and document, in streams sorted by key and then by document, largest first.
-    packed = rows.groupBy("key", "doc", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("at")).alias("at"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = packed.repartitionByRange(parts, F.col("key"), F.col("doc").desc(), F.col("text_hash"))
-    ranged = written(ranged.sortWithinPartitions(F.col("key"), F.col("doc").desc(), F.col("text_hash")), "line_keys")
-    common = small(written(common_keys(ranged, least_docs), "common_lines"))
-    later = ranged.join(common, "key").filter(F.col("doc") != F.col("first_doc"))
-    gone = F.sort_array(F.array_distinct(F.flatten(F.collect_list("at"))))
-    per_doc = later.groupBy("doc", "text_hash").agg(F.max("n_lines").alias("n_lines"), gone.alias("gone"))
+    rows = written(keyed_lines(docs, doc, text, least_chars).filter("doc IS NOT NULL"), "line_keys")
+    # A row of documents that stands there twice names its lines twice.
+    gone = F.sort_array(F.collect_set("at"))
+    per_doc = later_lines(rows, least_docs).groupBy("doc", "text_hash").agg(F.max("n_lines").alias("n_lines"), gone.alias("gone"))
     walls = per_doc.withColumn("walls", F.concat(F.array(F.lit(-1)), "gone", F.array("n_lines")))
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("gone")),

@@ -339,6 +339,33 @@ def test_line_dedup(spark, sf_dir, docs, awkward, empty):
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 8, 4000])
+def test_line_streams_with_and_without_hot_keys(spark, parts):
+    """One line stands in every document, one in every third, some in four to six; the more ranges, the more keys count as hot."""
+    everywhere, often, few = LINE, LINE[::-1], [f"{LINE} {k}" for k in range(40)]
+    rows = [(d, "\n".join([everywhere, f"own words of document {d}", *([often] * 2 if d % 3 == 0 else []), *few[d // 5 : d // 5 + 1 + d % 2]])) for d in range(200)]
+    rows += [(7, "\n".join([often, everywhere, "another text of one id"])), (None, everywhere)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    lines = line_dedup.written(line_dedup.keyed_lines(docs).filter("doc IS NOT NULL"), "line_keys")
+    hot = line_dedup.hot_keys(lines, parts)
+    assert hot.count() == {2: 2, 8: 2}.get(parts, lines.groupBy("key").count().filter("count > 1").count())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(parts, 16)))
+        later = line_dedup.later_lines(lines)
+        plan = later._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        got = {(r.doc, r.text_hash, r["at"]) for r in later.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held: dict[bytes, set[int]] = {}
+    stands = lines.collect()
+    for r in stands:
+        held.setdefault(bytes(r.key), set()).add(r.doc)
+    assert got == {(r.doc, r.text_hash, r["at"]) for r in stands if len(held[bytes(r.key)]) >= 5 and r.doc < max(held[bytes(r.key)])}
+    assert sorted(r.n_dropped for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).filter("doc_id IS NULL").collect()) == [0]
+
+
 # ---- 8 token files
 
 
