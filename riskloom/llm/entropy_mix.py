@@ -84,7 +84,7 @@ def solve(histogram: DataFrame, aims: DataFrame, mean: float, most: int = MOST,
         done = off < 1e-4
         moved = F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         now = written(sums.select("src", "target", moved.alias("lam"), "lo", "hi", off.alias("off")).coalesce(1), "newton")
-        if (now.agg(F.max("off")).first()[0] or 0.0) < 1e-4:
+        if now.filter("off >= 1e-4").isEmpty():
             break
     return now.select("src", "lam")
 
