@@ -120,25 +120,21 @@ def vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), 0).when(F.expr(rule.good), 1)
 
 
-def _with_chances(df: DataFrame, model: Model, rules: tuple[Rule, ...], votes: dict[str, Column]) -> DataFrame:
-    """``df`` with ``_p0``, ``_p1``, ...: the chance of good and of each kind of poor text, given the votes.
+def quality_of(model: Model, rules: tuple[Rule, ...], votes: dict[str, Column]) -> Column:
+    """The chance that a text is good, given the votes: 1 / (1 + the odds of each kind of poor text against good).
 
-    Each step is a projection of its own, so that no expression is written out more than once.
+    Each vote is named once a kind, so that the expression stays short enough to be compiled where a filter takes it over whole.
     """
-    own, classes = df.columns, list(model.shares)
-    logs = []
-    for k, c in enumerate(classes):
-        total = F.lit(math.log(model.shares[c]))
-        for rule in rules:
-            b, v = model.bad_votes[c][rule.name], votes[rule.name]
-            total = total + F.when(v == 1, math.log(1 - b)).when(v == 0, math.log(b)).otherwise(0.0)
-        logs.append(total.alias(f"_l{k}"))
-    df = df.select(*own, *logs)
-    top = F.greatest(*[F.col(f"_l{k}") for k in range(len(classes))])
-    df = df.select(*own, *[f"_l{k}" for k in range(len(classes))], top.alias("_top"))
-    df = df.select(*own, *[F.exp(F.col(f"_l{k}") - F.col("_top")).alias(f"_e{k}") for k in range(len(classes))])
-    df = df.select("*", sum((F.col(f"_e{k}") for k in range(1, len(classes))), F.col("_e0")).alias("_sum"))
-    return df.select(*own, *[(F.col(f"_e{k}") / F.col("_sum")).alias(f"_p{k}") for k in range(len(classes))])
+    odds, good = F.lit(0.0), model.bad_votes[GOOD]
+    for kind, chance in model.bad_votes.items():
+        if kind == GOOD:
+            continue
+        log = F.lit(math.log(model.shares[kind] / model.shares[GOOD]))
+        for rule in (r.name for r in rules):
+            says_good, says_bad = math.log((1 - chance[rule]) / (1 - good[rule])), math.log(chance[rule] / good[rule])
+            log = log + F.when(votes[rule] == 1, says_good).when(votes[rule] == 0, says_bad).otherwise(0.0)
+        odds = odds + F.exp(log)
+    return 1 / (1 + odds)
 
 
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 200, weight: float = 20.0, trust: float = TRUST) -> Model:
@@ -176,9 +172,9 @@ def judge(counted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, lea
     A row is kept if it passes the base rules and its posterior is at least ``least``. Equal texts get equal verdicts.
     """
     voted = counted.withColumns({f"_v{i}": vote(r) for i, r in enumerate(rules)})
-    judged = _with_chances(voted, model, rules, {r.name: F.col(f"_v{i}") for i, r in enumerate(rules)})
-    quality, failed = F.col(f"_p{list(model.shares).index(GOOD)}").alias("quality"), F.expr(BASE_FAILED).alias("base_failed")
-    return judged.select(*counted.columns, quality, failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    quality = quality_of(model, rules, {r.name: F.col(f"_v{i}") for i, r in enumerate(rules)})
+    judged = voted.select(*counted.columns, quality.alias("quality"), F.expr(BASE_FAILED).alias("base_failed"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
