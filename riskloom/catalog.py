@@ -92,15 +92,13 @@ MEDIUM_RISK_LOCATIONS = ("downloads", "desktop", "onedrive")
 
 # Default bounds of a scan and of a text extract.
 MAX_DEPTH = 5
-MAX_FILES = 5000
 MAX_FILE_SIZE_MB = 25
 EXTRACT_CHARS = 5000
 CSV_ROWS = 100
-TABLE_ROWS, TABLE_CHARS = 50, 1000
+TABLE_ROWS = 50
 CHAT_MESSAGES = 500
 CHAT_RAW_CHARS = 50000
 CHAT_SAMPLE = 10
-BROWSER_TABLES = ("autofill", "cookies", "credit_cards", "web_app_icons")
 
 # Chat header line, bracket form or dash form.
 CHAT_HEADER = (

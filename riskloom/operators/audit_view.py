@@ -50,9 +50,27 @@ def view_severity(types: str, override: str = "cast(NULL AS double)") -> Column:
         WHEN size({types}) >= 1 THEN 1 ELSE 0 END""")
 
 
-def normalize_files(files: DataFrame, declared: str | None = None) -> DataFrame:
+def view_metadata(files: DataFrame) -> Column:
+    """``map<string,string>`` of ``modified``, ``size`` and ``source`` where given; entries of a ``metadata`` map come before them.
+
+    Missing values have no entry, except those of ``metadata``, which hide the file's own.
+    """
+    has = dict(files.dtypes)
+    none = "cast(map() AS map<string,string>)"
+    own = [f"struct('{c}' AS key, string(`{c}`) AS value)" for c in ("modified", "size", "source") if c in has]
+    fixed = f"map_from_entries(filter(array({', '.join(own)}), e -> e.value IS NOT NULL))" if own else none
+    if "metadata" not in has:
+        return F.expr(fixed)
+    given = f"coalesce(cast(`metadata` AS map<string,string>), {none})"
+    return F.expr(f"map_concat(map_filter({fixed}, (k, v) -> NOT map_contains_key({given}, k)), {given})")
+
+
+def normalize_files(files: DataFrame, declared: str | None = None, metadata: bool = False) -> DataFrame:
     """One audit row per scanned file; ``pii`` holds every type, ``top_pii`` the first few for display.
 
+    A file without a path is named by its ``id``, or else by a position of its own, so that no two share a name; rows of equal content
+    stay apart. ``metadata`` adds what ``view_metadata`` merges.
+
     ``declared`` is a SQL expression for the types reported with the file. Optional columns are used
     when present: value sources in order of preference, ``severity``, ``category``, ``excerpt``,
     ``id``, ``file_type``, ``content``.
@@ -65,12 +83,15 @@ def normalize_files(files: DataFrame, declared: str | None = None) -> DataFrame:
     sources = [s for s in ("value", "privacy_debt", "token_count", "tokens", "size") if s in has]
     value = f"coalesce({', '.join([f'nullif(double({s}), 0)' for s in sources] + ['1D'])})"
     content, excerpt = column("content", "string"), column("excerpt", "string")
-    # A file without content is judged by its excerpt; one without a path is named by what it holds.
+    # A file without content is judged by its excerpt.
     start = files.withColumn("_content", F.expr(f"coalesce({content}, '')")).withColumn(
         "_judged", F.expr(f"coalesce(nullif({content}, ''), {excerpt}, '')")
     )
-    unknown = F.concat(F.lit("unknown-"), F.left(F.md5("_judged"), F.lit(8)))
-    start = start.withColumn("path", F.coalesce(F.nullif(F.col("path"), F.lit("")), unknown))
+    if metadata:
+        start = start.withColumn("_metadata", view_metadata(files))
+    own = F.expr(f"nullif({column('id', 'string')}, '')") if "id" in has else F.lit(None)
+    unknown = F.concat(F.lit("unknown-"), F.coalesce(own, F.monotonically_increasing_id().cast("string")))
+    start = start.withColumn("path", F.when(F.coalesce(F.col("path"), F.lit("")) == "", unknown).otherwise(F.col("path")))
     present = start.withColumn("_present", presence("_judged"))
     typed = present.withColumn("_declared", F.expr(normalize_types(declared or "NULL")))
     merged = typed.withColumn("pii", F.expr("array_union(_declared, _present)"))
@@ -90,4 +111,5 @@ def normalize_files(files: DataFrame, declared: str | None = None) -> DataFrame:
         F.expr(f"coalesce(nullif({excerpt}, ''), left(_content, {VIEW_EXCERPT}))").alias("excerpt"),
         F.coalesce(F.expr(given), view_category("pii", "_kind")).alias("category"),
         F.col("_kind").alias("file_type"),
+        *([F.col("_metadata").alias("metadata")] if metadata else []),
     )

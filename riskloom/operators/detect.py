@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.catalog import (
-    CATEGORY_BY_TYPE,
-    DEFAULT_CATEGORY,
     EXCERPT_RADIUS,
     MAX_DOTS,
     MAX_PUNCTUATION,
@@ -204,12 +202,6 @@ def summarize(df: DataFrame, *keys: str, column: str = "detections", backend: st
     )
 
 
-def category_of(pii_type: Column) -> Column:
-    """Type to category by a literal map; unknown types fall to the default."""
-    pairs = [F.lit(x) for item in CATEGORY_BY_TYPE.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), pii_type), F.lit(DEFAULT_CATEGORY))
-
-
 def _ascii_view(name: str, pattern: str, bordered: bool = True) -> str:
     """The audit view's patterns use ASCII word borders; spell them out for the JVM engine.
 

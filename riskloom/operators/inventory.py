@@ -80,14 +80,17 @@ def dispatch(files: DataFrame, max_file_size_mb: float | None = None) -> DataFra
 def with_metadata(files: DataFrame, as_of: Column) -> DataFrame:
     """Add the file type and the metadata columns of every file."""
     path, modified = F.col("path"), F.col("modified")
+    utc = F.to_utc_timestamp(modified, F.current_timezone())
+    # Microseconds are shown only where there are any.
+    fraction = F.when(F.unix_micros(modified) % 1_000_000 != 0, F.date_format(utc, ".SSSSSS")).otherwise("")
     return files.select(
         "*",
         P.file_type(path).alias("file_type"),
         P.basename(path).alias("filename"),
         P.extension(path).alias("extension"),
         P.dirname(path).alias("directory"),
-        F.unix_seconds(modified).alias("modified_unix"),
-        F.date_format(F.to_utc_timestamp(modified, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_iso"),
+        (F.unix_micros(modified) / 1_000_000).alias("modified_unix"),
+        F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")).alias("modified_iso"),
         P.age_days(modified, as_of).alias("age_days"),
         P.location_risk(path).alias("location_risk"),
     )

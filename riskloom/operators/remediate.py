@@ -61,22 +61,31 @@ def encrypt(df: DataFrame, key: Column, content: str = "content") -> DataFrame:
     )
 
 
-def decrypt(df: DataFrame, key: Column, content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Opened rows and rejected rows (``reason``); a wrong key rejects instead of failing the job."""
-    opened = F.try_aes_decrypt(F.try_to_binary(content, F.lit("base64")), key, F.lit("GCM")).cast("string")
-    tried = df.withColumn("_open", F.when(F.endswith("path", F.lit(ENCRYPTED_SUFFIX)), opened))
-    good = (
-        tried.filter("_open IS NOT NULL")
-        .withColumn("encrypted_file", F.col("path"))
-        .withColumn(content, F.col("_open"))
-        .withColumn("path", F.regexp_replace("path", r"\.enc$", ""))
-        .drop("_open")
-    )
-    reason = F.when(F.endswith("path", F.lit(ENCRYPTED_SUFFIX)), "invalid key or corrupted content").otherwise(
-        "not an encrypted file"
+def opened(df: DataFrame, key: Column, content: str = "content") -> DataFrame:
+    """Every row with ``reason``: NULL where it was opened, else why not. A wrong key rejects instead of failing the job.
+
+    Opened rows have their text, their path without the suffix and ``encrypted_file``, the path before; the rest is unchanged.
+    Each content is decrypted once.
+    """
+    suffixed = F.endswith("path", F.lit(ENCRYPTED_SUFFIX))
+    plain = F.try_aes_decrypt(F.try_to_binary(content, F.lit("base64")), key, F.lit("GCM")).cast("string")
+    # Generating from the value keeps the optimizer from copying it into each of its uses.
+    tried = df.select("*", F.explode_outer(F.array(F.when(suffixed, plain))).alias("_open"))
+    done = F.col("_open").isNotNull()
+    rest = [c for c in df.columns if c not in (content, "path", "encrypted_file", "reason")]
+    return tried.select(
+        *rest,
+        F.when(done, F.left("path", F.char_length("path") - len(ENCRYPTED_SUFFIX))).otherwise(F.col("path")).alias("path"),
+        F.coalesce("_open", F.col(content)).alias(content),
+        F.when(done, F.col("path")).alias("encrypted_file"),
+        F.when(~F.coalesce(suffixed, F.lit(False)), "not an encrypted file").when(~done, "invalid key or corrupted content").alias("reason"),
     )
-    bad = tried.filter("_open IS NULL").select("path", reason.alias("reason"))
-    return good, bad
+
+
+def decrypt(df: DataFrame, key: Column, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Opened rows and rejected rows (``reason``). Where both are used, split a written ``opened`` instead to decrypt only once."""
+    tried = opened(df, key, content)
+    return tried.filter("reason IS NULL").drop("reason"), tried.filter("reason IS NOT NULL").select("path", "reason")
 
 
 def purge(files: DataFrame, removed: DataFrame) -> DataFrame:

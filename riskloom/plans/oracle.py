@@ -22,7 +22,7 @@ from riskloom.catalog import (
     WEIGHT_BY_TYPE,
     CATEGORY_BY_TYPE,
 )
-from riskloom.plans.corpus import NAMES, PLANTED, ROOT, ROOTS, SUFFIXES, TOPS
+from riskloom.plans.corpus import MARKED, NAMES, PLANTED, ROOT, ROOTS, SUFFIXES, TOPS
 
 ORACLE: dict[str, str] = {}
 
@@ -279,12 +279,17 @@ RUNNING = ", ".join(
     f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) OVER (ORDER BY root_ord, path ROWS UNBOUNDED PRECEDING)::BIGINT AS {n}" for n, c in FLAGS.items()
 )
 ORACLE["running_stats"] = _with(*BASE, *_visited(ROOTS, SMALL)) + f"SELECT root_ord, path, {RUNNING} FROM visited"
+SPLIT = "SELECT * REPLACE (modified + to_microseconds(doc_id % 7 * 250001) AS modified) FROM corpus"
 ORACLE["file_metadata"] = _with(*BASE) + f"""SELECT path, {NAME} AS filename, {EXT} AS extension,
-    regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, epoch(modified)::BIGINT AS modified_unix,
-    strftime(modified, '%Y-%m-%dT%H:%M:%S+00:00') AS modified_iso,
+    regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, epoch_us(modified) / 1000000 AS modified_unix,
+    strftime(modified, '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id % 7 = 0 THEN '' ELSE strftime(modified, '.%f') END || '+00:00' AS modified_iso,
     greatest(0, floor((epoch(TIMESTAMP '2024-06-01') - epoch(modified)) / 86400))::INT AS age_days,
     CASE WHEN {_any('lower(path)', HIGH_RISK_LOCATIONS)} THEN 'high' WHEN {_any('lower(path)', MEDIUM_RISK_LOCATIONS)} THEN 'medium'
-        ELSE 'low' END AS location_risk FROM corpus"""
+        ELSE 'low' END AS location_risk FROM ({SPLIT})"""
+ORACLE["planted_names"] = f"""WITH corpus AS (SELECT doc_id, '{ROOT}/' || source || '/d' || doc_id || '/' || {_list(MARKED)}[doc_id % {len(MARKED)} + 1] AS path FROM documents),
+    told AS (SELECT path, CASE WHEN {EXT} IN ({', '.join(_text(e) for e in SKIPPED_EXTENSIONS)}) THEN 'skipped' WHEN ({KIND}) IS NULL THEN 'unsupported' ELSE 'read' END AS outcome FROM corpus)
+    SELECT path, outcome, CASE WHEN outcome = 'read' THEN {KIND} END AS kind, {FILE_TYPE} AS file_type, {CHAT} AS chat_name,
+        {_any(f'lower({NAME})', CONFIG_NAME_MARKERS)} AS config_name, ends_with(path, '.enc') AS can_decrypt FROM told"""
 
 # ---- extraction
 
@@ -292,6 +297,10 @@ ORACLE["extract_text"] = _with(*BASE, *_visited([ROOT])) + rf"""SELECT path, kin
     SELECT path, kind, CASE WHEN kind = 'json' THEN CASE WHEN json_valid(content) THEN json(content)::VARCHAR END
         WHEN kind = 'csv' THEN regexp_replace(content, '\n+$', '') ELSE content END AS c
     FROM visited WHERE kind IS NOT NULL AND kind <> 'db') WHERE len(c) > 0"""
+ORACLE["extract_bounded"] = _with(*BASE, *_visited([ROOT])) + rf"""SELECT path, kind, md5(left(c, 300)) AS digest FROM (
+    SELECT path, kind, CASE WHEN kind = 'json' THEN CASE WHEN json_valid(content) THEN json(content)::VARCHAR END
+        WHEN kind = 'csv' THEN array_to_string(string_split(regexp_replace(content, '\n+$', ''), {NL})[1:2], {NL}) ELSE content END AS c
+    FROM visited WHERE kind IS NOT NULL AND kind <> 'db') WHERE len(c) > 0"""
 ORACLE["scan_tree"] = _with(*RAW) + """SELECT source, lang, pii_type, count(*) AS hits
     FROM hits JOIN documents USING (doc_id) GROUP BY source, lang, pii_type"""
 TREE = f"""tree AS (SELECT doc_id, text, doc_id % 6 AS k, '/' || source || '/' || lang || '/d' || doc_id || '/' || {_list(NAMES)}[doc_id % 6 + 1] AS path
@@ -347,6 +356,17 @@ ORACLE["telegram_messages"] = _with(MESSAGES.replace("ELSE text END AS text", "E
         SELECT conv_id, turn // 500 AS part, count(*) AS n, count(DISTINCT sender) AS p, {SENDERS.format('sender')} AS who,
             string_agg(line, {NL} ORDER BY turn) AS t FROM lines GROUP BY conv_id, turn // 500) w
         ON c.conv_id = w.conv_id AND c.part = w.part"""
+ORACLE["chat_parse_errors"] = f"""SELECT path, chat_platform, CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 0 ELSE chat_message_count END AS chat_message_count,
+    CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 0 ELSE chat_participant_count END AS chat_participant_count,
+    CASE k WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no list of messages' END AS chat_parse_error
+    FROM (SELECT *, regexp_extract(path, 'chat ([0-9]+)-', 1)::BIGINT % 4 AS k FROM ({ORACLE['telegram_messages']}))"""
+ORACLE["table_blocks"] = """WITH given AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END AS customer, * FROM orders),
+    lined AS (SELECT customer, '(' || concat_ws(', ', coalesce(customer::VARCHAR, 'NULL'), o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority) || ')' AS line FROM given),
+    sized AS (SELECT *, strlen(line) + 2 AS w FROM lined),
+    placed AS (SELECT *, row_number() OVER o AS n, sum(w) OVER (o ROWS UNBOUNDED PRECEDING) AS stop FROM sized WINDOW o AS (ORDER BY customer NULLS FIRST, line))
+    SELECT 'orders' AS table_name, min(n) AS first_row, count(*) AS row_count, sum(w)::BIGINT AS size,
+        md5(chr(10) || '--- orders ---' || chr(10) || '[' || string_agg(line, ', ' ORDER BY n) || ']') AS digest
+    FROM placed GROUP BY (stop - w) // 2048, (stop - 1) // 2048, (n - 1) // 50"""
 _DUMP = """SELECT '{0}' AS table_name, {1} // 50 AS block, count(*) AS row_count, md5(chr(10) || '--- {0} ---' || chr(10) || '['
     || string_agg('(' || concat_ws(', ', {2}) || ')', ', ' ORDER BY {1}) || ']') AS digest FROM {0} GROUP BY {1} // 50"""
 ORACLE["table_text_dump"] = " UNION ALL ".join(
@@ -407,6 +427,18 @@ ORACLE["audit_files_declared"] = _with(
     (CASE WHEN doc_id % 13 = 0 THEN greatest(0, least(3, floor((doc_id % 9) / 2.0 - 0.5 + 0.5))) ELSE {VIEW_SEVERITY.format('st')} END)::INT AS severity,
     array_to_string(pii, ',') AS pii, array_to_string(pii[1:3], ',') AS top_pii,
     CASE WHEN doc_id % 17 = 0 THEN 'legal' ELSE {_view_category('pii', 'ft')} END AS category, ft AS file_type FROM shaped"""
+ORACLE["audit_given"] = _with(
+    PLANT,
+    CORPUS.replace("text AS content", "text AS content, source, lang"),
+    f"""given AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown-row-' || doc_id ELSE path END AS path, size, source, lang,
+        CASE WHEN doc_id % 3 = 0 THEN right(content, 40) ELSE content END AS judged, doc_id % 3 = 0 AS cut FROM corpus)""",
+    f"present AS (SELECT *, {_presence('judged')} AS ps FROM given)",
+) + f"""SELECT CASE WHEN doc_id % 5 = 0 THEN 'row-' || doc_id ELSE {_stable('path')} END AS id, {NAME} AS name, path, ({VIEW_SEVERITY.format('ps')})::INT AS severity,
+    array_to_string(ps, ',') AS pii, CASE WHEN cut THEN judged ELSE left(judged, 220) END AS excerpt,
+    CASE WHEN doc_id % 4 = 0 THEN 'lang=' || lang || ';' ELSE '' END || 'modified=' || strftime(DATE '2024-06-01' - (doc_id % 800)::INT, '%Y-%m-%d') || ';size=' || size
+        || ';source=' || CASE WHEN doc_id % 4 = 0 THEN upper(source) ELSE source END AS metadata FROM present"""
+ORACLE["node_paths"] = _with(*BASE) + """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 6 = 0 THEN '' ELSE path END
+    WHEN 1 THEN path ELSE path || ',' || path || '.enc' END AS paths FROM corpus"""
 ORACLE["view_types"] = "SELECT doc_id, lower(lang) || ',' || lower(source) AS types FROM documents"
 
 

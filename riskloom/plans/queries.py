@@ -257,12 +257,22 @@ def running_stats(spark, sf_dir):
 
 @query
 def file_metadata(spark, sf_dir):
-    meta = I.with_metadata(C.inventory(spark, sf_dir), C.as_of())
+    """Some files were modified at a fraction of a second."""
+    split = F.expr("timestamp_micros(unix_micros(modified) + doc_id % 7 * 250001)")
+    meta = I.with_metadata(C.inventory(spark, sf_dir).withColumn("modified", split), C.as_of())
     return meta.select(
         "path", "filename", "extension", "directory", "modified_unix", "modified_iso", "age_days", "location_risk"
     )
 
 
+@query
+def planted_names(spark, sf_dir):
+    """Names with the markers of chats, configurations, databases and sealed files."""
+    seen = I.dispatch(C.named_files(spark, sf_dir)).withColumn("file_type", P.file_type(F.col("path")))
+    named = R.eligibility(seen).withColumns({"chat_name": P.is_chat_name(F.col("path")), "config_name": P.is_config_name(F.col("path"))})
+    return named.select("path", "outcome", "kind", "file_type", "chat_name", "config_name", "can_decrypt")
+
+
 # ---- extraction --------------------------------------------------------------------------------
 
 
@@ -273,6 +283,14 @@ def extract_text(spark, sf_dir):
     return out.select("path", "kind", F.char_length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
+@query
+def extract_bounded(spark, sf_dir):
+    """The same as an interactive scan shows it: the first records of tables and the first characters of texts."""
+    seen = I.dispatch(I.visit(C.corpus(spark, sf_dir), [C.ROOT], MAX_DEPTH), MAX_FILE_SIZE_MB)
+    out = files.extract(seen, files.Bounds(chars=300, csv_rows=1))
+    return out.select("path", "kind", F.md5("content").alias("digest"))
+
+
 @query
 def scan_tree(spark, sf_dir):
     """Documents written as text files, one folder per source and language, then scanned from there."""
@@ -391,15 +409,28 @@ def whatsapp_messages(spark, sf_dir):
     return _chat_result(chats.parse_chat_files(exports.drop("m")))
 
 
-@query
-def telegram_messages(spark, sf_dir):
+def _json_exports(spark, sf_dir) -> DataFrame:
     """JSON exports built from messages; every other turn's text is a list of parts."""
     text = """concat('{"id": ', turn, ', "date": "', date, '", "from": "', `from`, '", "from_id": "', from_id, '", "text": ',
         if(turn % 2 = 0, concat(substr(to_json(array(text)), 1, length(to_json(array(text))) - 1),
             ', {"type": "bold", "text": "!"}]'), substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)), '}')"""
     exports = _chat_files(C.messages(spark, sf_dir), text, ".json")
     content = "concat(if(conv_id % 3 = 0, '', '{\"messages\": '), '[', array_join(m.t, ', '), ']', if(conv_id % 3 = 0, '', '}'))"
-    return _chat_result(chats.parse_chat_files(exports.withColumn("content", F.expr(content)).drop("m")))
+    return exports.withColumn("content", F.expr(content))
+
+
+@query
+def telegram_messages(spark, sf_dir):
+    return _chat_result(chats.parse_chat_files(_json_exports(spark, sf_dir).drop("m")))
+
+
+@query
+def chat_parse_errors(spark, sf_dir):
+    """Exports of which a quarter was cut off, a quarter has a number for its messages and a quarter is a text."""
+    broken = """CASE conv_id % 4 WHEN 0 THEN left(content, length(content) - 1) WHEN 1 THEN concat('{"messages": ', size(m), '}')
+        WHEN 2 THEN concat('"', size(m), '"') ELSE content END"""
+    given = _json_exports(spark, sf_dir).withColumn("content", F.expr(broken))
+    return chats.parse_chat_files(given.drop("m")).select("path", *chats.CHAT_COLUMNS[:3], "chat_parse_error")
 
 
 @query
@@ -411,6 +442,16 @@ def table_text_dump(spark, sf_dir):
     return dumps.select("table_name", "block", "row_count", F.md5("content").alias("digest"))
 
 
+@query
+def table_blocks(spark, sf_dir):
+    """Orders by customer, a tenth of them without one, in blocks of at most 50 rows and 2,048 bytes."""
+    orders = C.table(spark, sf_dir, "orders").selectExpr(
+        "if(o_orderkey % 10 = 0, NULL, o_custkey) AS customer", "o_orderkey", "o_orderstatus", "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "o_orderpriority"
+    )
+    blocks = tables.table_blocks(orders, "orders", ["customer"], rows=50, size=2048)
+    return blocks.select("table_name", "first_row", "row_count", "size", F.md5("content").alias("digest"))
+
+
 # ---- audit view and rollups --------------------------------------------------------------------
 
 
@@ -449,6 +490,27 @@ def audit_files_declared(spark, sf_dir):
     return flat(V.normalize_files(given, "declared")).drop("excerpt")
 
 
+@query
+def audit_given(spark, sf_dir):
+    """Files of which some have no path but an id, some no content but an excerpt, and some metadata of their own."""
+    given = C.corpus(spark, sf_dir).selectExpr(
+        "if(doc_id % 5 = 0, '', path) AS path", "if(doc_id % 5 = 0, concat('row-', doc_id), NULL) AS id", "size", "source",
+        "if(doc_id % 3 = 0, NULL, content) AS content", "if(doc_id % 3 = 0, right(content, 40), NULL) AS excerpt",
+        "date_sub(date '2024-06-01', int(doc_id % 800)) AS modified", "if(doc_id % 4 = 0, map('lang', lang, 'source', upper(source)), NULL) AS metadata",
+    )
+    shown = "array_join(array_sort(transform(map_entries(metadata), e -> concat(e.key, '=', e.value))), ';')"
+    rows = V.normalize_files(given, metadata=True)
+    return rows.select("id", "name", "path", "severity", joined("pii").alias("pii"), "excerpt", F.expr(shown).alias("metadata"))
+
+
+@query
+def node_paths(spark, sf_dir):
+    """Nodes with files, with files of blank paths, and without any."""
+    listed = "CASE doc_id % 3 WHEN 0 THEN array() WHEN 1 THEN array(struct(path)) ELSE array(struct('' AS path), struct(path), struct(concat(path, '.enc'))) END"
+    nodes = C.inventory(spark, sf_dir).select("doc_id", F.expr("if(doc_id % 6 = 0, '', path)").alias("path"), F.expr(listed).alias("files"))
+    return nodes.select("doc_id", F.array_join(G.node_paths(), ",").alias("paths"))
+
+
 @query
 def view_types(spark, sf_dir):
     """Type names given as structs under four possible fields, normalised."""
@@ -628,10 +690,8 @@ def encrypt_roundtrip(spark, sf_dir):
     plain = C.corpus(spark, sf_dir).select("doc_id", "path", "content")
     sealed = R.encrypt(plain, F.when(F.expr("doc_id % 4 = 0"), two).otherwise(one))
     mixed = sealed.withColumn("path", F.expr("if(doc_id % 10 = 1, original, path)"))
-    good, bad = R.decrypt(mixed, one)
-    return good.select("path", F.lit("opened").alias("status"), F.md5("content").alias("digest")).unionByName(
-        bad.select("path", F.col("reason").alias("status"), F.lit(None).cast("string").alias("digest"))
-    )
+    done = R.opened(mixed, one)
+    return done.select("path", F.coalesce("reason", F.lit("opened")).alias("status"), F.expr("if(reason IS NULL, md5(content), NULL)").alias("digest"))
 
 
 def _labelled(spark, sf_dir, condition: str) -> DataFrame:

@@ -97,20 +97,29 @@ def _text_messages() -> str:
         'sender', {group(1)}, 'line', concat({group(1)}, ': ', {group(2)}, {tail})))"""
 
 
+def _json_fault(parsed: str) -> str:
+    """SQL: why a JSON export holds no list of messages; NULL where it does. A missing list and one that is a text are empty."""
+    listed = f"""coalesce(schema_of_variant(if(schema_of_variant({parsed}) LIKE 'OBJECT%',
+        try_variant_get({parsed}, '$.messages', 'variant'), {parsed})), 'ARRAY')"""
+    return f"""CASE WHEN content IS NULL OR {parsed} IS NULL THEN 'not JSON'
+        WHEN {listed} LIKE 'ARRAY%' OR {listed} = 'STRING' THEN NULL ELSE 'no list of messages' END"""
+
+
 def with_messages(
     files: DataFrame, is_chat: Column, messages: int | None = None, raw_chars: int | None = None
 ) -> DataFrame:
     """Add ``_m``, the messages of each chat file (NULL for other files), in one pass over the files.
 
     JSON and plain-text exports are told apart by extension. Everything happens inside the file's
-    row, so chats need neither a scan of their own nor a shuffle. Also adds ``_chat`` (the platform)
-    and ``_raw`` (what stands for the content of a chat without any message).
+    row, so chats need neither a scan of their own nor a shuffle. Also adds ``_chat`` (the platform),
+    ``_raw`` (what stands for the content of a chat without any message) and ``_fault`` (why a JSON export has none).
     """
     platform = F.when(is_chat & (extension(F.col("path")) == ".json"), "telegram").when(is_chat, "whatsapp")
     raw = "content" if raw_chars is None else f"left(content, {raw_chars})"
     header = quoted("(?U)" + CHAT_HEADER)
     steps = (
         ("_v", "if(_chat = 'telegram', try_parse_json(content), NULL)"),
+        ("_fault", f"if(_chat = 'telegram', {_json_fault('_v')}, NULL)"),
         ("_raw", f"CASE _chat WHEN 'whatsapp' THEN {raw} WHEN 'telegram' THEN '' END"),
         ("_l", f"if(_chat = 'whatsapp', transform(split(_raw, {quoted(LINE_BREAK)}, -1), l -> {stripped('l')}), NULL)"),
         ("_h", f"filter(transform(_l, (l, i) -> if(l RLIKE {header}, i, -1)), i -> i >= 0)"),
@@ -122,17 +131,22 @@ def with_messages(
     return df.drop("_v", "_l", "_h")
 
 
-CHAT_COLUMNS = ("chat_platform", "chat_message_count", "chat_participant_count", "chat_participants_sample")
+CHAT_COLUMNS = ("chat_platform", "chat_message_count", "chat_participant_count", "chat_participants_sample", "chat_parse_error")
 
 
 def chat_columns() -> list[Column]:
-    """Metadata columns from the result of ``with_messages``; NULL for other files."""
+    """Metadata columns from the result of ``with_messages``; NULL for other files.
+
+    An export that does not parse has its platform and ``chat_parse_error``, and no counts.
+    """
+    counted = "_chat IS NOT NULL AND _fault IS NULL"
     senders = "array_sort(array_distinct(_m.sender))"
     return [
         F.col("_chat").alias("chat_platform"),
-        F.expr("if(_chat IS NULL, NULL, size(_m))").alias("chat_message_count"),
-        F.expr(f"if(_chat IS NULL, NULL, size({senders}))").alias("chat_participant_count"),
-        F.expr(f"slice({senders}, 1, {CHAT_SAMPLE})").alias("chat_participants_sample"),
+        F.expr(f"if({counted}, size(_m), NULL)").alias("chat_message_count"),
+        F.expr(f"if({counted}, size({senders}), NULL)").alias("chat_participant_count"),
+        F.expr(f"if({counted}, slice({senders}, 1, {CHAT_SAMPLE}), NULL)").alias("chat_participants_sample"),
+        F.col("_fault").alias("chat_parse_error"),
     ]
 
 
