@@ -22,6 +22,12 @@ def stream_table(spark: SparkSession, path: str, schema: str, glob: str = "*.par
     return reader.parquet(path)
 
 
+def stream_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table as a stream, be its path one file or a folder of files."""
+    # A stream's plain path must be a folder; a pattern that only this path fits may name either.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stream_tree(spark: SparkSession, root: str, per_trigger: int | None = None) -> DataFrame:
     """Files below a root as a stream of ``path, size, modified, content``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
