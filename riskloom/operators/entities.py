@@ -122,13 +122,16 @@ def decode(df: DataFrame, *keys: str) -> DataFrame:
 
 #: Chunks that a model sees at once.
 MODEL_CHUNKS = 64
-SPANS = "array<struct<chunk:int,start:int,stop:int,pii_type:string,confidence:double>>"
+#: Chunks whose entities leave Python together, at the end of a text; a longer text leaves alone.
+OUTPUT_CHUNKS = 256
+SPANS = "array<struct<start:int,stop:int,kind:int,confidence:double>>"
 
 
-def _entity_spans(factory: Callable, types: list[str], opens: list[bool]) -> Callable:
+def _entity_spans(factory: Callable, types: list[str], opens: list[bool], width: int) -> Callable:
     """Arrow lists of chunks to Arrow lists of entities: argmax, softmax and span decoding on whole arrays of tokens.
 
-    Only entities leave Python, not logits.
+    Only entities leave Python, not logits, with offsets in their text and the number of their type in sorted order. They leave
+    after a bounded number of chunks, so what a worker holds does not grow with Spark's batches.
     """
 
     def decoded(found: list[Tokens], first: int, known: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -140,8 +143,10 @@ def _entity_spans(factory: Callable, types: list[str], opens: list[bool]) -> Cal
         chunk, start, stop, logits = chunk[real], start[real], stop[real], logits[real].astype(np.float64)
         label = logits.argmax(axis=1) if len(logits) else np.zeros(0, np.int64)
         power = np.zeros(len(label))
-        for column in logits.T:
-            power += np.exp(column - logits.max(axis=1))
+        if len(label):
+            peak = logits.max(axis=1)
+            for column in logits.T:
+                power += np.exp(column - peak)
         kind = known[label] if len(label) else np.zeros(0, np.int64)
         before = np.concatenate([[-1], np.where(chunk[1:] == chunk[:-1], kind[:-1], -1)]) if len(kind) else kind
         begins = (kind >= 0) & (begin[label] | (kind != before)) if len(kind) else np.zeros(0, bool)
@@ -150,7 +155,7 @@ def _entity_spans(factory: Callable, types: list[str], opens: list[bool]) -> Cal
         held = np.bincount(span, minlength=len(at))
         total = np.bincount(span, weights=1.0 / power[inside], minlength=len(at))
         last = at + held - 1
-        return [chunk[at], start[at], stop[last], kind[at], total / np.maximum(held, 1)]
+        return [chunk[at].astype(np.int32), start[at].astype(np.int32), stop[last].astype(np.int32), kind[at].astype(np.int32), total / np.maximum(held, 1)]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
@@ -160,22 +165,26 @@ def _entity_spans(factory: Callable, types: list[str], opens: list[bool]) -> Cal
         model = factory()
         names = sorted({t for t in types if t})
         known, begin = np.array([names.index(t) if t else -1 for t in types]), np.array(opens)
+        empty = [np.zeros(0, np.int32)] * 4 + [np.zeros(0)]
         for batch in batches:
             texts = batch.flatten()
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch), 0))
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch), 0), np.int64)
             ends = np.cumsum(sizes)
-            parts = [decoded(model(texts.slice(k, MODEL).to_pylist()), k, known, begin) for k in range(0, len(texts), MODEL)]
-            chunk, start, stop, kind, sure = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(5))
-            doc = np.searchsorted(ends, chunk, side="right")
-            own = chunk - (ends - sizes)[doc] if len(doc) else chunk
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sizes)))])
-            rows = pa.StructArray.from_arrays(
-                [pa.array(own, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(np.array(names, object)[kind.astype(int)], pa.string()), pa.array(sure, pa.float64())],
-                ["chunk", "start", "stop", "pii_type", "confidence"],
-            )
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    MODEL = MODEL_CHUNKS
+            row = done = 0
+            while row < len(sizes):
+                # Whole texts, at least one.
+                after = max(row + 1, int(np.searchsorted(ends, done + OUTPUT, side="right")))
+                until = int(ends[after - 1])
+                parts = [decoded(model(texts.slice(k, min(MODEL, until - k)).to_pylist()), k, known, begin) for k in range(done, until, MODEL)]
+                chunk, start, stop, kind, sure = (np.concatenate([p[k] for p in parts] or [empty[k]]) for k in range(5))
+                doc = np.searchsorted(ends, chunk, side="right")
+                own = ((chunk - (ends - sizes)[doc]) * width).astype(np.int32) if len(doc) else chunk
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc - row, minlength=after - row))])
+                rows = pa.StructArray.from_arrays([pa.array(own + start), pa.array(own + stop), pa.array(kind), pa.array(sure)], ["start", "stop", "kind", "confidence"])
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+                row, done = after, until
+
+    MODEL, OUTPUT = MODEL_CHUNKS, OUTPUT_CHUNKS
     return run
 
 
@@ -186,21 +195,22 @@ def tag(df: DataFrame, text: str, factory: Callable, output: str = "entities", w
     chunks it has; the model sees a bounded number of chunks at once. ``factory`` is the one of ``predict``.
     """
     types = [ENTITY_OF_LABEL.get(x[2:], "") for x in LABELS]
-    spans = _entity_spans(factory, types, [x.startswith("B-") for x in LABELS])
+    spans = _entity_spans(factory, types, [x.startswith("B-") for x in LABELS], width)
     found = F.arrow_udf(spans, SPANS)
-    category = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in CATEGORY_BY_TYPE.items()) + ")"
+    names = sorted({t for t in types if t})
+    kinds, categories = (f"array({', '.join(map(quoted, x))})[e.kind]" for x in (names, [CATEGORY_BY_TYPE[t] for t in names]))
     space = quoted(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
     start, stop = f"greatest(e.start - {EXCERPT_RADIUS}, 0)", f"least(e.stop + {EXCERPT_RADIUS}, z.n)"
-    placed = f"""transform(_found, f -> named_struct('start', f.chunk * {width} + f.start, 'stop', f.chunk * {width} + f.stop,
-        'pii_type', f.pii_type, 'confidence', f.confidence))"""
-    built = f"""transform(array(named_struct('p', _pieces, 'n', _len)), z -> transform(_placed, e -> named_struct(
-        'start', e.start, 'pii_type', e.pii_type, 'stop', e.stop, 'value', regexp_replace({cut('z.p', 'e.start', 'e.stop')}, {space}, ''),
-        'category', {category}[e.pii_type], 'method', 'ner', 'confidence', round(e.confidence, 4),
-        'excerpt', {cut('z.p', start, stop)})))[0]"""
+    # The value is read from the excerpt around it.
+    around = f"transform(z.e, e -> named_struct('e', e, 'x', {cut('z.p', start, stop)}))"
+    built = f"""transform(array(named_struct('p', _pieces, 'n', _len, 'e', _found)), z -> transform({around}, x -> named_struct(
+        'start', x.e.start, 'pii_type', {kinds.replace('e.kind', 'x.e.kind')}, 'stop', x.e.stop,
+        'value', regexp_replace(substring(x.x, least(x.e.start, {EXCERPT_RADIUS}) + 1, x.e.stop - x.e.start), {space}, ''),
+        'category', {categories.replace('e.kind', 'x.e.kind')}, 'method', 'ner', 'confidence', round(x.e.confidence, 4), 'excerpt', x.x)))[0]"""
     columns = [f"`{c}`" for c in df.columns]
     cutting = df.selectExpr(*columns, f"coalesce(`{text}`, '') AS _text").selectExpr(*columns, "_text", f"{pieces('_text', width)} AS _chunks")
     tagged = cutting.withColumn("_found", found(F.col("_chunks")))
-    placed = tagged.selectExpr(*columns, f"{placed} AS _placed", f"{pieces('_text')} AS _pieces", "char_length(_text) AS _len")
+    placed = tagged.selectExpr(*columns, "_found", f"{pieces('_text')} AS _pieces", "char_length(_text) AS _len")
     return placed.selectExpr(*columns, f"filter(cast({built} AS {DETECTIONS}), d -> d.value <> '') AS `{output}`")
 
 

@@ -104,3 +104,27 @@ def test_rules_come_before_the_model_on_one_span(spark):
     again = row.detections + row.detections
     twice = spark.createDataFrame([(1, again)], f"doc_id long, detections {D.DETECTIONS}")
     assert len(D.dedupe(twice).first().detections) == 2
+
+
+def test_entities_leave_python_in_bounded_parts(monkeypatch):
+    """However large Spark's batch, only few chunks are held at once; texts stay whole and lose nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "MODEL_CHUNKS", 2)
+    monkeypatch.setattr(N, "OUTPUT_CHUNKS", 4)
+    seen = []
+
+    def model():
+        def label(texts):
+            seen.append(len(texts))
+            return [(np.array([0]), np.array([len(t)]), np.eye(3)[[1]]) for t in texts]
+
+        return label
+
+    texts = [["ab"], [], None, ["c", "d"], ["e"] * 9, [], ["f", "gh"], [""]]
+    run = N._entity_spans(model, ["", "Name", "Name"], [False, True, False], 10)
+    parts = [p.to_pylist() for p in run(iter([pa.array(texts, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))]))]
+    assert [len(p) for p in parts] == [4, 1, 3] and max(seen) == 2
+    got = [[(e["start"], e["stop"], e["kind"]) for e in row] for p in parts for row in p]
+    assert got == [[(10 * i, 10 * i + len(t), 0) for i, t in enumerate(row or []) if t] for row in texts]
