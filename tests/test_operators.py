@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import audit_view as V
+from riskloom.operators import detect as D
 from riskloom.operators import entities as N
 from riskloom.operators import ledger as L
 from riskloom.operators import remediate as R
@@ -256,3 +257,9 @@ def test_stream_tree_reads_files(spark, tmp_path):
     T.to_parquet(stream.select("path", F.col("content").cast("string").alias("c")), str(tmp_path / "o"), state=str(tmp_path / "s"))
     row = spark.read.parquet(str(tmp_path / "o")).first()
     assert row.c == "patient" and row.path.endswith("/tree/a.txt") and row.path.startswith("/")
+
+
+def test_dedupe_copies_no_detections_between_steps(spark):
+    df = spark.createDataFrame([(1, [])], f"doc_id long, detections {D.DETECTIONS}").select("doc_id", F.filter("detections", lambda d: d.value != "").alias("detections"))
+    plan = D.dedupe(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 1 and "array_sort" not in plan
