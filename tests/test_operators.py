@@ -259,6 +259,20 @@ def test_stream_tree_reads_files(spark, tmp_path):
     assert row.c == "patient" and row.path.endswith("/tree/a.txt") and row.path.startswith("/")
 
 
+def test_long_rows_keep_the_surest_copy_of_a_finding(spark):
+    rows = [
+        (1, "Name", 0, 3, "Ann", "regex", 0.5, 0), (1, "Name", 0, 3, "ANN", "ner", 0.9, 1), (1, "Name", 0, 3, "ann", "ner", 0.9, 2),
+        (1, "Name", 0, 4, "Ann", "ner", 0.1, 1), (2, "Name", 0, 3, "Ann", "ner", 0.1, 1), (None, "Name", 0, 3, None, "ner", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, pii_type string, start int, stop int, value string, method string, confidence double, method_ord int")
+    got = D.dedupe_rows(df)
+    assert dict(got.dtypes) == dict(df.dtypes)
+    assert sorted(map(str, got.select(df.columns).collect())) == sorted(str(df.collect()[i]) for i in (1, 3, 4, 5))
+    # Columns of the kept row are held once, and keys begin with the position.
+    (line,) = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert "max_by" not in line and line.index("start#") < line.index("pii_type#")
+
+
 def test_dedupe_copies_no_detections_between_steps(spark):
     df = spark.createDataFrame([(1, [])], f"doc_id long, detections {D.DETECTIONS}").select("doc_id", F.filter("detections", lambda d: d.value != "").alias("detections"))
     plan = D.dedupe(df)._jdf.queryExecution().optimizedPlan().toString()
