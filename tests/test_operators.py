@@ -277,3 +277,13 @@ def test_dedupe_copies_no_detections_between_steps(spark):
     df = spark.createDataFrame([(1, [])], f"doc_id long, detections {D.DETECTIONS}").select("doc_id", F.filter("detections", lambda d: d.value != "").alias("detections"))
     plan = D.dedupe(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") == 1 and "array_sort" not in plan
+
+
+def test_a_filter_behind_redaction_does_not_redact_again(spark, tmp_path):
+    spark.createDataFrame([("a", "x one"), ("b", "y"), ("c", None)], "path string, content string").write.parquet(f"{tmp_path}/t")
+    asked = spark.read.parquet(f"{tmp_path}/t").withColumn("pii_list", F.expr("array(named_struct('value', concat('o', 'ne'), 'pii_type', path))"))
+    done = R.redact(asked).filter("replacements > 0")
+    assert [(r.path, r.replacements, r.pii_types) for r in done.collect()] == [("a", 1, ["a"])]
+    assert R.redact(asked).count() == 3
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
