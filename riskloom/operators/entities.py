@@ -124,14 +124,14 @@ def decode(df: DataFrame, *keys: str) -> DataFrame:
 MODEL_CHUNKS = 64
 #: Chunks whose entities leave Python together, at the end of a text; a longer text leaves alone.
 OUTPUT_CHUNKS = 256
-SPANS = "array<struct<start:int,stop:int,kind:int,confidence:double>>"
+SPANS = "array<struct<start:int,stop:int,kind:int,confidence:double,value:string>>"
 
 
 def _entity_spans(factory: Callable, types: list[str], opens: list[bool], width: int) -> Callable:
     """Arrow lists of chunks to Arrow lists of entities: argmax, softmax and span decoding on whole arrays of tokens.
 
-    Only entities leave Python, not logits, with offsets in their text and the number of their type in sorted order. They leave
-    after a bounded number of chunks, so what a worker holds does not grow with Spark's batches.
+    Only entities leave Python, not logits, with offsets in their text, the number of their type in sorted order and their
+    characters without blanks at the ends, if any are left. They leave after a bounded number of chunks, so what a worker holds does not grow with Spark's batches.
     """
 
     def decoded(found: list[Tokens], first: int, known: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -175,12 +175,18 @@ def _entity_spans(factory: Callable, types: list[str], opens: list[bool], width:
                 # Whole texts, at least one.
                 after = max(row + 1, int(np.searchsorted(ends, done + OUTPUT, side="right")))
                 until = int(ends[after - 1])
-                parts = [decoded(model(texts.slice(k, min(MODEL, until - k)).to_pylist()), k, known, begin) for k in range(done, until, MODEL)]
-                chunk, start, stop, kind, sure = (np.concatenate([p[k] for p in parts] or [empty[k]]) for k in range(5))
+                shown = texts.slice(done, until - done).to_pylist()
+                parts = [decoded(model(shown[k : k + MODEL]), done + k, known, begin) for k in range(0, len(shown), MODEL)]
+                found = [np.concatenate([p[k] for p in parts] or [empty[k]]) for k in range(5)]
+                values = [shown[c][a:b].strip() for c, a, b in zip((found[0] - done).tolist(), found[1].tolist(), found[2].tolist(), strict=True)]
+                if "" in values:
+                    kept = [k for k, v in enumerate(values) if v]
+                    found, values = [f[kept] for f in found], [values[k] for k in kept]
+                chunk, start, stop, kind, sure = found
                 doc = np.searchsorted(ends, chunk, side="right")
                 own = ((chunk - (ends - sizes)[doc]) * width).astype(np.int32) if len(doc) else chunk
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc - row, minlength=after - row))])
-                rows = pa.StructArray.from_arrays([pa.array(own + start), pa.array(own + stop), pa.array(kind), pa.array(sure)], ["start", "stop", "kind", "confidence"])
+                rows = pa.StructArray.from_arrays([pa.array(own + start), pa.array(own + stop), pa.array(kind), pa.array(sure), pa.array(values, pa.string())], ["start", "stop", "kind", "confidence", "value"])
                 yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
                 row, done = after, until
 
@@ -188,32 +194,31 @@ def _entity_spans(factory: Callable, types: list[str], opens: list[bool], width:
     return run
 
 
-def tag(df: DataFrame, text: str, factory: Callable, output: str = "entities", width: int = CHUNK_CHARS) -> DataFrame:
+def tag(df: DataFrame, text: str, factory: Callable, output: str = "entities", width: int = CHUNK_CHARS, excerpts: bool = True) -> DataFrame:
     """Add ``output``: the entities that a model finds in each text, in the shape and order of ``detect``'s detections.
 
     A text is cut into chunks inside its row and its entities come back to the row, so nothing is shuffled however many
-    chunks it has; the model sees a bounded number of chunks at once. ``factory`` is the one of ``predict``.
+    chunks it has; the model sees a bounded number of chunks at once. ``factory`` is the one of ``predict``. Without
+    ``excerpts``, which are most of what an entity holds, they are null.
     """
     types = [ENTITY_OF_LABEL.get(x[2:], "") for x in LABELS]
     spans = _entity_spans(factory, types, [x.startswith("B-") for x in LABELS], width)
     found = F.arrow_udf(spans, SPANS)
     names = sorted({t for t in types if t})
     kinds, categories = (f"array({', '.join(map(quoted, x))})[e.kind]" for x in (names, [CATEGORY_BY_TYPE[t] for t in names]))
-    space = quoted(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
-    start, stop = f"greatest(e.start - {EXCERPT_RADIUS}, 0)", f"least(e.stop + {EXCERPT_RADIUS}, z.n)"
-    # The value is read from the excerpt around it.
-    around = f"transform(z.e, e -> named_struct('e', e, 'x', {cut('z.p', start, stop)}))"
-    built = f"""transform(array(named_struct('p', _pieces, 'n', _len, 'e', _found)), z -> transform({around}, x -> named_struct(
-        'start', x.e.start, 'pii_type', {kinds.replace('e.kind', 'x.e.kind')}, 'stop', x.e.stop,
-        'value', regexp_replace(substring(x.x, least(x.e.start, {EXCERPT_RADIUS}) + 1, x.e.stop - x.e.start), {space}, ''),
-        'category', {categories.replace('e.kind', 'x.e.kind')}, 'method', 'ner', 'confidence', round(x.e.confidence, 4), 'excerpt', x.x)))[0]"""
+    around = cut("z.p", f"greatest(e.start - {EXCERPT_RADIUS}, 0)", f"least(e.stop + {EXCERPT_RADIUS}, z.n)") if excerpts else "NULL"
+    held = "'p', _pieces, 'n', _len, " if excerpts else ""
+    built = f"""transform(array(named_struct({held}'e', _found)), z -> transform(z.e, e -> named_struct(
+        'start', e.start, 'pii_type', {kinds}, 'stop', e.stop, 'value', e.value, 'category', {categories}, 'method', 'ner',
+        'confidence', round(e.confidence, 4), 'excerpt', {around})))[0]"""
     columns = [f"`{c}`" for c in df.columns]
     cutting = df.selectExpr(*columns, f"coalesce(`{text}`, '') AS _text").selectExpr(*columns, "_text", f"{pieces('_text', width)} AS _chunks")
     tagged = cutting.withColumn("_found", found(F.col("_chunks")))
-    placed = tagged.selectExpr(*columns, "_found", f"{pieces('_text')} AS _pieces", "char_length(_text) AS _len")
-    return placed.selectExpr(*columns, f"filter(cast({built} AS {DETECTIONS}), d -> d.value <> '') AS `{output}`")
+    if excerpts:
+        tagged = tagged.selectExpr(*columns, "_found", f"{pieces('_text')} AS _pieces", "char_length(_text) AS _len")
+    return tagged.selectExpr(*columns, f"cast({built} AS {DETECTIONS}) AS `{output}`")
 
 
-def detect_entities(df: DataFrame, *keys: str, factory: Callable, text: str = "text") -> DataFrame:
+def detect_entities(df: DataFrame, *keys: str, factory: Callable, text: str = "text", excerpts: bool = True) -> DataFrame:
     """One row per entity found by the model, in the shape of the other detections."""
-    return explode_detections(tag(df.select(*keys, text), text, factory, "detections"), *keys)
+    return explode_detections(tag(df.select(*keys, text), text, factory, "detections", excerpts=excerpts), *keys)

@@ -122,9 +122,16 @@ def test_entities_leave_python_in_bounded_parts(monkeypatch):
 
         return label
 
-    texts = [["ab"], [], None, ["c", "d"], ["e"] * 9, [], ["f", "gh"], [""]]
+    texts = [["ab"], [], None, ["c", " \u3000d\x1c"], ["e"] * 9, [], ["f", "gh"], ["", "\u2003 "]]
     run = N._entity_spans(model, ["", "Name", "Name"], [False, True, False], 10)
     parts = [p.to_pylist() for p in run(iter([pa.array(texts, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))]))]
     assert [len(p) for p in parts] == [4, 1, 3] and max(seen) == 2
-    got = [[(e["start"], e["stop"], e["kind"]) for e in row] for p in parts for row in p]
-    assert got == [[(10 * i, 10 * i + len(t), 0) for i, t in enumerate(row or []) if t] for row in texts]
+    got = [[(e["start"], e["stop"], e["kind"], e["value"]) for e in row] for p in parts for row in p]
+    assert got == [[(10 * i, 10 * i + len(t), 0, t.strip()) for i, t in enumerate(row or []) if t.strip()] for row in texts]
+
+
+def test_entities_without_excerpts_differ_in_nothing_else(spark):
+    df = spark.createDataFrame([(1, words(4, 300)), (2, None)], "doc_id long, text string")
+    full, bare = (D.explode_detections(N.tag(df, "text", word_length_model, excerpts=e), "doc_id", column="entities") for e in (True, False))
+    assert sorted(map(str, full.drop("excerpt").collect())) == sorted(map(str, bare.drop("excerpt").collect()))
+    assert bare.filter("excerpt IS NOT NULL").count() == 0 and full.filter("excerpt IS NULL").count() == 0
