@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,23 +35,36 @@ SEGMENT_IDS = 1 << 19
 MAGIC = 0x50464F52
 #: Runs and pieces of text whose ids a worker remembers, of each kind; those used last stay.
 MEMO = 1_000_000
+#: Bytes of text whose runs are told apart at a time. A longer text is taken alone.
+SLICE = 16 << 20
+
+#: Stands for the blank between two runs among the ids of their pieces; no vocabulary is that large.
+GAP_ID = np.uint32(0xFFFFFFFF)
+GAP = GAP_ID.tobytes()
 
 _state: dict = {}
 
 
-class _Recent:
-    """Two dictionaries: when ``young`` has grown to half the size, it becomes ``old`` and what was used least recently is gone."""
+class _Recent(dict):
+    """Ids by text, made by ``make`` when first asked for: at half the size all become ``old``, and what was used least recently is gone."""
+
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        self.half, self.make, self.old = size // 2, make, {}
 
-    def __init__(self, size: int):
-        self.half, self.young, self.old = size // 2, {}, {}
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        self[text] = ids = self.make(text) if ids is None else ids
+        return ids
 
     def make_room(self) -> None:
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
 
 
 #: Characters on which the normalizer and the patterns of every Unicode version agree: no blanks, marks or compositions.
-PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+PLAIN = "^[!-~\xa1-\u012f\u0131-\u024f]*$"
+LETTERS = r"^\p{L}+$"
 
 
 def _byte_letters() -> list[str]:
@@ -62,8 +75,8 @@ def _byte_letters() -> list[str]:
 
 
 class _Ids:
-    """Ids (little-endian bytes) of texts. Where the tokenizer's own rules say that no token crosses a blank, a text is encoded run
-    by run and a run piece by piece, each distinct one once; otherwise texts are encoded whole."""
+    """Ids of texts. Where the tokenizer's own rules say that no token crosses a blank, the distinct runs of many texts are cut into
+    pieces by one pass of the pattern, and each distinct piece is encoded once; otherwise texts are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,48 +88,79 @@ class _Ids:
             rules = json.load(f)
         self.added = [t["content"] for t in rules["added_tokens"]]
         self.pattern = _piece_pattern(rules)
-        self.runs, self.pieces = _Recent(MEMO), _Recent(MEMO)
+        #: Whether a run of letters is one piece: whatever the pattern tries before letters starts with an apostrophe.
+        before, letters, _ = (self.pattern.pattern if self.pattern else "").partition("[\\p{L}]+|")
+        self.words = bool(letters) and "(" not in before and all(x.startswith("'") for x in before.split("|")[:-1]) and before[-1:] in ("", "|")
+        self.runs, self.pieces = _Recent(MEMO, self._run), _Recent(MEMO, self._piece)
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256) if letters[b] != chr(b)}
 
-    def of(self, text: str) -> bytes:
+    def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts, one after another, each followed by ``end_id``, and the number of ids of each."""
         if self.pattern is None:
-            return self._encoded([text])[0]
-        runs = text.replace("\n", " ").split(" ")
+            ids, sizes = _joined(self._encoded(texts.to_pylist()))
+            runs, ends = np.arange(len(sizes)), np.arange(1, len(sizes) + 1)
+        else:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+            known = split.flatten().dictionary_encode()
+            ids, sizes, place = self._of_runs(known.dictionary)
+            runs = place[known.indices.to_numpy()]
+        # The run behind the last holds the end id alone.
+        ids, sizes, firsts = np.append(ids, np.uint32(end_id)), np.append(sizes, 1), np.append(0, np.cumsum(sizes))
+        runs = np.insert(runs, ends, len(sizes) - 1)
+        counts = sizes[runs]
+        stops = np.cumsum(counts)
+        at = np.repeat(firsts[runs] - stops + counts, counts)
+        at += np.arange(len(at))
+        return ids[at], np.diff(stops[ends + np.arange(len(ends))], prepend=0)
+
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct runs, kind by kind, the number of ids of each in that order, and each run's place in it."""
         self.runs.make_room()
         self.pieces.make_room()
-        known, old, other = self.runs.young, self.runs.old, []
-        for run in [r for r in set(runs) if r not in known]:
-            if run in old:
-                known[run] = old[run]
-            elif PLAIN.fullmatch(run) and not ("<" in run and any(t in run for t in self.added)):
-                known[run] = self._pieces(self.pattern.findall(run.lower()))
-            else:
-                other.append(run)
-        known.update(zip(other, self._encoded(other), strict=True))
-        return b"".join([known[r] for r in runs])
+        self.pieces[" "] = GAP
+        plain = pc.match_substring_regex(runs, PLAIN).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            plain &= ~pc.match_substring(runs, token).to_numpy(zero_copy_only=False)
+        word = plain & pc.match_substring_regex(runs, LETTERS).to_numpy(zero_copy_only=False) if self.words else np.zeros_like(plain)
+        kinds = [np.nonzero(kind)[0] for kind in (word, plain & ~word, ~plain)]
+        words, cuttable, others = (runs.take(pa.array(kind)) for kind in kinds)
+        found = [_joined([self.pieces[w] for w in _line(words).lower().split(" ")] if len(words) else [])]
+        pieces = self.pattern.findall(_line(cuttable).lower() + " " * (len(cuttable) > 0))
+        ids, _ = _joined([self.pieces[p] for p in pieces])
+        gaps = ids == GAP_ID
+        found.append((ids[~gaps], np.diff(np.nonzero(gaps)[0], prepend=-1) - 1))
+        found.append(_joined([self.runs[r] for r in others.to_pylist()]))
+        place = np.empty(len(runs), np.int64)
+        place[np.concatenate(kinds)] = np.arange(len(runs))
+        ids, sizes = map(np.concatenate, zip(*found, strict=True))
+        return ids, sizes, place
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        known, out = self.pieces.young, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.pieces.old.get(piece)
-                if ids is None:
-                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                    tokens = self.model.tokenize(letters)
-                    ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _run(self, run: str) -> bytes:
+        return self._encoded([run])[0]
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(letters)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+def _line(runs: pa.Array) -> str:
+    """All runs, a blank between two."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(runs)], runs.cast(pa.string())), " ")[0].as_py()
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 def _piece_pattern(rules: dict):
-    """The pattern whose matches are a text's pieces, if the tokenizer's rules are of the kind that ``_Ids`` can follow piece by piece:
-    composed, with blanks joined, in lower case, cut by a pattern that keeps its matches only, then taken as bytes. Else ``None``."""
+    """The pattern whose matches are a text's pieces, and blanks, if the tokenizer's rules are of the kind that ``_Ids`` can follow piece
+    by piece: composed, with blanks joined, in lower case, cut by a pattern that keeps its matches only, then taken as bytes. Else ``None``."""
     kinds = [(x["type"], x.get("pattern"), x.get("content")) for x in (rules["normalizer"] or {}).get("normalizers", [])]
     cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
     fits = (
@@ -130,9 +174,23 @@ def _piece_pattern(rules: dict):
         return None
     import regex
 
-    pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+    own = cuts[0]["pattern"]["Regex"]
     # A match that could hold a blank would cross runs.
-    return None if any(len(m) > 1 for m in pattern.findall("a b\u00e9 1 . '\u00e9 ") if " " in m) else pattern
+    if regex.compile(own).groups or any(" " in m for m in regex.findall(own, "a b\u00e9 1 . '\u00e9 ")):
+        return None
+    return regex.compile(f"{own}| ")
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``SLICE`` bytes together, or of one longer text."""
+    first = size = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > first and size + n > SLICE:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _ids(path: str) -> _Ids:
@@ -141,6 +199,11 @@ def _ids(path: str) -> _Ids:
     return _state[path]
 
 
+def _low_bytes(values: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of 32-bit values that hold their lowest ``width`` bits, along a new axis."""
+    return values.astype("<u4").view(np.uint8).reshape(*values.shape, 4)[:, :, : -(-int(width) // 8)]
+
+
 def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     """The payload of a segment: ``ids`` (uint32) of its documents, one after another."""
     n = len(ids)
@@ -163,8 +226,8 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
         which = np.nonzero(widths == width)[0]
         if not width:
             continue
-        bits = (over[which][:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-        rows = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(_low_bytes(over[which], width), axis=2, count=width, bitorder="little")
+        rows = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
         for k, r in zip(which, rows, strict=True):
             packed[k] = r.tobytes()
     starts = np.concatenate([[0], np.cumsum([len(p) for p in packed])[:-1]]).astype(np.uint32) if blocks else np.zeros(0, np.uint32)
@@ -177,6 +240,18 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     ])
 
 
+def _values(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values of ``width`` bits that ``packed`` holds: eight of them fill ``width`` bytes, and each lies within eight bytes of its first."""
+    rows = np.zeros((packed.size // width, width + 8), np.uint8)
+    rows[:, :width] = packed.reshape(-1, width)
+    out = np.empty((len(rows), 8), np.uint32)
+    for k in range(8):
+        byte, bit = divmod(k * width, 8)
+        window = np.ascontiguousarray(rows[:, byte : byte + 8]).view("<u8")[:, 0]
+        out[:, k] = (window >> np.uint64(bit)) & np.uint64((1 << width) - 1)
+    return out.ravel()
+
+
 def unpack(payload: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, list, np.ndarray]:
     """Ids of blocks ``first`` to ``last`` (all by default), document ids and numbers of ids of the segment.
 
@@ -206,8 +281,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> tuple[np.
         if not width:
             continue
         raw = np.stack([np.frombuffer(payload, np.uint8, int(sizes[k]), base + int(starts[k])) for k in which])
-        bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(which), block, int(width)).astype(np.uint32)
-        out[which - first] = (bits << np.arange(width, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+        out[which - first] = _values(raw, int(width)).reshape(len(which), block)
     row = np.repeat(np.arange(blocks), counts)
     mine = (row >= first) & (row < last)
     out[row[mine] - first, places[mine]] |= high[mine] << widths[row[mine]].astype(np.uint32)
@@ -228,30 +302,33 @@ def write_segments(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: s
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
         of = _ids(tokenizer).of
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list = []
         lengths: list[int] = []
         segment = shard = size = 0
 
         def close() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), doc_ids, lengths)
+            payload = pack(np.concatenate(held), doc_ids, lengths)
             return pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())}
             )
 
         for batch in batches:
-            for d, t, s in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "shard")), strict=True):
-                data, shard = of(t) + end, s
-                if held and size + len(data) // 4 > SEGMENT_IDS:
-                    yield close()
-                    held, doc_ids, lengths = [], [], []
-                    segment, size = segment + 1, 0
-                held.append(data)
-                doc_ids.append(d)
-                lengths.append(len(data) // 4)
-                size += len(data) // 4
+            shard = batch.column("shard")[0].as_py() if batch.num_rows else shard
+            for first, stop in _slices(batch.column("text")):
+                docs = batch.slice(first, stop - first)
+                ids, counts = of(docs.column("text"), end_id)
+                ends = np.cumsum(counts).tolist()
+                for d, n, e in zip(docs.column("doc").to_pylist(), counts.tolist(), ends, strict=True):
+                    if held and size + n > SEGMENT_IDS:
+                        yield close()
+                        held, doc_ids, lengths = [], [], []
+                        segment, size = segment + 1, 0
+                    held.append(ids[e - n : e])
+                    doc_ids.append(d)
+                    lengths.append(n)
+                    size += n
         if held:
             yield close()
 

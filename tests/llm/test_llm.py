@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import sys
+
 import numpy as np
 import plain
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -380,6 +384,54 @@ def test_token_files(spark, sf_dir, docs, awkward, empty):
     assert token_files.read_segments(token_files.write_segments(empty, path)).count() == 0
 
 
+def _each(ids: token_files._Ids, texts: list[str], kind: pa.DataType | None = None) -> list[list[int]]:
+    out, column = [], pa.array(texts, kind or pa.string())
+    for first, stop in token_files._slices(column):
+        got, counts = ids.of(column.slice(first, stop - first), token_files.END_ID)
+        assert len(got) == counts.sum()
+        out += [x.tolist() for x in np.split(got, np.cumsum(counts))[:-1]]
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 60, 1 << 20])
+def test_ids_of_slices_of_texts(monkeypatch, size):
+    """Runs and pieces of odd characters, in slices of one text and of many, with a memory that forgets, and by whole texts."""
+    monkeypatch.setattr(token_files, "SLICE", size)
+    pick = random.Random(8)
+    parts = [*"abXYZ019'.,!<>|\n\n   \t\xa0\x00", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "\u00e9", "e\u0301", "H\u0331", "\u0130", "\u0131", "\u03a3", "\u4e2d", "\u212b", "\U0001f600"]
+    texts = ["", " ", "\n", *("".join(pick.choices(parts, k=pick.randrange(30))) for _ in range(1500))]
+    ids = token_files._Ids(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = [[*e.ids, token_files.END_ID] for e in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.words and _each(ids, texts) == want
+    ids.runs.half = ids.pieces.half = 5
+    assert _each(ids, texts, pa.large_string()) == want
+    ids.pattern = None
+    assert _each(ids, texts) == want
+
+
+def test_python_calls_follow_distinct_pieces_not_runs():
+    """40,000 distinct runs of 400 pieces: no call of Python's for each run."""
+    pick = random.Random(3)
+    names = ["".join(pick.choices("abcdefgh", k=7)) for _ in range(400)]
+    texts = [" ".join(f"{a}.{b}" for b in names[:100]) for a in names]
+    ids, calls = token_files._Ids(str(public_tokenizers.path("word_bpe_49k.json"))), []
+    ids.of(pa.array(["a first call imports modules"]), token_files.END_ID)
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        ids.of(pa.array(texts), token_files.END_ID)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 20_000
+
+
+def test_packed_ids_of_every_width():
+    pick = np.random.default_rng(4)
+    for width in range(33):
+        ids = pick.integers(0, 1 << width, 700, dtype=np.uint64).astype(np.uint32)
+        payload = token_files.pack(ids, [1], [700])
+        assert (token_files.unpack(payload)[0] == ids).all() and (token_files.unpack(payload, 1, 2)[0] == ids[256:512]).all()
+
+
 def test_packed_ids_round_trip():
     pick = np.random.default_rng(9)
     for n in (0, 1, 255, 256, 257, 5000):
